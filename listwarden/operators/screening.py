@@ -9,6 +9,8 @@ in the same order, so the first ``match_limit`` of them stand for the rest.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from listwarden.functions.similarity import differing_bits, key_ratio, with_bag_
 from listwarden.operators import decision as D
 from listwarden.operators.candidates import distinct_requests, name_pairs
 from listwarden.operators.joins import broadcast_if_small
+from listwarden.operators.staging import materialized
 
 INPUTS = ["name", "document_number", "document_type", "date_of_birth", "nationality", "country"]
 ENTITY = ["source", "entity_id"]
@@ -108,6 +111,24 @@ def list_names(entities: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class PreparedList:
+    """A list ready for matching, kept as two tables of the shared folder.
+
+    entities: the narrow entity rows; names: one row per list name with its key.
+    """
+
+    entities: DataFrame
+    names: DataFrame
+
+
+def prepare_list(entities: DataFrame) -> PreparedList:
+    """Normalize a list once; any number of screenings can then use it."""
+    slim = materialized(_list_columns(entities), "entities")
+    named = list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name")
+    return PreparedList(slim, materialized(named, "names"))
+
+
 def document_index(slim: DataFrame) -> DataFrame:
     """One row per (entity, document key): its documents of that key and the vessel number, if equal."""
     return slim.withColumn("doc_key", F.explode("doc_keys")).select(
@@ -191,16 +212,10 @@ def _other_type_pairs(prof: DataFrame, index: DataFrame, config: ScreeningConfig
     )
 
 
-def _name_matches(prof: DataFrame, slim: DataFrame, config: ScreeningConfig) -> DataFrame:
+def _name_matches(prof: DataFrame, names: DataFrame, config: ScreeningConfig) -> DataFrame:
     """Name pairs that may pass, without the entities that share the request's document number."""
-    index = _first_per_group(
-        list_names(slim).select(
-            *ENTITY, "entity_type", "entity_year", "listed", "doc_keys", "position", "alias_text", "list_key"
-        ),
-        ["list_key", "entity_year", "listed"],
-        config.match_limit,
-    )
-    keys = list_names(slim.select(*ENTITY, "all_names")).select("list_key").distinct()
+    index = _first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit)
+    keys = names.select("list_key").distinct()
     pairs = name_pairs(distinct_requests(prof), keys, config.limits)
     found = pairs.join(broadcast_if_small(index, config.limits.broadcast_bytes), "list_key")
     best = found.groupBy("request_key", *ENTITY).agg(
@@ -255,28 +270,33 @@ def top_matches(matches: DataFrame, key: str, limit: int) -> DataFrame:
     return matches.withColumn("match_rank", F.row_number().over(order)).filter(F.col("match_rank") <= limit)
 
 
-def screen_profiles(prof: DataFrame, entities: DataFrame, config: ScreeningConfig = DEFAULT) -> DataFrame:
+def screen_profiles(
+    prof: DataFrame, prepared: PreparedList, config: ScreeningConfig = DEFAULT
+) -> DataFrame:
     """Best matches per profile, all layers."""
-    slim = _list_columns(entities)
-    index = document_index(slim)
+    index = document_index(prepared.entities)
     exact = document_matches(prof, index, config.match_limit)
     other_type = (
         _other_type_pairs(prof, index, config)
         .join(prof, "profile_id")
         .withColumn("document_score", F.lit(100.0))
     )
-    by_name = _name_matches(prof, slim, config)
+    by_name = _name_matches(prof, prepared.names, config)
     decided = _decided(by_name.unionByName(other_type), config)
     return top_matches(exact.unionByName(decided), "profile_id", config.match_limit)
 
 
-def screen(requests: DataFrame, entities: DataFrame, config: ScreeningConfig = DEFAULT) -> DataFrame:
+def screen(
+    requests: DataFrame, listed: DataFrame | PreparedList, config: ScreeningConfig = DEFAULT
+) -> DataFrame:
     """Best matches of every request: (request_id, match_rank, entity, scores, flags, recommendation).
 
     requests: request_id and the six inputs; they are taken as valid (see ``quality.validated``).
-    entities: the columns named in ``schemas.SCREENED_ENTITY``.
+    listed: entities with the columns of ``schemas.SCREENED_ENTITY``, or an already prepared list.
     """
-    matches = screen_profiles(profiles(requests, config), entities, config)
+    prepared = listed if isinstance(listed, PreparedList) else prepare_list(listed)
+    prof = materialized(profiles(requests, config), "profiles")
+    matches = screen_profiles(prof, prepared, config)
     keyed = requests.select("request_id", profile_id().alias("profile_id"))
     return keyed.join(matches, "profile_id").drop("profile_id")
 
