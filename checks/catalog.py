@@ -381,9 +381,10 @@ def short_name(spark, d):
 def common_name(spark, d):
     """Every pair of neighbouring words of every document against the list of its most common words."""
     words = F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")
-    pairs = docs(spark, d).select(
-        F.explode(F.filter(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))), lambda p: p.contains(" "))).alias("name")
-    )
+    listed = docs(spark, d).select(F.explode(F.array(words)).alias("w"))
+    pairs = listed.select(
+        F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("name")
+    ).filter(F.col("name").isNotNull())
     config = DEFAULT.with_(common_names=("Is And", "the thé", "Et la", "der die", "of the", "the of", "and the"))
     hits = pairs.filter(N.common_name(N.normalize_name(F.col("name")), config))
     return hits.groupBy(F.upper("name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -1052,8 +1053,12 @@ def cascade_delete(spark, d):
 def reload_report(spark, d):
     """Both lists written as XML files, loaded as a new version, compared with the live table."""
     ofac_path, un_path = _fresh(spark, "ofac.xml"), _fresh(spark, "un.xml")
-    ofac_xml(spark, d).select("xml").write.text(ofac_path)
-    un_person_xml(spark, d).select("xml").write.text(un_path)
+    raw_people = xml_lists.parse_rows(un_person_xml(spark, d), "xml", schemas.UN_INDIVIDUAL, "INDIVIDUAL")
+    for rows, root, tag, path in (
+        (raw_ofac(spark, d), "sanctions", "entity", ofac_path), (raw_people, "INDIVIDUALS", "INDIVIDUAL", un_path)
+    ):
+        writer = rows.write.format("xml").option("rootTag", root).option("rowTag", tag)
+        writer.option("attributePrefix", "_").option("valueTag", "_VALUE").save(path)
     done = reload.reload_lists(spark, ofac_path, un_path, config=DEFAULT.with_(malformed_percent=5.0))
     return done.report
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from listwarden import schemas
 from listwarden.functions import fields as P
@@ -133,8 +134,6 @@ def un_organisations(raw: DataFrame) -> DataFrame:
 
 def as_entities(rows: DataFrame) -> DataFrame:
     """Exactly the columns of ``schemas.ENTITY``; what a source lacks is null or an empty array."""
-    from pyspark.sql.types import ArrayType, StructType
-
     target = StructType.fromDDL(schemas.ENTITY)
     if "all_names" not in rows.columns:
         rows = rows.withColumn("all_names", F.concat(F.array("primary_name"), F.col("aliases")))
@@ -173,4 +172,5 @@ def read_lists(spark: SparkSession, ofac_path: str, un_path: str) -> DataFrame:
 def parse_rows(df: DataFrame, xml: str, schema: str, row_tag: str) -> DataFrame:
     """Rows held as XML text in a column of a table."""
     options = {"rowTag": row_tag, "ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"}
-    return df.select(F.from_xml(F.col(xml), schema, options).alias("r")).select("r.*")
+    # A generator keeps the optimizer from parsing the text again for every field that is read.
+    return df.select(F.inline(F.array(F.from_xml(F.col(xml), schema, options))))
