@@ -552,7 +552,7 @@ def _lists(spark, d) -> screening.PreparedList:
 
 def _screened(spark, d) -> tuple[DataFrame, DataFrame]:
     """(requests, matches), the matches written once: several parts of a query read them."""
-    requests = V.requests(spark, d)
+    requests = quality.validated(V.requests(spark, d))
     matches = screening.rounded(screening.screen(requests, _lists(spark, d)))
     return requests, materialized(matches, "matches")
 
@@ -735,7 +735,7 @@ MATCH_COLUMNS = [
 @query
 def screen_full(spark, d):
     """The flagship: every request against the whole list, best ten matches each."""
-    matches = screening.rounded(screening.screen(V.requests(spark, d), _lists(spark, d)))
+    matches = screening.rounded(screening.screen(quality.validated(V.requests(spark, d)), _lists(spark, d)))
     return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
 
 

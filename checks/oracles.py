@@ -60,6 +60,9 @@ REQ = f"""req AS (SELECT doc_id request_id,
   {pick("doc_id", [None, None, "Federal Germany"])} country, lang
   FROM docw)"""
 NAMES = f"nm AS (SELECT source, entity_id, pos, name, {key('name')} k FROM (SELECT source, entity_id, unnest(all_names) name, generate_subscripts(all_names, 1) pos FROM ent))"
+# the same table without the requests that input validation refuses
+VREQ = REQ.replace("req AS (", "req0 AS (") + r""", req AS (SELECT * FROM req0 WHERE length(trim(name)) >= 2 AND length(name) <= 200
+  AND NOT regexp_matches(name, '[<>{}\[\]|\\;`$\p{C}]'))"""
 RKEYS = f"rk AS (SELECT *, {key('name')} k FROM req)"
 
 
@@ -109,7 +112,7 @@ def dob(a: str, b: str) -> str:
 
 
 # All matches of every request: exact documents, then names, then the best ten.
-SCREEN = f"""{DOCW}, {ENT}, {REQ}, {NAMES}, {RKEYS}, {scores('rk', 'nm')},
+SCREEN = f"""{DOCW}, {ENT}, {VREQ}, {NAMES}, {RKEYS}, {scores('rk', 'nm')},
 rq AS (SELECT *, nullif({docnorm('document_number')}, '') dk, {year('date_of_birth')} ry, {short('name')} is_short, {wanted('nationality', 'country')} wanted FROM rk),
 en AS (SELECT *, {docnorm('document_number')} edk, {docnorm('vessel_imo')} imok, {year('date_of_birth')} ey, {listed('nationality', 'citizenship')} listed FROM ent),
 exact AS (SELECT request_id, e.source, e.entity_id, e.entity_type, e.primary_name matched_name,

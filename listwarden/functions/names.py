@@ -90,32 +90,33 @@ def normalize_document(number: Column) -> Column:
     return F.coalesce(F.upper(F.regexp_replace(number, r"(?U)[\s\-.,/]+", "")), F.lit(""))
 
 
-def _count_of(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def script_counts(name: Column) -> dict[str, Column]:
-    chinese, arabic, cyrillic = "一-鿿", "؀-ۿ", "Ѐ-ӿ"
-    return {
-        "chinese": _count_of(name, chinese),
-        "arabic": _count_of(name, arabic),
-        "cyrillic": _count_of(name, cyrillic),
-        "latin": F.length(
-            F.regexp_replace(name, rf"[^\p{{L}}]+|[{chinese}{arabic}{cyrillic}]+", "")
-        ),
-    }
+# Code point ranges of the scripts, and the letters outside of them.
+SCRIPTS = [
+    ("chinese", "[\u4e00-\u9fff]"),
+    ("arabic", "[\u0600-\u06ff]"),
+    ("cyrillic", "[\u0400-\u04ff]"),
+    ("latin", "[\\p{L}&&[^\u4e00-\u9fff\u0600-\u06ff\u0400-\u04ff]]"),
+]
 
 
 def name_script(name: Column) -> Column:
     """The script of more than half of the letters, else 'mixed'; 'latin' without letters."""
-    # Character by character counting is only needed when some letter is not plain Latin.
-    counts = script_counts(name)
-    total = functools.reduce(lambda a, b: a + b, counts.values())
-    chosen = F.when(total == 0, "latin")
-    for script, count in counts.items():
-        chosen = chosen.when(count * 2 > total, script)
+    counts = F.array(*[F.regexp_count(name, F.lit(letters)) for _, letters in SCRIPTS])
+
+    def dominant(n: Column) -> Column:
+        total = n[0] + n[1] + n[2] + n[3]
+        chosen = F.when(total == 0, "latin")
+        for i, (script, _) in enumerate(SCRIPTS):
+            chosen = chosen.when(n[i] * 2 > total, script)
+        return chosen.otherwise("mixed")
+
     plain = F.octet_length(name) == F.length(name)
-    return F.when(name.isNull() | plain, "latin").otherwise(chosen.otherwise("mixed"))
+    return F.when(name.isNull() | plain, "latin").otherwise(once(counts, dominant))
 
 
 def latin_initials(name: Column) -> Column:
@@ -159,14 +160,17 @@ def adaptive_threshold(name: Column, config: ScreeningConfig = DEFAULT) -> Colum
     a = config.adaptive
     if not a.enabled:
         return choice(config.short_name_threshold, "default")
-    script = name_script(name)
-    return (
-        F.when(latin_initials(name), choice(a.latin_initials, "latin_initials"))
-        .when(script == "chinese", choice(a.chinese, "chinese_name"))
-        .when(script == "arabic", choice(a.arabic, "arabic_name"))
-        .when(script == "cyrillic", choice(a.cyrillic, "cyrillic_name"))
-        .otherwise(choice(config.short_name_threshold, "latin_default"))
-    )
+
+    def by_script(script: Column) -> Column:
+        return (
+            F.when(script == "chinese", choice(a.chinese, "chinese_name"))
+            .when(script == "arabic", choice(a.arabic, "arabic_name"))
+            .when(script == "cyrillic", choice(a.cyrillic, "cyrillic_name"))
+            .otherwise(choice(config.short_name_threshold, "latin_default"))
+        )
+
+    initials = choice(a.latin_initials, "latin_initials")
+    return F.when(latin_initials(name), initials).otherwise(once(name_script(name), by_script))
 
 
 def dob_year(date_text: Column) -> Column:

@@ -2,94 +2,107 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listwarden.functions.names import name_key
+from listwarden.functions.names import name_key, once
 
 # Executors need no copy of this package: the UDF travels with its helper functions.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SIGNATURE_BITS = 128
-_MASK_BYTES = 32 * 1024 * 1024
+SKETCH_WORDS = 4
+_MASK_BYTES = 64 * 1024 * 1024
 
 
-def _code_points(strings) -> tuple[np.ndarray, np.ndarray]:
+def _code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the strings in one array, and each string's length."""
-    lengths = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
-    return np.frombuffer("".join(strings).encode("utf-32-le"), dtype="<u4"), lengths
+    lengths = pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pc.sum(pc.binary_length(strings)).as_py() == lengths.sum():  # plain ASCII: bytes are letters
+        _, offsets, data = strings.buffers()
+        places = np.frombuffer(offsets, dtype=np.int32)[strings.offset: strings.offset + len(strings) + 1]
+        letters = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+        return letters[places[0]: places[-1]].astype(np.int64), lengths
+    joined = "".join(strings.to_pylist()).encode("utf-32-le")
+    return np.frombuffer(joined, dtype="<u4").astype(np.int64), lengths
 
 
-def lcs_lengths(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Length of the longest common subsequence of each pair, one batch at a time.
+def lcs_lengths(
+    left_names: pa.Array, left_ids: np.ndarray, right_names: pa.Array, right_ids: np.ndarray
+) -> np.ndarray:
+    """Length of the longest common subsequence of each pair (left_ids[i], right_ids[i]).
 
     Bit-parallel recurrence over whole columns: bit i of a pair's state belongs to character i of
     the left string; each step consumes one character of every right string of the batch.
     """
-    left_ids, left_names = pd.factorize(left)
-    right_ids, right_names = pd.factorize(right)
     left_points, left_len = _code_points(left_names)
     right_points, right_len = _code_points(right_names)
-    alphabet, dense = np.unique(np.concatenate([left_points, right_points]), return_inverse=True)
-    size = len(alphabet)
+    points = np.concatenate([left_points, right_points])
+    used = np.zeros(points.max(initial=0) + 1, dtype=bool)
+    used[points] = True
+    dense = (np.cumsum(used) - 1)[points]
+    size = int(used.sum()) + 1
     words = max(1, -(-int(left_len.max(initial=0)) // 64))
 
-    # masks[name, letter] has a bit for every place of the letter in the left name
-    masks = np.zeros((len(left_names), size + 1, words), dtype=np.uint64)
+    # masks[w][name * size + letter] has a bit for every place of the letter in the left name
+    masks = np.zeros((words, len(left_names) * size), dtype=np.uint64)
     owner = np.repeat(np.arange(len(left_names)), left_len)
     place = np.arange(len(left_points)) - np.repeat(np.cumsum(left_len) - left_len, left_len)
     bit = np.left_shift(np.uint64(1), (place % 64).astype(np.uint64))
-    np.bitwise_or.at(masks, (owner, dense[: len(left_points)], place // 64), bit)
+    np.bitwise_or.at(masks, (place // 64, owner * size + dense[: len(left_points)]), bit)
 
-    # letters of the right names, padded with a letter that occurs nowhere
-    letters = np.full((len(right_names), max(1, int(right_len.max(initial=0)))), size, dtype=np.int64)
+    # letters of the right names by place, padded with a letter that occurs nowhere
+    letters = np.full((max(1, int(right_len.max(initial=0))), len(right_names)), size - 1, dtype=np.int64)
     owner = np.repeat(np.arange(len(right_names)), right_len)
     place = np.arange(len(right_points)) - np.repeat(np.cumsum(right_len) - right_len, right_len)
-    letters[owner, place] = dense[len(left_points):]
+    letters[place, owner] = dense[len(left_points):]
 
-    state = np.full((words, len(left)), ~np.uint64(0))
-    for step in range(letters.shape[1]):
-        letter = letters[right_ids, step]
-        carry = np.zeros(len(left), dtype=np.uint64)
+    offset = left_ids.astype(np.int64) * size
+    state = np.full((words, len(left_ids)), ~np.uint64(0))
+    for row in letters:
+        where = offset + row[right_ids]
+        carry = None
         for w in range(words):
-            hit = masks[left_ids, letter, w]
+            hit = masks[w][where]
             shared = state[w] & hit
             total = state[w] + shared
-            overflow = total < shared
-            total += carry
-            overflow |= total < carry
+            if words > 1:
+                overflow = total < shared
+                if carry is not None:
+                    total += carry
+                    overflow |= total < carry
+                carry = overflow.astype(np.uint64)
             state[w] = total | (state[w] & ~hit)
-            carry = overflow.astype(np.uint64)
     return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
 
 
-def _bounded(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """``lcs_lengths`` in slices, so that the masks of very long texts stay small."""
-    longest = max(1, int(left.str.len().max()), int(right.str.len().max()))
-    per_name = 8 * (longest // 64 + 1) * min(longest * 2, 4096)
-    rows = max(1, _MASK_BYTES // per_name)
-    if rows >= len(left):
-        return lcs_lengths(left, right)
-    parts = [
-        lcs_lengths(left.iloc[i: i + rows], right.iloc[i: i + rows]) for i in range(0, len(left), rows)
-    ]
-    return np.concatenate(parts)
+def _encoded(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct strings and the position of each row's string among them."""
+    encoded = strings.cast(pa.string()).dictionary_encode()
+    return encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False)
 
 
-@F.pandas_udf(T.IntegerType())
-def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
     """Longest common subsequence length of two text columns (null if either is null)."""
-    present = left.notna() & right.notna()
-    result = pd.Series(pd.NA, index=left.index, dtype="Int32")
-    if present.any():
-        result[present] = _bounded(left[present], right[present])
-    return result
+    known = pc.and_(pc.is_valid(left), pc.is_valid(right))
+    a, b = pc.fill_null(left, ""), pc.fill_null(right, "")
+    longest = max(1, pc.max(pc.utf8_length(a)).as_py() or 0, pc.max(pc.utf8_length(b)).as_py() or 0)
+    # The masks of very long texts are kept small by taking fewer rows at a time.
+    rows = max(1, _MASK_BYTES // (8 * (longest // 64 + 1) * min(longest * 2, 4096)))
+    parts = [np.zeros(0, dtype=np.int64)]
+    for start in range(0, len(a), rows):
+        left_names, left_ids = _encoded(a.slice(start, rows))
+        right_names, right_ids = _encoded(b.slice(start, rows))
+        parts.append(lcs_lengths(left_names, left_ids, right_names, right_ids))
+    return pc.if_else(known, pa.array(np.concatenate(parts).astype(np.int32)), pa.scalar(None, pa.int32()))
 
 
 # A filter on the score must not make the planner run the comparison twice.
@@ -108,38 +121,46 @@ def token_sort_ratio(left: Column, right: Column) -> Column:
     return key_ratio(name_key(left), name_key(right))
 
 
-def with_bag_sketch(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
-    """Two 64-bit columns: a sketch of the (letter, occurrence) pairs of a key.
+def with_bag_sketch(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Columns <prefix>0 .. <prefix>3: a 256-bit sketch of the (letter, occurrence) pairs of a key.
 
-    Each pair sets one of 128 bits. A bit that differs between two sketches needs at least one pair
+    Each pair sets one bit. A bit that differs between two sketches needs at least one pair
     that the other name lacks, so the number of differing bits never exceeds the size of the
     symmetric difference of the two letter bags, which is at most
     ``len(a) + len(b) - 2 * common subsequence``. Comparing sketches therefore loses no match.
     """
     letters = F.sort_array(F.filter(F.split(key, ""), lambda c: c != ""))
-    sorted_letters = F.col("_letters")
-    bits = F.transform(
-        sorted_letters,
-        lambda c, i: F.pmod(
-            F.xxhash64(c, i - F.array_position(sorted_letters, c)), F.lit(SIGNATURE_BITS)
-        ).cast("int"),
-    )
+    one = F.lit(1).cast("long")
 
-    def half(low: int) -> Column:
-        mine = F.filter("_bits", lambda b: (b >= low) & (b < low + 64))
-        one = F.lit(1).cast("long")
-        return F.aggregate(
-            mine,
-            F.lit(0).cast("long"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)))),
+    def bits_of(sorted_letters: Column) -> Column:
+        occurrence = lambda c, i: i - F.array_position(sorted_letters, c)
+        return F.transform(
+            sorted_letters,
+            lambda c, i: F.pmod(F.xxhash64(c, occurrence(c, i)), F.lit(64 * SKETCH_WORDS)).cast("int"),
         )
 
-    stepwise = df.withColumn("_letters", letters).withColumn("_bits", bits)
-    return stepwise.withColumns({first: half(0), second: half(64)}).drop("_letters", "_bits")
+    def words_of(bits: Column) -> Column:
+        def word(w: int) -> Column:
+            mine = F.filter(bits, lambda b: b.between(64 * w, 64 * w + 63))
+            return F.aggregate(
+                mine,
+                F.lit(0).cast("long"),
+                lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(b, F.lit(64)))),
+            )
+
+        return F.struct(*[word(w).alias(f"{prefix}{w}") for w in range(SKETCH_WORDS)])
 
+    # A generator of one row is computed once, however many columns read it.
+    sketch = once(once(letters, bits_of), words_of)
+    return df.select("*", F.inline(F.array(sketch)))
 
-def differing_bits(left: tuple[Column, Column], right: tuple[Column, Column]) -> Column:
-    return F.bit_count(left[0].bitwiseXOR(right[0])) + F.bit_count(left[1].bitwiseXOR(right[1]))
+
+def differing_bits(left: str, right: str) -> Column:
+    """Number of differing bits of two sketches, given their column prefixes."""
+    parts = [
+        F.bit_count(F.col(f"{left}{w}").bitwiseXOR(F.col(f"{right}{w}"))) for w in range(SKETCH_WORDS)
+    ]
+    return functools.reduce(lambda a, b: a + b, parts)
 
 
 def trigrams(text: Column) -> Column:

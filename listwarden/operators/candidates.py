@@ -27,9 +27,14 @@ from listwarden.operators.joins import ROW_OVERHEAD, parallelism
 _SLACK = 1e-9
 
 
-def _sketched(keys: DataFrame, key: str, prefix: str) -> DataFrame:
-    sized = keys.withColumn(f"{prefix}len", F.length(key))
-    return with_bag_sketch(sized, key, f"{prefix}s0", f"{prefix}s1")
+def _sketched(keys: DataFrame, key: str, prefix: str, tasks: int) -> DataFrame:
+    """Keys with length and sketch, spread evenly.
+
+    The partition count is explicit because the rows are few and their work is not: sized by bytes,
+    they would all end in one task.
+    """
+    spread = keys.repartition(tasks, F.xxhash64(key))
+    return with_bag_sketch(spread.withColumn(f"{prefix}len", F.length(key)), key, f"{prefix}s")
 
 
 def _admissible_lengths(length: Column, score: Column) -> Column:
@@ -58,7 +63,7 @@ def name_pairs(
     largest, total_bytes = by_length.agg(F.max("rows"), F.sum("bytes")).first()
 
     tasks = parallelism(requests)
-    probe = _sketched(requests, "request_key", "r").withColumn(
+    probe = _sketched(requests, "request_key", "r", tasks).withColumn(
         "len", F.explode(_admissible_lengths(F.col("rlen"), F.col("min_score")))
     )
     probe = probe.withColumn(
@@ -66,8 +71,8 @@ def name_pairs(
         F.col("rlen") + F.col("len")
         - 2 * F.ceil(F.col("min_score") * (F.col("rlen") + F.col("len")) / 200.0 - _SLACK),
     )
-    build = _sketched(names, "list_key", "l").withColumnRenamed("llen", "len")
-    close = differing_bits((F.col("rs0"), F.col("rs1")), (F.col("ls0"), F.col("ls1"))) <= F.col("max_bits")
+    build = _sketched(names, "list_key", "l", tasks).withColumnRenamed("llen", "len")
+    close = differing_bits("rs", "ls") <= F.col("max_bits")
 
     if (total_bytes or 0) <= limits.broadcast_bytes:
         build = F.broadcast(build)
@@ -96,13 +101,8 @@ def name_pairs(
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per key with its lowest threshold, spread evenly for the costly comparison.
-
-    The partition count is explicit because the rows are few and their work is not: sized by bytes,
-    they would all end in one task.
-    """
-    lowest = requests.groupBy("request_key").agg(F.min("min_score").alias("min_score"))
-    return lowest.repartition(parallelism(requests), F.xxhash64("request_key"))
+    """One row per key with its lowest threshold."""
+    return requests.groupBy("request_key").agg(F.min("min_score").alias("min_score"))
 
 
 def best_alias(pairs: DataFrame, list_names: DataFrame) -> DataFrame:

@@ -188,16 +188,14 @@ def _other_type_pairs(prof: DataFrame, index: DataFrame, config: ScreeningConfig
     asked = prof.filter(
         F.col("doc_key").isNotNull() & F.col("document_type").isNotNull() & (F.col("request_key") != "")
     ).select("profile_id", "document_type", "doc_key", "request_key", F.length("request_key").alias("rlen"))
-    asked = with_bag_sketch(asked, "request_key", "rs0", "rs1")
+    asked = with_bag_sketch(asked, "request_key", "rs")
     listed = list_names(index.filter(F.size("same") > 0)).select(
         *ENTITY, "entity_type", "entity_year", "listed", F.col("doc_key").alias("list_doc_key"), "same",
         "imo", "position", "alias_text", "list_key", F.length("list_key").alias("llen"),
     )
-    listed = with_bag_sketch(listed, "list_key", "ls0", "ls1")
+    listed = with_bag_sketch(listed, "list_key", "ls")
     both = F.col("rlen") + F.col("llen")
-    may_reach = differing_bits(
-        (F.col("rs0"), F.col("rs1")), (F.col("ls0"), F.col("ls1"))
-    ) <= both - 2 * F.ceil(low * both / 200.0 - 1e-9)
+    may_reach = differing_bits("rs", "ls") <= both - 2 * F.ceil(low * both / 200.0 - 1e-9)
     pairs = asked.join(listed, (asked["doc_key"] == listed["list_doc_key"]) & may_reach).filter(~_exact())
     scored = pairs.withColumn("score", key_ratio(F.col("request_key"), F.col("list_key"))).filter(
         F.col("score") >= low
