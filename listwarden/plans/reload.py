@@ -47,7 +47,7 @@ def reload_lists(
     return Reload(parsed, report.na.fill(0))
 
 
-POINTER = "_CURRENT"
+POINTER = "CURRENT"
 
 
 def publish(entities: DataFrame, folder: str, version: str) -> str:
