@@ -130,18 +130,29 @@ def with_bag_sketch(df: DataFrame, key: str, prefix: str) -> DataFrame:
     ``len(a) + len(b) - 2 * common subsequence``. Comparing sketches therefore loses no match.
     """
     letters = F.sort_array(F.filter(F.split(key, ""), lambda c: c != ""))
-    one = F.lit(1).cast("long")
 
     def bits_of(sorted_letters: Column) -> Column:
         occurrence = lambda c, i: i - F.array_position(sorted_letters, c)
-        return F.transform(
-            sorted_letters,
-            lambda c, i: F.pmod(F.xxhash64(c, occurrence(c, i)), F.lit(64 * SKETCH_WORDS)).cast("int"),
-        )
+        return F.transform(sorted_letters, lambda c, i: sketch_bit(c, occurrence(c, i)))
+
+    return _with_sketch(df, once(letters, bits_of), prefix)
+
+
+def with_set_sketch(df: DataFrame, items: str, prefix: str) -> DataFrame:
+    """The same sketch of an array of distinct items."""
+    return _with_sketch(df, F.transform(items, lambda item: sketch_bit(item)), prefix)
+
+
+def sketch_bit(*values: Column) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(64 * SKETCH_WORDS)).cast("int")
+
+
+def _with_sketch(df: DataFrame, bits: Column, prefix: str) -> DataFrame:
+    one = F.lit(1).cast("long")
 
-    def words_of(bits: Column) -> Column:
+    def words_of(given: Column) -> Column:
         def word(w: int) -> Column:
-            mine = F.filter(bits, lambda b: b.between(64 * w, 64 * w + 63))
+            mine = F.filter(given, lambda b: b.between(64 * w, 64 * w + 63))
             return F.aggregate(
                 mine,
                 F.lit(0).cast("long"),
@@ -151,8 +162,7 @@ def with_bag_sketch(df: DataFrame, key: str, prefix: str) -> DataFrame:
         return F.struct(*[word(w).alias(f"{prefix}{w}") for w in range(SKETCH_WORDS)])
 
     # A generator of one row is computed once, however many columns read it.
-    sketch = once(once(letters, bits_of), words_of)
-    return df.select("*", F.inline(F.array(sketch)))
+    return df.select("*", F.inline(F.array(once(bits, words_of))))
 
 
 def differing_bits(left: str, right: str) -> Column:

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwarden.functions.names import normalize_document, normalize_name
-from listwarden.functions.similarity import trigram_set_similarity, trigrams
+from listwarden.functions.similarity import (
+    SKETCH_WORDS,
+    differing_bits,
+    trigram_set_similarity,
+    trigrams,
+    with_set_sketch,
+)
+from listwarden.operators.joins import parallelism
 
 ENTITY = ["source", "entity_id"]
 
@@ -68,48 +75,59 @@ def search_by_name(
     return scored.orderBy(F.col("similarity").desc(), *ENTITY).limit(limit)
 
 
-def similar_name_pairs(
-    left: DataFrame, right: DataFrame, threshold: float = 0.3
-) -> DataFrame:
+GRAM_ROWS = 2_000
+
+
+def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
     """All pairs of distinct texts whose trigram similarity exceeds a threshold, without loss.
 
     left: (left_text), right: (right_text). Each text keeps only its rarest trigrams, as many as two
-    texts of that similarity must share one of (prefix filter); a pair is compared at its rarest
-    common one, so every pair is met once and the frequent trigrams never meet.
+    texts of that similarity must share one of (prefix filter). Inside the join a pair must still be
+    able to share enough trigrams from this one on, and its sketches may differ in few bits only; the
+    pair is then kept at its rarest common trigram, so it is met once. A frequent trigram is split
+    into blocks of bounded size.
     """
-    marked = left.select(F.lit(0).alias("side"), F.col("left_text").alias("text")).unionByName(
-        right.select(F.lit(1).alias("side"), F.col("right_text").alias("text"))
-    ).distinct()
-    grams = marked.withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
-    exploded = grams.select("side", "text", F.explode("grams").alias("gram"))
+    left_texts = left.select(F.col("left_text").alias("text")).distinct().withColumn("side", F.lit(0))
+    right_texts = right.select(F.col("right_text").alias("text")).distinct().withColumn("side", F.lit(1))
+    texts = left_texts.unionByName(right_texts).repartition(parallelism(left), F.xxhash64("text"))
+    exploded = texts.select("side", "text", F.explode(trigrams(F.col("text"))).alias("gram"))
     frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
     ranked = exploded.join(frequency, "gram").groupBy("side", "text").agg(
         F.sort_array(F.collect_list(F.struct("uses", "gram"))).alias("ranked")
     )
-    size = F.size("ranked")
-    # A similarity above t needs more than t * size shared trigrams, so one of the first
-    # size - floor(t * size) is shared (at least floor(t * size) + 1 are).
-    keep = size - F.floor(size * threshold + 1e-9).cast("int")
-    prefixed = ranked.select(
-        "side", "text", F.transform("ranked", lambda r: r["gram"]).alias("grams"),
-        F.transform(F.slice("ranked", F.lit(1), keep), lambda r: r["gram"]).alias("prefix"),
-    ).withColumn("gram", F.explode("prefix"))
-    a = prefixed.filter(F.col("side") == 0).select(
-        "gram", F.col("text").alias("left_text"), F.col("grams").alias("left_grams"), F.col("prefix").alias("left_prefix")
-    )
-    b = prefixed.filter(F.col("side") == 1).select(
-        "gram", F.col("text").alias("right_text"), F.col("grams").alias("right_grams"), F.col("prefix").alias("right_prefix")
+    sized = ranked.withColumn("size", F.size("ranked")).withColumn(
+        "grams", F.transform("ranked", lambda r: r["gram"])
     )
-    sizes_fit = (
-        F.least(F.size("left_grams"), F.size("right_grams"))
-        > threshold * F.greatest(F.size("left_grams"), F.size("right_grams"))
-    )
-    first_common = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("gram")
-    met = a.join(b.withColumnRenamed("gram", "right_gram"), (F.col("gram") == F.col("right_gram")) & sizes_fit).filter(first_common)
+    # More than threshold * size trigrams are shared, so one of the first size - floor(that) is.
+    keep = F.col("size") - F.floor(F.col("size") * threshold + 1e-9).cast("int")
+    prefixed = with_set_sketch(sized, "grams", "s").withColumn("prefix", F.slice("grams", F.lit(1), keep))
+    places = prefixed.select(
+        "*", F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("place", "r")
+    ).withColumn("blocks", F.ceil(F.col("r.uses") / GRAM_ROWS).cast("int"))
+
+    def side(number: int, name: str) -> DataFrame:
+        kept = places.filter(F.col("side") == number).withColumn("gram", F.col("r.gram"))
+        spread = (
+            kept.withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+            if number == 0
+            else kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        )
+        columns = ["text", "size", "grams", "prefix", "place", *[f"s{w}" for w in range(SKETCH_WORDS)]]
+        return spread.select("gram", "block", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    a, b = side(0, "left"), side(1, "right")
+    both = F.col("left_size") + F.col("right_size")
+    # Counted from the rarest common trigram on, that one included.
+    still_possible = F.least(
+        F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place")
+    ) > both * (threshold / (1 + threshold)) - 1e-9
+    close = differing_bits("left_s", "right_s") <= F.floor(both * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    met = a.join(b, (a["gram"] == b["gram"]) & (a["block"] == b["block"]) & still_possible & close)
     score = trigram_set_similarity(F.col("left_grams"), F.col("right_grams"))
-    return met.withColumn("similarity", score).filter(F.col("similarity") > threshold).select(
-        "left_text", "right_text", "similarity"
-    )
+    first_common = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == a["gram"]
+    return met.filter(first_common).withColumn("similarity", score).filter(
+        F.col("similarity") > threshold
+    ).select("left_text", "right_text", "similarity")
 
 
 def search_by_names(
