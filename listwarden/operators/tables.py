@@ -17,6 +17,7 @@ from listwarden.functions.similarity import (
     with_set_sketch,
 )
 from listwarden.operators.joins import parallelism
+from listwarden.operators.staging import materialized
 
 ENTITY = ["source", "entity_id"]
 
@@ -83,9 +84,9 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
 
     left: (left_text), right: (right_text). Each text keeps only its rarest trigrams, as many as two
     texts of that similarity must share one of (prefix filter). Inside the join a pair must still be
-    able to share enough trigrams from this one on, and its sketches may differ in few bits only; the
-    pair is then kept at its rarest common trigram, so it is met once. A frequent trigram is split
-    into blocks of bounded size.
+    able to share enough trigrams from this one on, and its sketches may differ in few bits only.
+    Only the pairs that are left read the trigrams themselves. A frequent trigram is split into
+    blocks of bounded size.
     """
     left_texts = left.select(F.col("left_text").alias("text")).distinct().withColumn("side", F.lit(0))
     right_texts = right.select(F.col("right_text").alias("text")).distinct().withColumn("side", F.lit(1))
@@ -100,9 +101,9 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
     )
     # More than threshold * size trigrams are shared, so one of the first size - floor(that) is.
     keep = F.col("size") - F.floor(F.col("size") * threshold + 1e-9).cast("int")
-    prefixed = with_set_sketch(sized, "grams", "s").withColumn("prefix", F.slice("grams", F.lit(1), keep))
-    places = prefixed.select(
-        "*", F.posexplode(F.slice("ranked", F.lit(1), keep)).alias("place", "r")
+    texts = materialized(with_set_sketch(sized, "grams", "s"), "texts")
+    places = texts.drop("grams").withColumn("prefix", F.slice("ranked", F.lit(1), keep)).select(
+        "*", F.posexplode("prefix").alias("place", "r")
     ).withColumn("blocks", F.ceil(F.col("r.uses") / GRAM_ROWS).cast("int"))
 
     def side(number: int, name: str) -> DataFrame:
@@ -112,7 +113,7 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
             if number == 0
             else kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         )
-        columns = ["text", "size", "grams", "prefix", "place", *[f"s{w}" for w in range(SKETCH_WORDS)]]
+        columns = ["text", "size", "place", *[f"s{w}" for w in range(SKETCH_WORDS)]]
         return spread.select("gram", "block", *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     a, b = side(0, "left"), side(1, "right")
@@ -122,12 +123,23 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
         F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place")
     ) > both * (threshold / (1 + threshold)) - 1e-9
     close = differing_bits("left_s", "right_s") <= F.floor(both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    met = a.join(b, (a["gram"] == b["gram"]) & (a["block"] == b["block"]) & still_possible & close)
+    met = a.join(
+        b.hint("shuffle_hash"), (a["gram"] == b["gram"]) & (a["block"] == b["block"]) & still_possible & close
+    )
+    pairs = met.select("left_text", "right_text").distinct()
+
+    def grams_of(number: int, name: str) -> DataFrame:
+        mine = texts.filter(F.col("side") == number)
+        return mine.select(F.col("text").alias(f"{name}_text"), F.col("grams").alias(f"{name}_grams"))
+
     score = trigram_set_similarity(F.col("left_grams"), F.col("right_grams"))
-    first_common = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == a["gram"]
-    return met.filter(first_common).withColumn("similarity", score).filter(
-        F.col("similarity") > threshold
-    ).select("left_text", "right_text", "similarity")
+    return (
+        pairs.join(grams_of(0, "left"), "left_text")
+        .join(grams_of(1, "right"), "right_text")
+        .withColumn("similarity", score)
+        .filter(F.col("similarity") > threshold)
+        .select("left_text", "right_text", "similarity")
+    )
 
 
 def search_by_names(
