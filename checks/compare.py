@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -22,6 +24,7 @@ def session(cpus: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="run-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
