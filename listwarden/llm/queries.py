@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import topk, url_filter
+from listwarden.llm import decontaminate, packing, pii, topk, url_filter
 from listwarden.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -75,3 +75,77 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+ORACLES["op6_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS said FROM bi),
+sizes AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS i, w FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS said FROM di),
+hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, said)),
+hw AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+it AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _pii_sql() -> str:
+    """The kinds differ only in pattern and check; positions are sums of the lengths of what lies before."""
+    # patterns as the contract states them
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": pii.KINDS["iban"][0], "ssn": pii.KINDS["ssn"][0],
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    checks = {
+        "email": "true",
+        "ip": r"len(list_filter(string_split(m, '.'), lambda p: NOT regexp_matches(p, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT) ELSE (2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT)) // 10 + (2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT)) % 10 END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "iban": "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+        "ssn": "regexp_matches(lower(substr(t, greatest(s - 39, 1), least(s, 40)) || ' ' || substr(t, e + 1, 40)), '\\b(ssn|social|security)\\b')",
+    }
+    parts = []
+    for k, (kind, pattern) in enumerate(patterns.items()):
+        parts.append(f"""
+SELECT doc_id, {k} AS k, '{kind}' AS kind, s, e FROM (SELECT doc_id, t, x.m AS m, x.s AS s, x.s + length(x.m) AS e FROM (
+  SELECT doc_id, t, unnest(list_transform(ms, lambda m, i: {{'m': m, 's': CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS BIGINT)}})) AS x
+  FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d) WHERE len(ms) > 0))
+WHERE {checks[kind]}""")
+    union = " UNION ALL ".join(parts)
+    told = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in pii.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({union})
+SELECT d.doc_id, {counts}, sha256(coalesce({told} FILTER (k < 4), '')) AS base_sha256, coalesce({told} FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLES["op10_pii"] = _pii_sql()
