@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import decontaminate, packing, pii, topk, url_filter
+from listwarden.llm import decontaminate, packing, pii, topk, url_filter, warc
 from listwarden.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -16,6 +16,27 @@ def query(function):
     return function
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    archives = warc.normalise(warc.write(pages))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h)
+SELECT page_id, payload_bytes,
+  -- five hexadecimal digits are four digits of base 32
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([32768, 1024, 32, 1],
+    lambda u: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS INT) // u) % 32 + 1 AS INT), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+
 # fixed values of the contract: host, path, verdict
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Hosts with one of these labels put their pages' canonical URLs on the list.
