@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import decontaminate, packing, pii, topk, url_filter, warc
+from listwarden.llm import decontaminate, lines, packing, pii, quality, topk, url_filter, warc
 from listwarden.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -136,6 +136,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("found")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _pii_sql() -> str:
     """The kinds differ only in pattern and check; positions are sums of the lengths of what lies before."""
     # patterns as the contract states them
