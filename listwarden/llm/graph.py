@@ -33,7 +33,7 @@ def bucket_groups(buckets: DataFrame, check: Callable[[DataFrame, DataFrame], Da
     """(id, component) of the ids that ``check`` links to another one of the same bucket.
 
     buckets: (bucket, id), distinct. ``prepare(ids)`` gives what ``check(pairs, prepared)`` needs to return the linked ones of
-    ``pairs`` (a, b). The groups are those of all pairs of a bucket, without forming them: first each bucket's members are checked with one
+    ``pairs`` (a, b), where many pairs may share one a. The groups are those of all pairs of a bucket, without forming them: first each bucket's members are checked with one
     of them only. What is linked is one group; pairs within a group need no check. Only buckets that still hold several
     groups go on, with another member each, until the pairs left are at most ``cheap`` times the members, or after
     ``stars`` rounds; then every pair of members of different groups that is left is checked.
@@ -61,7 +61,7 @@ def bucket_groups(buckets: DataFrame, check: Callable[[DataFrame, DataFrame], Da
         else:
             center = F.min(F.struct(F.xxhash64("id", F.lit(star)).alias("h"), F.col("id").alias("a"), F.col("component").alias("ca")))
             centers = staged(inside.groupBy("bucket").agg(center.alias("c")).select("bucket", "c.a", "c.ca"), "centers")
-            pairs = inside.join(centers, "bucket").filter(F.col("component") != F.col("ca")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+            pairs = inside.join(centers, "bucket").filter(F.col("component") != F.col("ca")).select("a", F.col("id").alias("b"))
         found = staged(check(pairs.distinct(), prepared).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
