@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import decontaminate, lines, minhash, packing, pii, quality, topk, url_filter, warc
+from listwarden.llm import decontaminate, html_wrappers, lines, minhash, packing, pii, quality, topk, url_filter, warc
 from listwarden.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +147,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
