@@ -94,8 +94,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def grow(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, cuts: int = 32, least: float = 0.005) -> list[Rule]:
-    """Rules of boosted trees: in each node the cut that reduces the squared error of the gradient most."""
+def grow(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, cuts: int = 32, least: float = 0.005) -> list[Rule]:
+    """Rules of boosted trees: in each node the cut that reduces the squared error of the gradient most.
+
+    Each tree sees half of the rows and of the statistics, so that statistics that tell the same each get rules.
+    """
+    rng, names = np.random.default_rng(7), list(x)
     edges = {n: np.unique(np.quantile(v, np.linspace(0, 1, cuts + 1)[1:-1])) for n, v in x.items()}
     bins = {n: np.searchsorted(edges[n], v, side="left") for n, v in x.items()}
     margin, rules, floor = np.zeros(len(y)), {}, max(2, int(least * len(y)))
@@ -105,7 +109,7 @@ def grow(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 24, depth: int =
             rules.setdefault(Rule(tuple((n, *bounds[n]) for n in sorted(bounds))))
         residual, best = gradient[rows], (1e-9, None, None)
         if left and len(rows) >= 2 * floor:
-            for n in x:
+            for n in seen:
                 size = len(edges[n]) + 1
                 count = np.cumsum(np.bincount(bins[n][rows], minlength=size))[:-1]
                 total = np.cumsum(np.bincount(bins[n][rows], weights=residual, minlength=size))[:-1]
@@ -116,7 +120,7 @@ def grow(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 24, depth: int =
                         best = (gain.max(), n, int(gain.argmax()))
         if best[1] is None:
             curve = (chance[rows] * (1 - chance[rows])).sum()
-            margin[rows] += rate * residual.sum() / max(curve, 1e-6)
+            leaves.append((bounds, rate * residual.sum() / max(curve, 1e-6)))
             return
         _, n, k = best
         low, high = bounds.get(n, (-np.inf, np.inf))
@@ -126,12 +130,15 @@ def grow(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 24, depth: int =
 
     for _ in range(trees):
         chance = 1 / (1 + np.exp(-margin))
-        gradient = y - chance
-        split(np.arange(len(y)), depth, {})
+        gradient, leaves = y - chance, []
+        seen = rng.choice(names, max(1, len(names) // 2), replace=False).tolist()
+        split(np.sort(rng.choice(len(y), max(1, len(y) // 2), replace=False)), depth, {})
+        for bounds, step in leaves:
+            margin[Rule(tuple((n, *b) for n, b in bounds.items())).holds(x) if bounds else slice(None)] += step
     return list(rules)
 
 
-def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
+def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 800) -> tuple[float, np.ndarray]:
     """Intercept and weights of a logistic model with an L1 penalty, by accelerated proximal steps."""
     n, m = r.shape
     step = 4 * n / (np.linalg.norm(r, 2) ** 2 + n)
