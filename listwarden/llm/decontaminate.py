@@ -5,7 +5,8 @@ document is read as an array of word hashes; the hashes of its windows are joine
 is verified word by word against the window itself. A document word inside any occurrence of a window is hit.
 
 The benchmark is a fixed list that does not grow with the corpus. Its windows are broadcast only while they
-are at most ``broadcast_windows`` (24 bytes each); beyond that Spark joins them by shuffling.
+are at most ``broadcast_windows`` (24 bytes each); beyond that Spark joins them by shuffling. For the verification the keys of the documents
+with hits (16 bytes each) pick their texts, by broadcast up to ``broadcast_documents`` of them, so that other texts are not shuffled.
 
 Cases: words are those of ``common.words``; null and blank texts have none. Equal rows come back as often as they came, each
 judged alike; rows with one doc_id and different texts are judged apart. Items that repeat a window all count. An empty
@@ -43,7 +44,7 @@ def windows(benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
     return by_window.select(F.xxhash64(_hashes(F.col("spoken"))).alias("hash"), F.size("spoken").alias("n"), "spoken", "items")
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, broadcast_windows: int = 4_000_000) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, broadcast_windows: int = 4_000_000, broadcast_documents: int = 1_000_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text): doc_id, text_hash, n_words, n_hit, n_items, items (sorted as strings),
     spans (start and end word of each maximal run of hit words, end exclusive), contaminated."""
     listed = staged(windows(benchmark, length), "windows")
@@ -63,7 +64,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, broadcast
     hits = staged(hits, "hits")
 
     w = words(F.col("text"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    keys = hits.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_t"))
+    keys = F.broadcast(keys) if keys.count() <= broadcast_documents else keys
+    hit_document = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_t"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(keys, hit_document, "left_semi")
     said = (
         texts.join(hits.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_text", "_t"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text").eqNullSafe(F.col("_t")))
         .select("doc_id", "_text", F.explode("hits").alias("hit"), w.alias("w"))
