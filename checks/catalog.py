@@ -276,6 +276,16 @@ def csv_requests(spark, d):
     return files.read_requests(spark, path).select("name", "document_number", "country")
 
 
+@query
+def csv_line_breaks(spark, d):
+    """Whole texts, with their line breaks and quotes, as the name column of a request file."""
+    path = _fresh(spark, "texts.csv")
+    rows = docs(spark, d).select(F.col("text").alias("nombre"), F.col("doc_id").cast("string").alias("cedula"))
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    read = files.read_requests(spark, path)
+    return read.select(F.col("document_number").cast("bigint").alias("doc_id"), F.sha2("name", 256).alias("name_hash"))
+
+
 @query
 def jsonl_audit(spark, d):
     path = _fresh(spark, "audit.jsonl")
@@ -316,11 +326,16 @@ def hash_verify(spark, d):
 
 @query
 def list_metadata(spark, d):
-    path = _fresh(spark, "list.xml")
-    rows = V.entities(spark, d).select(F.col("entity_id").alias("_id"), "primary_name")
-    rows.write.format("xml").option("rootTag", "sanctions").option("rowTag", "entity").save(path)
-    return files.list_metadata(spark, f"{path}/*.xml", "OFAC", ["entity"], root_tag="sanctions").select(
-        "source", "record_count", "version"
+    """A list file for each source; the counts must be those of each file."""
+    path = _fresh(spark, "lists")
+    rows = V.entities(spark, d).select(F.col("entity_id").alias("_id"), "primary_name", F.col("source").alias("of"))
+    # a partition for each source, so that each has one file
+    parts = rows.repartition(1).sortWithinPartitions("of")
+    parts.write.format("xml").option("rootTag", "sanctions").option("rowTag", "entity").partitionBy("of").save(path)
+    found = files.list_metadata(spark, f"{path}/*/*.xml", "LIST", ["entity"], root_tag="sanctions")
+    return found.select(
+        F.regexp_extract("path", "of=([A-Z]+)/", 1).alias("source"), "record_count",
+        (F.col("size_bytes") > 0).alias("has_size"), F.length("sha256").alias("hash_length"), F.col("last_update").isNotNull().alias("has_date"),
     )
 
 
@@ -540,7 +555,7 @@ def fk_orphans(spark, d):
 
 @query
 def table_counts(spark, d):
-    names = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
+    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
     return quality.table_counts({n: V.table(spark, d, n) for n in names})
 
 
@@ -749,6 +764,15 @@ def screen_results(spark, d):
     )
 
 
+@query
+def screen_repeated_rows(spark, d):
+    """Every request twice under one id: each row has the matches once."""
+    once = quality.validated(V.requests(spark, d))
+    requests = once.unionByName(once)
+    matches = materialized(screening.rounded(screening.screen(requests, _lists(spark, d))), "matches")
+    return screening.screening_results(requests, matches).select("request_id", "is_hit", "hit_count", "max_confidence")
+
+
 @query
 def bulk_summary(spark, d):
     requests, matches = _screened(spark, d)
@@ -879,6 +903,20 @@ def list_by_source(spark, d):
     return page.select("entity_id", "primary_name", "total")
 
 
+@query
+def page_past_end(spark, d):
+    """A page behind the last row still tells how many rows there are."""
+    page = paging.list_by_source(V.entities(spark, d), "UN", None, 100_000_000, 25)
+    return page.select("entity_id", "primary_name", "total")
+
+
+@query
+def page_after_key(spark, d):
+    """The page behind a row, by key instead of offset."""
+    orders = V.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return paging.page_after(orders, ["o_custkey", "o_orderkey"], [10, 200], 50)
+
+
 @query
 def query_stats(spark, d):
     s = stats.query_stats(V.operations(spark, d))
@@ -960,8 +998,11 @@ def all_entities(spark, d):
 
 @query
 def dedup_requests(spark, d):
-    log = V.audit_logs(spark, d).withColumn("second", F.date_trunc("second", "timestamp")).withColumn("half_hour", F.window("timestamp", "6 hours")["start"])
-    first = tables.first_per_request(log, ["action", "actor_id", "half_hour"], [F.col("timestamp"), F.col("log_id")])
+    """Equal requests of one analyst within one second: each event twice, the copy some hundred milliseconds later."""
+    log = V.audit_logs(spark, d)
+    late = log.withColumns({"log_id": -F.col("log_id") - 1, "timestamp": F.timestamp_add("MILLISECOND", F.lit(400), F.col("timestamp"))})
+    both = log.unionByName(late).withColumn("second", F.date_trunc("second", "timestamp"))
+    first = tables.first_per_request(both, ["action", "props", "actor_id", "second"], [F.col("timestamp"), F.col("log_id")])
     return first.select("log_id", "action", "actor_id", F.date_format("second", "yyyy-MM-dd HH:mm:ss").alias("second"))
 
 
@@ -986,12 +1027,22 @@ def _versioned(spark, d) -> DataFrame:
 
 @query
 def apply_updates(spark, d):
+    """One update for most entities; two for persons and for vessels, whose second one clears a field."""
     entity = V.entities(spark, d)
-    updates = entity.filter(F.col("entity_type") != "aircraft").select(
-        "source", "entity_id", F.when(F.col("entity_type") == "individual", F.concat("primary_name", F.lit(" é"))).alias("primary_name"),
-        F.upper("nationality").alias("nationality"),
+    none = F.lit(None).cast("string")
+    person, vessel = F.col("entity_type") == "individual", F.col("entity_type") == "vessel"
+    first = entity.filter(F.col("entity_type") != "aircraft").select(
+        "source", "entity_id", F.when(person, F.concat("primary_name", F.lit(" é"))).alias("primary_name"),
+        F.upper("nationality").alias("nationality"), F.array().cast("array<string>").alias("cleared"), F.lit(1).alias("n"),
+    )
+    second = entity.filter(person | vessel).select(
+        "source", "entity_id", none.alias("primary_name"), F.when(person, F.lower("nationality")).alias("nationality"),
+        F.when(vessel, F.array(F.lit("nationality"))).alias("cleared"), F.lit(2).alias("n"),
+    )
+    updates = second.unionByName(first)
+    changed = tables.apply_updates(
+        _versioned(spark, d), updates, ["source", "entity_id"], ["primary_name", "nationality"], day("2024-01-01"), ["n"], "cleared"
     )
-    changed = tables.apply_updates(_versioned(spark, d), updates, ["source", "entity_id"], ["primary_name", "nationality"], day("2024-01-01"))
     return changed.select("source", "entity_id", "primary_name", "normalized_name", "nationality", "version", F.col("updated_at").isNotNull().alias("touched"))
 
 
@@ -1004,11 +1055,23 @@ def soft_delete(spark, d):
 
 @query
 def request_completion(spark, d):
-    requests = V.screening_requests(spark, d).select("request_id", F.lit("processing").alias("status"), F.col("created_at").alias("processing_start"))
-    outcomes = V.screening_results(spark, d).groupBy("request_id").agg(
-        F.max("finished_at").alias("processing_end"), F.max("max_confidence").alias("c")
-    ).select("request_id", "processing_end", F.when(F.col("c") > 98, "TOO_HIGH").alias("error_code"), F.when(F.col("c") > 98, "confidence").alias("error_message"))
-    return tables.finish_requests(requests, outcomes).select("request_id", "status", "processing_time_ms", "error_code")
+    """Events as requests: most end some milliseconds later, errors fail, purchases had ended before and have no new outcome."""
+    events = V.table(spark, d, "events")
+    bought, failed = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    after = lambda ms: F.timestamp_add("MILLISECOND", ms, F.col("ts"))
+    took = F.floor("value").cast("int")
+    requests = events.select(
+        F.col("event_id").alias("request_id"), F.when(bought, "completed").otherwise("processing").alias("status"), F.col("ts").alias("processing_start"),
+        F.when(bought, after(F.lit(7))).alias("processing_end"), F.when(bought, F.lit(7)).cast("bigint").alias("processing_time_ms"),
+        F.when(bought, "old").alias("error_message"),
+    )
+    outcomes = events.filter(~bought).select(
+        F.col("event_id").alias("request_id"), after(took).alias("processing_end"), F.when(failed, "FAILED").alias("error_code"),
+        F.when(failed, F.col("props")).alias("error_message"), F.lit("2.0.0").alias("algorithm_version"),
+    )
+    early = outcomes.withColumn("processing_end", F.timestamp_add("MILLISECOND", F.lit(-1), F.col("processing_end"))).withColumn("error_code", F.lit("EARLY"))
+    done = tables.finish_requests(requests, outcomes.unionByName(early))
+    return done.select("request_id", "status", "processing_time_ms", "error_code", "error_message", "algorithm_version", F.date_format("processing_end", "HH:mm:ss.SSS").alias("ended"))
 
 
 @query

@@ -277,7 +277,8 @@ ORACLES: dict[str, str] = {
     "jsonl_audit": "SELECT cast(event_id AS VARCHAR) screening_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, event_type AS name, props document, event_type <> 'error' is_hit, value top_score FROM events",
     "hash_verify": """SELECT cast(doc_id AS VARCHAR) file_name, sha256(text) sha256, CASE WHEN n_chars <= 500 THEN 'new' WHEN lang = 'en' OR upper(text) = text THEN 'ok' ELSE 'mismatch' END status,
   n_chars <= 500 OR lang = 'en' OR upper(text) = text is_valid FROM documents""",
-    "list_metadata": f"WITH {DOCW}, {ENT} SELECT 'OFAC' source, count(*) record_count, NULL::VARCHAR AS version FROM ent",
+    "csv_line_breaks": r"SELECT doc_id, sha256(trim(text)) name_hash FROM documents WHERE trim(text) <> ''",
+    "list_metadata": f"WITH {DOCW}, {ENT} SELECT source, count(*) record_count, true has_size, 64 hash_length, true has_date FROM ent GROUP BY 1",
     "seed_programs": f"""WITH have AS (SELECT DISTINCT upper(p_type) code FROM part UNION ALL SELECT CASE WHEN n_nationkey = 0 THEN 'IRAN' ELSE upper(n_name) END FROM nation),
   seed(code, name, authority) AS (VALUES {SEEDS})
   SELECT code, lower(code) AS name, NULL::VARCHAR authority, NULL::BOOLEAN is_active FROM have UNION ALL SELECT code, name, authority, true FROM seed WHERE code NOT IN (SELECT code FROM have)""",
@@ -328,7 +329,7 @@ ORACLES: dict[str, str] = {
   UNION ALL SELECT 'requests.analyst', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'results.supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
   UNION ALL SELECT 'labels.doc_id', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'events.user_id', count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)
   UNION ALL SELECT 'parts.size', count(*) FROM part WHERE p_size NOT IN (SELECT n_nationkey FROM nation)""",
-    "table_counts": " UNION ALL ".join(f"SELECT '{t}' table_name, count(*) AS rows FROM {t}" for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split()),
+    "table_counts": " UNION ALL ".join(f"SELECT '{t}' table_name, count(*) AS rows FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()),
     "screen_document": f"""WITH {DOCW}, {ENT}, {REQ}, r AS (SELECT request_id, nullif({docnorm('document_number')}, '') dk, document_type dt FROM req),
   e AS (SELECT *, {docnorm('document_number')} edk, {docnorm('vessel_imo')} imok FROM ent)
   SELECT request_id, source, entity_id, primary_name matched_name, CASE WHEN dk = edk AND (dt IS NULL OR upper(dt) = upper(document_type)) THEN document_number ELSE vessel_imo END matched_document,
@@ -363,6 +364,7 @@ ORACLES: dict[str, str] = {
     "screen_full": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
     "stream_screen": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
     "screen_results": f"""WITH {SCREEN} SELECT request_id, is_hit, hit_count, max_confidence, recommendation, '2.0.0' algorithm_version, 75::DOUBLE threshold_name, 75::DOUBLE threshold_short_name, matches FROM res""",
+    "screen_repeated_rows": f"WITH {SCREEN} SELECT request_id, is_hit, hit_count, max_confidence FROM res UNION ALL SELECT request_id, is_hit, hit_count, max_confidence FROM res",
     "bulk_summary": f"WITH {SCREEN} SELECT count(*) total_screened, count(*) FILTER (is_hit) total_hits, printf('%.2f%%', count(*) FILTER (is_hit) * 100.0::DOUBLE / count(*)) hit_rate FROM res",
     "export_rows": f"""WITH {SCREEN} SELECT coalesce(name, '') nombre, coalesce(document_number, '') documento, coalesce(country, '') pais, CASE WHEN is_hit THEN 'COINCIDENCIA' ELSE 'LIMPIO' END resultado,
   hit_count coincidencias, coalesce(recommendation, 'APPROVE') recomendacion FROM res""",
@@ -383,6 +385,8 @@ ORACLES: dict[str, str] = {
     "entity_rollup": f"WITH {DOCW}, {ENT} SELECT source, entity_type, count(*) n, grouping(source, entity_type)::INT AS level FROM ent WHERE NOT is_deleted GROUP BY ROLLUP (source, entity_type)",
     "list_by_source": f"""WITH {DOCW}, {ENT}, c AS (SELECT entity_id, primary_name, count(*) OVER () total FROM ent WHERE NOT is_deleted AND source = 'UN' AND entity_type = 'individual')
   SELECT entity_id, primary_name, total FROM c ORDER BY primary_name, entity_id LIMIT 25 OFFSET 3""",
+    "page_past_end": f"WITH {DOCW}, {ENT} SELECT NULL::VARCHAR entity_id, NULL::VARCHAR primary_name, count(*) total FROM ent WHERE NOT is_deleted AND source = 'UN'",
+    "page_after_key": "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (10, 200) ORDER BY 1, 2 LIMIT 50",
     "query_stats": f"""SELECT event_type operation, count(*) calls, round(sum(value * 4), 2) total_time_ms, round(avg(value * 4), 2) avg_time_ms, round(min(value * 4), 2) min_time_ms, round(max(value * 4), 2) max_time_ms,
   count(*) FILTER (event_type = 'error') errors, count(*) FILTER (value * 4 > 1000) slow_queries, strftime(max(ts), {FMT}) last_executed FROM events GROUP BY 1""",
     "slow_operations": "SELECT event_type operation, count(*) slow_queries FROM events WHERE value * 4 > 1000 GROUP BY 1",
@@ -397,16 +401,20 @@ ORACLES: dict[str, str] = {
     "last_events": "SELECT event_id log_id, event_type AS action FROM events ORDER BY ts DESC, event_id DESC LIMIT 100",
     "latest_update": f"SELECT event_type AS action, strftime(max(ts), {FMT}) latest, strftime(min(ts), {FMT}) oldest FROM events GROUP BY 1",
     "active_sources": "SELECT s_name code FROM supplier WHERE s_acctbal > 5000 ORDER BY 1",
-    "dedup_requests": f"""SELECT event_id log_id, event_type AS action, user_id actor_id, strftime(date_trunc('second', ts), {FMT}) AS second FROM
-  (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, epoch(ts)::BIGINT // 21600 ORDER BY ts, event_id) n FROM (SELECT *, ts FROM events)) WHERE n = 1""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT").replace("(SELECT *, ts FROM events)", "events"),
+    "dedup_requests": f"""WITH b AS (SELECT event_id id, ts, event_type, props, user_id FROM events UNION ALL SELECT -event_id - 1, ts + INTERVAL 400 MILLISECOND, event_type, props, user_id FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY event_type, props, user_id, date_trunc('second', ts) ORDER BY ts, id) k FROM b)
+  SELECT id log_id, event_type AS action, user_id actor_id, strftime(date_trunc('second', ts), {FMT}) AS second FROM n WHERE k = 1""",
     "upsert_insert": r"""WITH o AS (SELECT regexp_extract(s_name, '(\d+)$', 1)::BIGINT code FROM supplier), n0 AS (SELECT regexp_extract(c_name, '(\d+)$', 1)::BIGINT c, c_custkey id FROM customer), n AS (SELECT c - c % 3 code, id FROM n0)
   SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY id) = 1 AND code NOT IN (SELECT code FROM o) accepted FROM n""",
     "apply_updates": f"""WITH {DOCW}, {ENT}, v AS (SELECT *, NOT is_deleted AND entity_type <> 'aircraft' ch, CASE WHEN NOT is_deleted AND entity_type = 'individual' THEN primary_name || ' é' ELSE primary_name END pn FROM ent)
-  SELECT source, entity_id, pn primary_name, {norm('pn')} normalized_name, CASE WHEN ch THEN upper(nationality) ELSE nationality END nationality, 1 + ch::INT AS version, ch touched FROM v""",
+  SELECT source, entity_id, pn primary_name, {norm('pn')} normalized_name,
+  CASE WHEN NOT ch THEN nationality WHEN entity_type = 'vessel' THEN NULL WHEN entity_type = 'individual' THEN lower(nationality) ELSE upper(nationality) END nationality,
+  CASE WHEN NOT ch THEN 1 WHEN entity_type IN ('vessel', 'individual') THEN 3 ELSE 2 END AS version, ch touched FROM v""",
     "soft_delete": f"WITH {DOCW}, {ENT} SELECT source, entity_id, is_deleted OR entity_type = 'vessel' is_deleted, NOT is_deleted AND entity_type = 'vessel' deleted_now FROM ent",
-    "request_completion": """SELECT o_orderkey request_id, CASE WHEN c > 98 THEN 'failed' WHEN c IS NOT NULL THEN 'completed' ELSE 'processing' END status,
-  CASE WHEN c <= 98 THEN (epoch(f) - epoch(o_orderdate))::BIGINT * 1000 END processing_time_ms, CASE WHEN c > 98 THEN 'TOO_HIGH' END error_code
-  FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity * 2) c, max(l_shipdate) f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    "request_completion": """SELECT event_id request_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'completed' END status,
+  CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 7 ELSE floor(value)::BIGINT END processing_time_ms, CASE event_type WHEN 'error' THEN 'FAILED' END error_code,
+  CASE event_type WHEN 'error' THEN props WHEN 'purchase' THEN 'old' END error_message, CASE WHEN event_type NOT IN ('error', 'purchase') THEN '2.0.0' END algorithm_version,
+  strftime(ts + to_milliseconds(CASE event_type WHEN 'purchase' THEN 7 ELSE floor(value)::BIGINT END), '%H:%M:%S.%g') ended FROM events""",
     "source_status": """WITH u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) n FROM orders WHERE o_orderstatus <> 'P')
   SELECT c_custkey code, c_name AS name, strftime(o_orderdate, '%Y-%m-%d') last_update, o_orderstatus last_update_status, o_totalprice last_entity_count FROM customer LEFT JOIN u ON o_custkey = c_custkey AND n = 1""",
     "list_diff": f"WITH {DOCW}, {ENT}, {NEWLIST} SELECT source, entity_id, change FROM diff",

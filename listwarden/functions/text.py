@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def sanitize_text(text: Column) -> Column:
     """Control characters to blanks, invisible marks dropped, blanks collapsed, 500 characters."""
     cleaned = F.regexp_replace(text, "[\\x00-\\x1f\\x7f-\\x9f]", " ")
-    cleaned = F.regexp_replace(cleaned, "[​-‏  ﻿]", "")
+    cleaned = F.regexp_replace(cleaned, r"[\u200b-\u200f\u2028\u2029\ufeff]", "")
     cleaned = F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " "))
     return F.coalesce(F.substring(cleaned, 1, 500), F.lit(""))
 

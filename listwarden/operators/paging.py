@@ -16,8 +16,20 @@ def total(df: DataFrame) -> DataFrame:
 
 
 def page_with_total(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page, each row with the number of all rows."""
-    return page(df, order, offset, limit).join(F.broadcast(total(df)), F.lit(True))
+    """A page, each row with the number of all rows. An empty page is one row of nulls with that number."""
+    return total(df).join(page(df, order, offset, limit), F.lit(True), "left").select(*df.columns, "total")
+
+
+def page_after(df: DataFrame, keys: list[str], after: list | None = None, limit: int = 100) -> DataFrame:
+    """The page behind the last row of the one before, by ascending unique ``keys``: no task keeps the rows skipped."""
+    if after is not None:
+        # (a, b) > (x, y) is a > x, or a = x and b > y
+        behind, equal = F.lit(False), F.lit(True)
+        for key, value in zip(keys, after):
+            behind = behind | (equal & (F.col(key) > F.lit(value)))
+            equal = equal & (F.col(key) == F.lit(value))
+        df = df.filter(behind)
+    return df.orderBy(*keys).limit(limit)
 
 
 def list_by_source(

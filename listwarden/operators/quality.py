@@ -23,7 +23,7 @@ SUGGESTIONS = [
 ]
 
 # Accepted forms.
-LATIN_NAME = r"^[A-Za-zÀ-ÿ\s\-.',؀-ۿЀ-ӿ一-鿿]{2,200}$"
+LATIN_NAME = r"^[A-Za-z\u00c0-\u00ff\s\-.',\u0600-\u06ff\u0400-\u04ff\u4e00-\u9fff]{2,200}$"
 DOB_FORM = r"^\d{4}(-\d{2}(-\d{2})?)?$"
 DOCUMENT_FORM = r"^[A-Za-z0-9\-\s.]{1,50}$"
 
@@ -80,7 +80,8 @@ class InvalidRequests(ValueError):
 
 
 def require_valid(requests: DataFrame, config: ScreeningConfig = DEFAULT) -> DataFrame:
-    first = rejects(requests, config).select("name", "error_code").first()
+    refused = rejects(requests, config).select("name", "error_code", "request_id")
+    first = refused.orderBy("request_id", "name").first()
     if first is not None:
         raise InvalidRequests(f"{first['error_code']}: {first['name']!r}")
     return requests

@@ -295,7 +295,8 @@ def screen(
     prepared = listed if isinstance(listed, PreparedList) else prepare_list(listed)
     prof = materialized(profiles(requests, config), "profiles")
     matches = screen_profiles(prof, prepared, config)
-    keyed = requests.select("request_id", profile_id().alias("profile_id"))
+    # Equal rows under one request_id are one request; they share its matches.
+    keyed = requests.select("request_id", profile_id().alias("profile_id")).distinct()
     return keyed.join(matches, "profile_id").drop("profile_id")
 
 
@@ -309,7 +310,7 @@ def screen_by_document(requests: DataFrame, entities: DataFrame, config: Screeni
     """Layer 1 alone, without a limit."""
     prof = profiles(requests, config)
     found = document_matches(prof, document_index(_list_columns(entities)))
-    keyed = requests.select("request_id", profile_id().alias("profile_id"))
+    keyed = requests.select("request_id", profile_id().alias("profile_id")).distinct()
     return keyed.join(found, "profile_id").drop("profile_id")
 
 

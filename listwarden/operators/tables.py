@@ -200,10 +200,17 @@ def related_entities(relationships: DataFrame, entities: DataFrame) -> DataFrame
     return relationships.join(other, "related_entity_id", "left")
 
 
-def insert_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows and the new rows whose key is not there yet; columns only one side has are null."""
-    fresh = new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+def insert_absent(
+    existing: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None
+) -> DataFrame:
+    """Old rows and the new rows whose key is not there yet; columns only one side has are null.
+
+    Of new rows with one key the first by ``order`` is taken, by default the one with the smallest values.
+    """
+    columns = [F.col(c) for c in new.columns if c not in key]
+    rank = F.struct(*(order or columns)) if order or columns else F.lit(0)
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*new.columns), rank).alias("first")).select("first.*")
+    return existing.unionByName(first.join(existing.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def insert_or_reject(
@@ -224,19 +231,28 @@ def insert_or_reject(
 
 
 def apply_updates(
-    entities: DataFrame, updates: DataFrame, key: list[str], fields: list[str], at: Column
+    entities: DataFrame, updates: DataFrame, key: list[str], fields: list[str], at: Column,
+    order: list[str], cleared: str | None = None,
 ) -> DataFrame:
-    """New version with the given (non-null) fields; a renamed entity gets its normalized name.
+    """New version after all updates of a key, applied by ``order``; a renamed entity gets its normalized name.
 
-    Only live rows change; each change raises ``version`` and sets ``updated_at``.
+    An update sets the fields it has a value for, and sets to null those named in its array ``cleared``. Only
+    live rows change; each update raises ``version`` by one, and ``updated_at`` becomes ``at``.
     """
-    renamed = updates.select(
-        *key, *[F.col(f).alias(f"new_{f}") for f in fields], F.lit(True).alias("changed")
-    )
-    joined = entities.join(renamed, key, "left")
-    changed = F.coalesce("changed", F.lit(False)) & ~F.col("is_deleted")
+    rank = F.struct(*order)
+
+    def is_set(field: str) -> Column:
+        named = F.coalesce(F.array_contains(cleared, field), F.lit(False)) if cleared else F.lit(False)
+        return F.col(field).isNotNull() | named
+
+    # The last update that sets a field decides it; no update that sets it leaves null here.
+    last = [F.max_by(F.struct(F.col(f).alias("v")), F.when(is_set(f), rank)).alias(f"new_{f}") for f in fields]
+    per_key = updates.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n_updates"), *last)
+    joined = entities.join(per_key, key, "left")
+    changed = F.col("n_updates").isNotNull() & ~F.col("is_deleted")
     for f in fields:
-        joined = joined.withColumn(f, F.when(changed, F.coalesce(f"new_{f}", f)).otherwise(F.col(f)))
+        given = changed & F.col(f"new_{f}").isNotNull()
+        joined = joined.withColumn(f, F.when(given, F.col(f"new_{f}.v")).otherwise(F.col(f)))
     if "primary_name" in fields:
         rename = changed & F.col("new_primary_name").isNotNull()
         joined = joined.withColumn(
@@ -245,10 +261,10 @@ def apply_updates(
         )
     return joined.withColumns(
         {
-            "version": F.col("version") + changed.cast("int"),
+            "version": F.col("version") + F.when(changed, F.col("n_updates")).otherwise(0),
             "updated_at": F.when(changed, at).otherwise(F.col("updated_at")),
         }
-    ).drop("changed", *[f"new_{f}" for f in fields])
+    ).drop("n_updates", *[f"new_{f}" for f in fields])
 
 
 def soft_delete(entities: DataFrame, keys: DataFrame, key: list[str], at: Column) -> DataFrame:
@@ -260,23 +276,32 @@ def soft_delete(entities: DataFrame, keys: DataFrame, key: list[str], at: Column
 
 
 def finish_requests(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Requests completed or failed by their last outcome.
+    """Requests completed or failed by their last outcome; a request without one stays as it is.
 
-    outcomes: (request_id, processing_end, error_code, error_message); no error means completed.
+    outcomes: (request_id, processing_end, error_code, error_message), and algorithm_version and
+    thresholds_used where known; no error means completed. Completion sets the time in milliseconds and
+    the algorithm's version and thresholds, failure sets the error; columns that ``requests`` lacks are null before.
     """
-    last = outcomes.groupBy("request_id").agg(
-        F.max_by(F.struct("processing_end", "error_code", "error_message"), "processing_end").alias("o")
-    )
+    known = ["algorithm_version", "thresholds_used"]
+    outcomes = outcomes.withColumns({c: F.lit(None).cast("string") for c in known if c not in outcomes.columns})
+    parts = ["processing_end", "error_code", "error_message", *known]
+    last = outcomes.groupBy("request_id").agg(F.max(F.struct(*parts)).alias("o"))
     joined = requests.join(last, "request_id", "left")
-    ended, failed = F.col("o").isNotNull(), F.col("o.error_code").isNotNull()
-    elapsed = (F.unix_timestamp("o.processing_end") - F.unix_timestamp("processing_start")) * 1000
+    failed = F.col("o.error_code").isNotNull()
+    completed = F.col("o").isNotNull() & ~failed
+    elapsed = F.timestamp_diff("MILLISECOND", F.col("processing_start"), F.col("o.processing_end"))
+
+    def old(column: str, kind: str) -> Column:
+        return F.col(column) if column in requests.columns else F.lit(None).cast(kind)
+
     return joined.withColumns(
         {
-            "status": F.when(failed, "failed").when(ended, "completed").otherwise(F.col("status")),
-            "processing_end": F.col("o.processing_end"),
-            "processing_time_ms": F.when(ended & ~failed, elapsed),
-            "error_code": F.col("o.error_code"),
-            "error_message": F.col("o.error_message"),
+            "status": F.when(failed, "failed").when(completed, "completed").otherwise(F.col("status")),
+            "processing_end": F.coalesce("o.processing_end", old("processing_end", "timestamp")),
+            "processing_time_ms": F.when(completed, elapsed).otherwise(old("processing_time_ms", "bigint")),
+            "error_code": F.when(failed, F.col("o.error_code")).otherwise(old("error_code", "string")),
+            "error_message": F.when(failed, F.col("o.error_message")).otherwise(old("error_message", "string")),
+            **{c: F.when(completed, F.col(f"o.{c}")).otherwise(old(c, "string")) for c in known},
         }
     ).drop("o")
 
@@ -322,9 +347,11 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, key: list[str]) -> Data
 
 
 def set_null_on_delete(child: DataFrame, deleted: DataFrame, column: str, parent_key: str) -> DataFrame:
+    """Children with a null key where their parent is deleted. Null keys stay out of the join, where they would meet in one task."""
     gone = deleted.select(F.col(parent_key).alias(column)).distinct().withColumn("gone", F.lit(True))
-    joined = child.join(gone, column, "left")
-    return joined.withColumn(column, F.when(F.col("gone").isNull(), F.col(column))).drop("gone").select(*child.columns)
+    joined = child.filter(F.col(column).isNotNull()).join(gone, column, "left")
+    linked = joined.withColumn(column, F.when(F.col("gone").isNull(), F.col(column))).select(*child.columns)
+    return linked.unionByName(child.filter(F.col(column).isNull()))
 
 
 def first_per_request(requests: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

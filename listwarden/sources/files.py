@@ -31,8 +31,11 @@ def checked_headers(columns: list[str]) -> list[str]:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Screening requests of a CSV file. Values are trimmed; rows without a name are skipped."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False, quote='"', escape='"')
+    """Screening requests of a CSV file. Values are trimmed; rows without a name are skipped.
+
+    A quoted value may hold line breaks, so a file is read by one task; many files are read by many.
+    """
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"')
     return as_requests(raw.toDF(*checked_headers(raw.columns)))
 
 
@@ -44,8 +47,10 @@ def as_requests(raw: DataFrame) -> DataFrame:
 
     shaped = raw.select(*[value(h).alias(c) for h, c in CSV_COLUMNS.items()]).filter(F.col("name").isNotNull())
     inputs = ["name", "document_number", "date_of_birth", "nationality", "country"]
-    # Equal rows are equal requests, so a content key is enough and needs no numbering of the file.
-    return shaped.withColumn("request_id", F.sha2(F.to_json(F.struct(*inputs)), 256)).withColumn(
+    # The content and the place of the row: equal rows are requests of their own.
+    content = F.sha2(F.to_json(F.struct(*inputs)), 256)
+    place = F.monotonically_increasing_id().cast("string")
+    return shaped.withColumn("request_id", F.concat_ws("-", content, place)).withColumn(
         "document_type", F.lit(None).cast("string")
     )
 
@@ -71,6 +76,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        "path",
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_at"),
         F.sha2("content", 256).alias("sha256"),
@@ -89,39 +95,39 @@ def hash_verification(digests: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _one_spelling(path: Column) -> Column:
+    """Sources write local paths with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def list_metadata(
     spark: SparkSession, path: str, source: str, row_tags: list[str], published_tag: str | None = None,
     root_tag: str | None = None, version: str | None = None,
 ) -> DataFrame:
-    """One row about a list file: size, hash, number of records, publication date (else file time)."""
+    """One row for each list file: size, hash, number of its records, its publication date (else file time)."""
 
     def tagged(tag: str, schema: str) -> DataFrame:
-        return spark.read.format("xml").schema(schema).option("rowTag", tag).option("ignoreNamespace", True).load(path)
+        rows = spark.read.format("xml").schema(schema).option("rowTag", tag).option("ignoreNamespace", True).load(path)
+        return rows.withColumn("file", _one_spelling(F.col("_metadata.file_path")))
 
     counts = None
     for tag in row_tags:
-        one = tagged(tag, "_id STRING").agg(F.count(F.lit(1)).alias("n"))
+        one = tagged(tag, "_id STRING").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
         counts = one if counts is None else counts.unionByName(one)
-    records = counts.agg(F.sum("n").alias("record_count"))
+    records = counts.groupBy("file").agg(F.sum("n").alias("record_count"))
     if published_tag:
-        header = tagged(published_tag, schemas.OFAC_HEADER).select(F.col("publishDate").alias("published"))
+        header = tagged(published_tag, schemas.OFAC_HEADER).select("file", F.col("publishDate").alias("published"))
     else:
-        header = tagged(root_tag, "_dateGenerated STRING").select(F.col("_dateGenerated").alias("published"))
-    published = header.agg(F.max("published").alias("published"))
-    # three one-row tables
-    return (
-        file_digests(spark, path)
-        .join(F.broadcast(records), F.lit(True))
-        .join(F.broadcast(published), F.lit(True))
-        .select(
-            F.lit(source).alias("source"),
-            "file_name",
-            "size_bytes",
-            "sha256",
-            "record_count",
-            F.coalesce(
-                F.regexp_replace("published", "Z$", "").try_cast("timestamp"), F.col("modified_at")
-            ).alias("last_update"),
-            F.lit(version).cast("string").alias("version"),
-        )
+        header = tagged(root_tag, "_dateGenerated STRING").select("file", F.col("_dateGenerated").alias("published"))
+    published = header.groupBy("file").agg(F.max("published").alias("published"))
+    found = file_digests(spark, path).withColumn("file", _one_spelling(F.col("path"))).join(records, "file", "left").join(published, "file", "left")
+    return found.select(
+        F.lit(source).alias("source"),
+        "file_name",
+        "path",
+        "size_bytes",
+        "sha256",
+        F.coalesce("record_count", F.lit(0)).alias("record_count"),
+        F.coalesce(F.regexp_replace("published", "Z$", "").try_cast("timestamp"), F.col("modified_at")).alias("last_update"),
+        F.lit(version).cast("string").alias("version"),
     )
