@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import views as V
 from listwarden import schemas
-from listwarden.config import DEFAULT, FALLBACK
+from listwarden.config import DEFAULT, FALLBACK, AdaptiveThresholds, Weights
 from listwarden.functions import fields as P
 from listwarden.functions import names as N
 from listwarden.functions import similarity as S
@@ -22,7 +23,7 @@ from listwarden.functions import text as X
 from listwarden.operators import audit, decision, paging, quality, screening, stats, tables
 from listwarden.operators.candidates import best_alias, distinct_requests, name_pairs
 from listwarden.operators.staging import materialized, shared_folder
-from listwarden.plans import reload, reports
+from listwarden.plans import persist, reload, reports
 from listwarden.sources import files, seeds, xml_lists
 from listwarden.streaming import screening as stream_screening
 
@@ -259,6 +260,16 @@ def token_search(spark, d):
     return found.withColumn("rank", F.round("rank", 6))
 
 
+@query
+def token_search_best(spark, d):
+    """The best three entities of every search."""
+    r = V.requests(spark, d)
+    words = F.split(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "), " ")
+    searches = r.select(F.col("request_id").alias("search_id"), F.explode(F.filter(words, lambda w: w != "")).alias("token"))
+    found = tables.token_search(_tokens(spark, d), searches, {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}, 3)
+    return found.withColumn("rank", F.round("rank", 6))
+
+
 # --- files -----------------------------------------------------------------------------------
 
 def _fresh(spark, name: str) -> str:
@@ -433,6 +444,22 @@ def sanitize_context(spark, d):
     )
 
 
+@query
+def sanitize_nested(spark, d):
+    """Context of nested maps, lists, numbers and booleans."""
+    kind = T.StructType.fromDDL("role STRING, inner MAP<STRING, STRING>, tags ARRAY<STRING>, turn BIGINT, odd BOOLEAN, numbers ARRAY<BIGINT>")
+    value = F.struct(
+        F.col("role"), F.create_map(F.lit("text\t"), F.col("text")).alias("inner"), F.split("text", "\n").alias("tags"),
+        F.col("turn"), (F.col("turn") % 2 == 1).alias("odd"), F.array("conv_id", "turn").alias("numbers"),
+    )
+    clean = V.table(spark, d, "conversations").select("conv_id", "turn", X.sanitize_context(F.create_map(F.lit("a\nb"), value), kind).alias("c"))
+    c = F.try_element_at("c", F.lit("a b"))
+    return clean.select(
+        "conv_id", "turn", c["role"].alias("role"), F.try_element_at(c["inner"], F.lit("text")).alias("text"), joined(c["tags"]).alias("tags"),
+        c["odd"].alias("odd"), F.get(c["numbers"], F.lit(1)).alias("number"),
+    )
+
+
 @query
 def report_name(spark, d):
     return V.requests(spark, d).select(
@@ -581,6 +608,16 @@ def screen_document(spark, d):
     )
 
 
+@query
+def screen_document_best(spark, d):
+    """The first three document matches of every request, numbers shared by many."""
+    shared = F.concat(F.lit("PA-"), (F.col("doc_id") % 7).cast("string"))
+    listed = V.nested_entities(spark, d).withColumn("identity_documents", F.array(F.struct(F.col("document_type").alias("type"), shared.alias("number"))))
+    requests = V.requests(spark, d).withColumn("document_number", F.concat(F.lit("pa "), (F.col("request_id") % 5).cast("string")))
+    found = screening.screen_by_document(requests, listed, limit=3)
+    return found.select("request_id", "source", "entity_id", "matched_document")
+
+
 def _request_keys(spark, d, score: float) -> DataFrame:
     keys = V.requests(spark, d).select(N.name_key(N.normalize_name(F.col("name"))).alias("request_key"))
     return distinct_requests(keys.withColumn("min_score", F.lit(float(score))))
@@ -664,6 +701,18 @@ def repo_document_search(spark, d):
     return found.select("search_id", "source", "entity_id", "primary_name")
 
 
+@query
+def repo_document_best(spark, d):
+    """The first two live entities of every search, numbers shared by many."""
+    documents = V.entity_documents(spark, d).withColumn("normalized_number", F.concat(F.lit("PA"), (F.col("entity_id").cast("bigint") % 11).cast("string")))
+    searches = V.requests(spark, d).select(
+        F.col("request_id").alias("search_id"), F.concat(F.lit("pa "), (F.col("request_id") % 13).cast("string")).alias("document_number"),
+        F.when(F.col("request_id") % 3 == 1, "Passport").alias("document_type"),
+    )
+    found = tables.entities_by_document(V.entities(spark, d), documents, searches, 2)
+    return found.select("search_id", "source", "entity_id", "primary_name")
+
+
 @query
 def nationality_flag(spark, d):
     flag = decision.nationality_flag(
@@ -754,6 +803,23 @@ def screen_full(spark, d):
     return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
 
 
+@query
+def screen_full_weighted(spark, d):
+    """Name, document and birth year together, at a lower threshold."""
+    config = DEFAULT.with_(name_threshold=70, short_name_threshold=70, weights=Weights(name=0.7, document=0.1, dob=0.2), adaptive=AdaptiveThresholds(False))
+    listed = screening.prepare_list(V.nested_entities(spark, d), config)
+    matches = screening.rounded(screening.screen(quality.validated(V.requests(spark, d)), listed, config))
+    return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+
+
+@query
+def screen_small(spark, d):
+    """The hundred requests of the shortest names, ties by id, against the whole list: the interactive form."""
+    few = V.requests(spark, d).orderBy(F.length("name"), "request_id").limit(100)
+    matches = screening.rounded(screening.screen(quality.validated(few), _lists(spark, d)))
+    return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+
+
 @query
 def screen_results(spark, d):
     requests, matches = _screened(spark, d)
@@ -822,9 +888,12 @@ def report_json(spark, d):
 
 @query
 def stream_screen(spark, d):
-    """The requests as a stream of files, screened batch by batch."""
+    """The requests, each sent twice within a second, as a stream of files screened batch by batch."""
     folder, out, state = _fresh(spark, "incoming"), _fresh(spark, "out"), _fresh(spark, "state")
-    V.requests(spark, d).write.parquet(folder)
+    start = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    sent = V.requests(spark, d).withColumns({"analyst_id": F.col("request_id").cast("string"), "created_at": start})
+    again = sent.withColumn("created_at", F.timestamp_add("MILLISECOND", F.lit(300), start))
+    sent.unionByName(again).write.parquet(folder)
     arriving = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
     writer = stream_screening.screen_stream(arriving, _lists(spark, d), out, state)
     running = writer.trigger(availableNow=True).start()
@@ -935,7 +1004,13 @@ def latency_histogram(spark, d):
 
 @query
 def latency_p95(spark, d):
-    return stats.latency_p95(V.operations(spark, d)).withColumn("p95_ms", F.round("p95_ms", 6))
+    return stats.latency_p95(V.operations(spark, d), True).withColumn("p95_ms", F.round("p95_ms", 6))
+
+
+@query
+def latency_p95_sketch(spark, d):
+    """The form that monitoring uses; with few calls per user the sketch is exact."""
+    return stats.latency_p95(V.operations(spark, d), False, "operation", "user_id").withColumn("p95_ms", F.round("p95_ms", 6))
 
 
 @query
@@ -1123,7 +1198,77 @@ def reload_report(spark, d):
         writer = rows.write.format("xml").option("rootTag", root).option("rowTag", tag)
         writer.option("attributePrefix", "_").option("valueTag", "_VALUE").save(path)
     done = reload.reload_lists(spark, ofac_path, un_path, config=DEFAULT.with_(malformed_percent=5.0))
-    return done.report
+    return done.report.withColumns({"errors": F.size("errors"), "warnings": F.size("warnings")})
+
+
+# --- relational tables ----------------------------------------------------------------------------------
+
+def _persisted(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Written twice, as a repeated job would, and read back."""
+    folder = _fresh(spark, "tables")
+    persist.append(rows, folder, name, day("2024-01-01"))
+    persist.append(rows, folder, name, day("2024-01-02"))
+    return persist.read(spark, folder, name)
+
+
+def _entity_id() -> Column:
+    return persist.key("sanctioned_entities", F.col("entity_id"), F.col("source"))
+
+
+@query
+def persist_entities(spark, d):
+    rows = V.entities(spark, d).withColumnRenamed("entity_id", "external_id")
+    return _persisted(spark, rows, "sanctioned_entities").select(
+        "id", "external_id", "source", "entity_type", "primary_name", "normalized_name", "vessel_imo", "is_deleted", "version", F.date_format("updated_at", "yyyy-MM-dd").alias("updated")
+    )
+
+
+@query
+def persist_aliases(spark, d):
+    names = V.entity_names(spark, d)
+    rows = names.select(_entity_id().alias("entity_id"), F.col("name").alias("alias_name"), (F.col("position") == 0).alias("is_primary"))
+    return _persisted(spark, rows, "entity_aliases").select("id", "entity_id", "alias_name", "normalized_alias", "is_primary")
+
+
+@query
+def persist_documents(spark, d):
+    rows = V.entity_documents(spark, d).select(_entity_id().alias("entity_id"), "document_type", "document_number")
+    return _persisted(spark, rows, "identity_documents").select("id", "entity_id", "document_type", "normalized_number", "issuing_country")
+
+
+@query
+def persist_requests(spark, d):
+    rows = V.screening_requests(spark, d).select(
+        F.col("request_id").cast("string").alias("request_key"), "status", "request_type", F.col("analyst_id").cast("string").alias("analyst_id"),
+        F.col("created_at").alias("processing_start"),
+    )
+    return _persisted(spark, rows, "screening_requests").select("id", "request_key", "status", "analyst_id", F.date_format("processing_start", "yyyy-MM-dd").alias("started"), "error_code")
+
+
+@query
+def persist_results(spark, d):
+    """Results and their requests, joined again by id."""
+    request = persist.key("screening_requests", F.col("request_id").cast("string"))
+    all_results = V.screening_results(spark, d).withColumn("result_no", F.row_number().over(Window.partitionBy("request_id").orderBy("result_no", "entity_key", "supplier_key")))
+    results = all_results.select(request.alias("request_id"), F.col("result_no").cast("int").alias("result_no"), "is_hit", "max_confidence")
+    kept = _persisted(spark, results, "screening_results")
+    requests = V.screening_requests(spark, d).select(persist.key("screening_requests", F.col("request_id").cast("string")).alias("request_id"), F.col("request_id").alias("request_no"))
+    return kept.join(requests, "request_id").select("request_no", "result_no", "is_hit", "max_confidence")
+
+
+@query
+def persist_audit(spark, d):
+    rows = V.audit_logs(spark, d).select(
+        F.col("log_id").cast("string").alias("log_key"), "timestamp", "action", "resource_type", F.col("actor_id").cast("string").alias("actor_id"), F.col("props").alias("details"), "success",
+    )
+    return _persisted(spark, rows, "audit_logs").select("id", "log_key", "action", "actor_id", "details", "success", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query
+def persist_sources(spark, d):
+    """Reference rows of the installation beside the suppliers as further sources."""
+    more = V.table(spark, d, "supplier").select(F.col("s_name").alias("code"), F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("is_active"))
+    return _persisted(spark, seeds.seed_data_sources(more), "data_sources").select("id", "code", "name", "source_type", "file_format", "is_active", "update_frequency_days", "validate_xsd")
 
 
 # --- audit -------------------------------------------------------------------------------------------
@@ -1191,5 +1336,5 @@ def error_rate_5m(spark, d):
 
 @query
 def p95_5m(spark, d):
-    w = stats.p95_windows(V.operations(spark, d), exact=True)
+    w = stats.p95_windows(V.operations(spark, d))
     return w.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}).withColumn("p95_ms", F.round("p95_ms", 6))

@@ -26,6 +26,10 @@ def docnorm(x: str) -> str:
     return rf"coalesce(upper(regexp_replace({x}, '[\s\-.,/]+', '', 'g')), '')"
 
 
+def rowid(table: str, *parts: str) -> str:
+    return f"sha256(concat_ws('|', '{table}', {', '.join(f"coalesce('=' || {p}, '-')" for p in parts)}))"
+
+
 def pick(k: str, values: list) -> str:
     parts = [f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(values)]
     return f"CASE {k} % {len(values)} {' '.join(parts)} END"
@@ -140,6 +144,14 @@ res AS (SELECT r.request_id, r.name, r.document_number, r.country, r.lang, n IS
   FROM req r LEFT JOIN (SELECT request_id, count(*) n, max(overall) top, arg_min(recommendation, match_rank) recommendation,
    string_agg(source || '/' || entity_id, '|' ORDER BY match_rank) matches FROM mt GROUP BY 1) USING (request_id))"""
 
+# The same with overall scores of name, document and birth year, and 70 as the threshold.
+SCREENW = SCREEN.replace("name_score overall, name_score, document_score, dob_score,\n", "ov overall, name_score, document_score, dob_score,\n")
+SCREENW = SCREENW.replace("CASE WHEN name_score >= 95 THEN 'AUTO_ESCALATE' WHEN name_score >= 85 THEN 'MANUAL_REVIEW' WHEN name_score >= 60", "CASE WHEN ov >= 95 THEN 'AUTO_ESCALATE' WHEN ov >= 85 THEN 'MANUAL_REVIEW' WHEN ov >= 60")
+SCREENW = SCREENW.replace(
+    "FROM fuzzy WHERE name_score >= 75 OR document_score = 100",
+    "FROM (SELECT *, least(100, greatest(0, name_score * 0.7::DOUBLE + document_score * 0.1::DOUBLE + dob_score * 0.2::DOUBLE)) ov FROM fuzzy) WHERE ov >= 70 OR document_score = 100",
+)
+
 PAIR = f"""{DOCW}, {ENT}, {REQ},
 own0 AS (SELECT r.*, e.entity_id, e.entity_type, e.primary_name, e.date_of_birth entity_dob, e.document_number entity_document,
   {wanted('r.nationality', 'r.country')} wanted, {listed('e.nationality', 'e.citizenship')} listed
@@ -273,6 +285,11 @@ ORACLES: dict[str, str] = {
   sv AS (SELECT DISTINCT request_id search_id, unnest(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')) token FROM req),
   best AS (SELECT source, entity_id, token, max(CASE weight WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.4::DOUBLE WHEN 'C' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) v FROM tk GROUP BY ALL)
   SELECT search_id, source, entity_id, round(sum(v), 6) AS rank, count(*) matched_tokens FROM best JOIN sv USING (token) GROUP BY 1, 2, 3""",
+    "token_search_best": rf"""WITH {DOCW}, {ENT}, {REQ}, {TOKENS},
+  sv AS (SELECT DISTINCT request_id search_id, unnest(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')) token FROM req),
+  best AS (SELECT source, entity_id, token, max(CASE weight WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.4::DOUBLE WHEN 'C' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) v FROM tk GROUP BY ALL)
+  SELECT search_id, source, entity_id, rank, matched_tokens FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY rank DESC, source, entity_id) n FROM
+  (SELECT search_id, source, entity_id, round(sum(v), 6) AS rank, count(*) matched_tokens FROM best JOIN sv USING (token) GROUP BY 1, 2, 3)) WHERE n <= 3""",
     "csv_requests": f"WITH {DOCW}, {REQ} SELECT trim(name) AS name, trim(document_number) document_number, country FROM req WHERE trim(name) <> ''",
     "jsonl_audit": "SELECT cast(event_id AS VARCHAR) screening_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, event_type AS name, props document, event_type <> 'error' is_hit, value top_score FROM events",
     "hash_verify": """SELECT cast(doc_id AS VARCHAR) file_name, sha256(text) sha256, CASE WHEN n_chars <= 500 THEN 'new' WHEN lang = 'en' OR upper(text) = text THEN 'ok' ELSE 'mismatch' END status,
@@ -298,6 +315,8 @@ ORACLES: dict[str, str] = {
     "dob_year": f"SELECT event_id, {year('x')} AS year FROM (SELECT event_id, concat_ws('/', props, strftime(ts, '%m/%d/%Y'), cast(user_id AS VARCHAR)) x FROM events)",
     "sanitize_text": f"SELECT doc_id, {sanitized('text')} clean, {cut('text', 50)} short_form FROM documents",
     "sanitize_context": f"SELECT conv_id, turn, {cut('role', 200)} AS role, {cut('text', 200)} AS text, true has_unknown FROM conversations",
+    "sanitize_nested": f"""SELECT conv_id, turn, {cut('role', 200)} AS role, {cut('text', 200)} AS text,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda q: {cut('q', 200)}), '|') tags, turn % 2 = 1 odd, turn number FROM conversations""",
     "report_name": rf"""WITH {DOCW}, {REQ} SELECT request_id, 'constancia_' || trim(regexp_replace(name || '/*' || coalesce(document_number, '') || '?', '[^\p{{L}}\p{{N}} _-]', '', 'g')) || '_20240203_040506' file_name FROM req""",
     "validate_requests": f"""WITH {CONV} SELECT request_id, error_code, {FIELD} error_field, CASE error_code WHEN 'NAME_TOO_SHORT' THEN 'Provide a name with at least 2 characters'
   WHEN 'NAME_TOO_LONG' THEN 'Shorten the name to 200 characters or less' WHEN 'BLOCKED_CHARACTERS' THEN 'Remove special characters like < > {{ }} [ ] | \\ ; ` $'
@@ -335,6 +354,13 @@ ORACLES: dict[str, str] = {
   SELECT request_id, source, entity_id, primary_name matched_name, CASE WHEN dk = edk AND (dt IS NULL OR upper(dt) = upper(document_type)) THEN document_number ELSE vessel_imo END matched_document,
   100::DOUBLE overall, 1 match_layer, 'DOCUMENT_EXACT_MATCH' flags, 'AUTO_ESCALATE' recommendation
   FROM r JOIN e ON (dk = edk AND (dt IS NULL OR upper(dt) = upper(document_type))) OR dk = imok""",
+    "screen_document_best": f"""WITH {DOCW}, {ENT}, {REQ}, r AS (SELECT request_id, 'PA' || cast(request_id % 5 AS VARCHAR) dk, document_type dt FROM req),
+  e AS (SELECT *, 'PA' || cast(doc_id % 7 AS VARCHAR) edk, 'PA-' || cast(doc_id % 7 AS VARCHAR) number FROM ent),
+  m AS (SELECT request_id, source, entity_id, number, row_number() OVER (PARTITION BY request_id ORDER BY source, entity_id) n FROM r JOIN e ON dk = edk AND (dt IS NULL OR upper(dt) = upper(document_type)))
+  SELECT request_id, source, entity_id, number matched_document FROM m WHERE n <= 3""",
+    "repo_document_best": f"""WITH {DOCW}, {ENT}, {REQ}, m AS (SELECT request_id search_id, e.source, e.entity_id, e.primary_name, row_number() OVER (PARTITION BY request_id ORDER BY e.source, e.entity_id) n
+  FROM req r JOIN ent e ON request_id % 13 = doc_id % 11 WHERE NOT is_deleted AND (request_id % 3 <> 1 OR e.document_type = 'Passport'))
+  SELECT search_id, source, entity_id, primary_name FROM m WHERE n <= 2""",
     "fuzzy_name_pairs": f"WITH {DOCW}, {ENT}, {REQ}, {NAMES}, {RKEYS}, {scores('rk', 'nm')} SELECT ak request_key, bk list_key, round(s, 6) score FROM sc WHERE s >= 60",
     "fuzzy_name_pairs_75": f"WITH {DOCW}, {ENT}, {REQ}, {NAMES}, {RKEYS}, {scores('rk', 'nm', None, 75)} SELECT ak request_key, bk list_key, round(s, 6) score FROM sc WHERE s >= 75",
     "best_alias": f"""WITH {DOCW}, {ENT}, {REQ}, {NAMES}, {RKEYS}, {scores('rk', 'nm', None, 75)} SELECT ak request_key, source, entity_id, round(max(s), 6) name_score,
@@ -363,6 +389,8 @@ ORACLES: dict[str, str] = {
   FROM (SELECT l_quantity * 2 c FROM lineitem) GROUP BY 1, 2""",
     "screen_full": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
     "stream_screen": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
+    "screen_full_weighted": f"WITH {SCREENW} SELECT {MATCHCOLS} FROM mt",
+    "screen_small": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt WHERE request_id IN (SELECT request_id FROM req0 ORDER BY length(name), request_id LIMIT 100)",
     "screen_results": f"""WITH {SCREEN} SELECT request_id, is_hit, hit_count, max_confidence, recommendation, '2.0.0' algorithm_version, 75::DOUBLE threshold_name, 75::DOUBLE threshold_short_name, matches FROM res""",
     "screen_repeated_rows": f"WITH {SCREEN} SELECT request_id, is_hit, hit_count, max_confidence FROM res UNION ALL SELECT request_id, is_hit, hit_count, max_confidence FROM res",
     "bulk_summary": f"WITH {SCREEN} SELECT count(*) total_screened, count(*) FILTER (is_hit) total_hits, printf('%.2f%%', count(*) FILTER (is_hit) * 100.0::DOUBLE / count(*)) hit_rate FROM res",
@@ -392,6 +420,7 @@ ORACLES: dict[str, str] = {
     "slow_operations": "SELECT event_type operation, count(*) slow_queries FROM events WHERE value * 4 > 1000 GROUP BY 1",
     "latency_histogram": f"WITH {HIST} SELECT operation, status, le, observations FROM hist",
     "latency_p95": "SELECT event_type operation, round(quantile_cont(value * 4, 0.95), 6) p95_ms, count(*) n FROM events GROUP BY 1",
+    "latency_p95_sketch": "SELECT event_type operation, user_id, round(quantile_disc(value * 4, 0.95), 6) p95_ms, count(*) n FROM events GROUP BY 1, 2",
     "latency_quantile": f"""WITH {HIST}, b AS (SELECT operation, status, CASE WHEN le = '+Inf' THEN 'inf'::DOUBLE ELSE le::DOUBLE END le, observations n FROM hist),
   c AS (SELECT *, max(n) OVER (PARTITION BY operation, status) * 0.95::DOUBLE r, coalesce(lag(n) OVER w, 0) pn, coalesce(lag(le) OVER w, 0) ple FROM b WINDOW w AS (PARTITION BY operation, status ORDER BY le))
   SELECT operation, status, round(CASE WHEN le = 'inf'::DOUBLE THEN ple ELSE ple + (le - ple) * (r - pn) / (n - pn) END, 6) quantile_seconds FROM c WHERE n >= r AND pn < r""",
@@ -421,6 +450,24 @@ ORACLES: dict[str, str] = {
     "list_diff_counts": f"""WITH {DOCW}, {ENT}, {NEWLIST} SELECT source, count(*) FILTER (change = 'added') entities_added, count(*) FILTER (change = 'updated') entities_updated, count(*) FILTER (change = 'removed') entities_removed FROM diff GROUP BY 1""",
     "cascade_delete": """SELECT l_orderkey request_id, count(*) results, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)) linked FROM lineitem
   WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""",
+    "persist_entities": f"""WITH {DOCW}, {ENT} SELECT {rowid("sanctioned_entities", "entity_id", "source")} id, entity_id external_id, source, entity_type, primary_name,
+  {norm('primary_name')} normalized_name, vessel_imo, is_deleted, 1 AS version, '2024-01-02' updated FROM ent""",
+    "persist_aliases": f"""WITH {DOCW}, {ENT}, a AS (SELECT {rowid("sanctioned_entities", "entity_id", "source")} e, unnest(all_names) AS name, generate_subscripts(all_names, 1) = 1 p FROM ent)
+  SELECT {rowid("entity_aliases", "e", "name")} id, e entity_id, name alias_name, {norm('name')} normalized_alias, p is_primary FROM a""",
+    "persist_documents": f"""WITH {DOCW}, {ENT}, a AS (SELECT {rowid("sanctioned_entities", "entity_id", "source")} e, document_type, document_number FROM ent)
+  SELECT {rowid("identity_documents", "e", "document_type", "document_number")} id, e entity_id, document_type, {docnorm('document_number')} normalized_number, NULL::VARCHAR issuing_country FROM a""",
+    "persist_requests": f"""SELECT {rowid("screening_requests", "cast(o_orderkey AS VARCHAR)")} id, cast(o_orderkey AS VARCHAR) request_key,
+  CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'processing' ELSE 'completed' END status, cast(o_custkey AS VARCHAR) analyst_id, strftime(o_orderdate, '%Y-%m-%d') started, NULL::VARCHAR error_code FROM orders""",
+    "persist_results": """SELECT o_orderkey request_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT result_no, l_returnflag = 'R' is_hit, l_quantity * 2 max_confidence
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "persist_audit": f"""SELECT {rowid("audit_logs", "cast(event_id AS VARCHAR)")} id, cast(event_id AS VARCHAR) log_key, event_type AS action, cast(user_id AS VARCHAR) actor_id, props details,
+  event_type <> 'error' success, strftime(ts, {FMT}) AS at FROM events""",
+    "persist_sources": f"""WITH s AS (SELECT s_name code, s_name AS name, NULL::VARCHAR source_type, NULL::VARCHAR file_format, s_acctbal > 0 is_active, NULL::INT update_frequency_days, NULL::BOOLEAN validate_xsd FROM supplier
+  UNION ALL VALUES ('OFAC', 'OFAC SDN Enhanced List', 'OFAC', 'xml', true, 1, true), ('UN', 'UN Consolidated List', 'UN', 'xml', true, 1, true),
+   ('EU', 'EU Consolidated List', 'EU', 'xml', false, 7, NULL), ('UK', 'UK Consolidated List', 'UK', 'xml', false, 7, NULL))
+  SELECT {rowid("data_sources", "code")} id, * FROM s""",
+    "reload_report": f"""WITH {OFACV}, {UNV.split(ENT + ',')[1].strip()} SELECT 'OFAC' source, true success, 0 errors, 1 warnings, count(*) total_entities, count(*) FILTER (xtype = 'individual') individuals,
+  count(*) entities_added, 0::BIGINT entities_updated, 0::BIGINT entities_removed FROM ox UNION ALL SELECT 'UN', true, 0, 0, count(*), count(*), count(*), 0, 0 FROM uy""",
     "audit_search": """WITH c AS (SELECT event_id log_id, user_id actor_id, ts, count(*) OVER () total FROM events WHERE event_type = 'click' AND value <= 50 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25')
   SELECT log_id, actor_id, total FROM c ORDER BY ts DESC, log_id DESC LIMIT 50 OFFSET 5""",
     "audit_by_id": "SELECT 'S77' screening_id, CASE WHEN value > 50 THEN 'entity' ELSE 'request' END decision FROM events WHERE event_id = 77",
@@ -431,6 +478,6 @@ ORACLES: dict[str, str] = {
     "request_pairs": """SELECT o_orderkey request_id, CASE WHEN c > 6 THEN 'ERROR' WHEN c IS NOT NULL THEN 'RESPONSE' END outcome, c status_code, date_diff('day', o_orderdate, f)::INT AS days
   FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) c, max(l_shipdate) f FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     "error_rate_5m": ERRWIN,
-    "p95_5m": f"""SELECT strftime(s, {FMT}) window_start, strftime(s + INTERVAL 5 MINUTE, {FMT}) window_end, count(*) calls, round(quantile_cont(value * 4, 0.95), 6) p95_ms, quantile_cont(value * 4, 0.95) > 500 alert
+    "p95_5m": f"""SELECT strftime(s, {FMT}) window_start, strftime(s + INTERVAL 5 MINUTE, {FMT}) window_end, count(*) calls, round(quantile_disc(value * 4, 0.95), 6) p95_ms, quantile_disc(value * 4, 0.95) > 500 alert
   FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) s FROM events) GROUP BY s""",
 }

@@ -5,18 +5,18 @@ The similarity threshold becomes an equality join plus two cheap conditions:
 * equality on the length of the list name, one request row per admissible length
   (a score of t needs ``200 * min(la, lb) / (la + lb) >= t``);
 * the number of differing bits of two letter-bag sketches, tested inside the join, so that only
-  pairs that may reach t leave it (about one in twenty at t = 75);
+  pairs that may reach t leave it;
 * the exact score, by the Arrow UDF, for what is left.
 
 Both sides are distinct keys, so a name held by a third of all rows is compared once. A list that is
 measured to be small is broadcast and the requests are not shuffled. A larger one is laid out in a
-grid of (length, list block, request block) cells of bounded size, which spreads any hot length.
+grid of (length, list block, request block) cells. A length has as many blocks on each side as that
+side's rows of the length need, so a row is copied once for each block of the other side, whatever
+the number of tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,24 +43,44 @@ def _admissible_lengths(length: Column, score: Column) -> Column:
     return F.sequence(low.cast("int"), high.cast("int"))
 
 
-def _block(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def key_bytes(names: DataFrame) -> int:
+    """Size of distinct list keys once they are read, by one aggregation."""
+    row = names.agg(F.sum(F.octet_length("list_key") + F.lit(ROW_OVERHEAD)).alias("b")).first()
+    return row["b"] or 0
+
+
+def in_grid(probe: DataFrame, build: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (len, list_block, request_block); each pair of rows of one length meets in one cell."""
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    # one row for each length of a name
+    sizes = F.broadcast(blocks(probe, "request_blocks").join(blocks(build, "list_blocks"), "len"))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def own(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    asked = probe.join(sizes, "len").withColumn("request_block", own("request_key", "request_blocks")).withColumn("list_block", every("list_blocks"))
+    listed = build.join(sizes, "len").withColumn("list_block", own("list_key", "list_blocks")).withColumn("request_block", every("request_blocks"))
+    return asked.drop("request_blocks", "list_blocks"), listed.drop("request_blocks", "list_blocks")
 
 
 def name_pairs(
-    requests: DataFrame, names: DataFrame, limits: JoinLimits = DEFAULT.limits
+    requests: DataFrame, names: DataFrame, limits: JoinLimits = DEFAULT.limits, list_bytes: int | None = None
 ) -> DataFrame:
     """All pairs of keys whose score reaches the request's own minimum.
 
-    requests: (request_key, min_score), one row per key. names: (list_key), one row per key.
-    Returns (request_key, list_key, score).
+    requests: (request_key, min_score), one row per key. names: (list_key), one row per key; ``list_bytes``
+    is their ``key_bytes`` where known. Returns (request_key, list_key, score).
     """
     requests = requests.filter((F.col("request_key") != "") & (F.col("min_score") <= 100))
     names = names.filter(F.col("list_key") != "")
-    by_length = names.groupBy(F.length("list_key").alias("n")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("list_key") + F.lit(ROW_OVERHEAD)).alias("bytes")
-    )
-    largest, total_bytes = by_length.agg(F.max("rows"), F.sum("bytes")).first()
+    if list_bytes is None:
+        list_bytes = key_bytes(names)
 
     tasks = parallelism(requests)
     probe = _sketched(requests, "request_key", "r", tasks).withColumn(
@@ -74,17 +94,11 @@ def name_pairs(
     build = _sketched(names, "list_key", "l", tasks).withColumnRenamed("llen", "len")
     close = differing_bits("rs", "ls") <= F.col("max_bits")
 
-    if (total_bytes or 0) <= limits.broadcast_bytes:
+    if list_bytes <= limits.broadcast_bytes:
         build = F.broadcast(build)
         same = probe["len"] == build["len"]
     else:
-        list_blocks = max(1, math.ceil(largest / limits.block_rows))
-        probe = probe.withColumn("request_block", _block("request_key", tasks)).withColumn(
-            "list_block", F.explode(F.sequence(F.lit(0), F.lit(list_blocks - 1)))
-        )
-        build = build.withColumn("list_block", _block("list_key", list_blocks)).withColumn(
-            "request_block", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
-        )
+        probe, build = in_grid(probe, build, limits.block_rows)
         build = build.hint("shuffle_hash")
         same = (
             (probe["len"] == build["len"])

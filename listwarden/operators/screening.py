@@ -18,8 +18,8 @@ from listwarden.config import DEFAULT, ScreeningConfig
 from listwarden.functions import names as N
 from listwarden.functions.similarity import differing_bits, key_ratio, with_bag_sketch
 from listwarden.operators import decision as D
-from listwarden.operators.candidates import distinct_requests, name_pairs
-from listwarden.operators.joins import broadcast_if_small
+from listwarden.operators.candidates import distinct_requests, key_bytes, name_pairs
+from listwarden.operators.joins import measured_bytes
 from listwarden.operators.staging import materialized
 
 INPUTS = ["name", "document_number", "document_type", "date_of_birth", "nationality", "country"]
@@ -113,20 +113,30 @@ def list_names(entities: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PreparedList:
-    """A list ready for matching, kept as two tables of the shared folder.
+    """A list ready for matching, kept as tables of the shared folder, with the sizes that choose a join.
 
-    entities: the narrow entity rows; names: one row per list name with its key.
+    entities: the narrow entity rows; names: one row per list name with its key; index: the names that can be
+    among the best ``match_limit`` of a request; keys: the distinct keys; documents: one row per document key.
     """
 
     entities: DataFrame
     names: DataFrame
+    index: DataFrame
+    keys: DataFrame
+    documents: DataFrame
+    match_limit: int
+    index_bytes: int
+    key_bytes: int
 
 
-def prepare_list(entities: DataFrame) -> PreparedList:
+def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT) -> PreparedList:
     """Normalize a list once; any number of screenings can then use it."""
     slim = materialized(_list_columns(entities), "entities")
-    named = list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name")
-    return PreparedList(slim, materialized(named, "names"))
+    names = materialized(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
+    index = materialized(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
+    keys = materialized(names.select("list_key").distinct(), "keys")
+    documents = materialized(document_index(slim), "documents")
+    return PreparedList(slim, names, index, keys, documents, config.match_limit, measured_bytes(index), key_bytes(keys))
 
 
 def document_index(slim: DataFrame) -> DataFrame:
@@ -189,10 +199,14 @@ def _other_type_pairs(prof: DataFrame, index: DataFrame, config: ScreeningConfig
         F.col("doc_key").isNotNull() & F.col("document_type").isNotNull() & (F.col("request_key") != "")
     ).select("profile_id", "document_type", "doc_key", "request_key", F.length("request_key").alias("rlen"))
     asked = with_bag_sketch(asked, "request_key", "rs")
+    kinds = F.sort_array(F.array_distinct(F.transform("same", lambda d: d["type"])))
     listed = list_names(index.filter(F.size("same") > 0)).select(
         *ENTITY, "entity_type", "entity_year", "listed", F.col("doc_key").alias("list_doc_key"), "same",
-        "imo", "position", "alias_text", "list_key", F.length("list_key").alias("llen"),
+        "imo", "position", "alias_text", "list_key", F.length("list_key").alias("llen"), kinds.alias("kinds"), F.col("imo").isNotNull().alias("is_imo"),
     )
+    # Entities alike in all of these rank in one order for every request: the first of them stand for the rest.
+    alike = ["list_doc_key", "kinds", "is_imo", "list_key", "entity_year", "listed"]
+    listed = _first_per_group(listed, alike, config.match_limit).drop("kinds", "is_imo")
     listed = with_bag_sketch(listed, "list_key", "ls")
     both = F.col("rlen") + F.col("llen")
     may_reach = differing_bits("rs", "ls") <= both - 2 * F.ceil(low * both / 200.0 - 1e-9)
@@ -210,12 +224,11 @@ def _other_type_pairs(prof: DataFrame, index: DataFrame, config: ScreeningConfig
     )
 
 
-def _name_matches(prof: DataFrame, names: DataFrame, config: ScreeningConfig) -> DataFrame:
+def _name_matches(prof: DataFrame, prepared: PreparedList, config: ScreeningConfig) -> DataFrame:
     """Name pairs that may pass, without the entities that share the request's document number."""
-    index = _first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit)
-    keys = names.select("list_key").distinct()
-    pairs = name_pairs(distinct_requests(prof), keys, config.limits)
-    found = pairs.join(broadcast_if_small(index, config.limits.broadcast_bytes), "list_key")
+    pairs = name_pairs(distinct_requests(prof), prepared.keys, config.limits, prepared.key_bytes)
+    small = prepared.index_bytes <= config.limits.broadcast_bytes
+    found = pairs.join(F.broadcast(prepared.index) if small else prepared.index, "list_key")
     best = found.groupBy("request_key", *ENTITY).agg(
         F.max("score").alias("name_score"),
         F.max_by("alias_text", F.struct("score", -F.col("position"))).alias("matched_name"),
@@ -224,6 +237,11 @@ def _name_matches(prof: DataFrame, names: DataFrame, config: ScreeningConfig) ->
         F.any_value("listed").alias("listed"),
         F.any_value("doc_keys").alias("doc_keys"),
     )
+    # Entities of one birth year and countries differ for a request by name score alone, so the best of them
+    # suffice, and a name that many requests share is reduced before it meets them. An entity left out below for its
+    # document number comes back through the document branches, at least as high, so it keeps its place here.
+    order = Window.partitionBy("request_key", "entity_year", "listed").orderBy(F.col("name_score").desc(), *ENTITY)
+    best = best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= config.match_limit).drop("_rank")
     same_document = F.coalesce(F.array_contains("doc_keys", F.col("doc_key")), F.lit(False))
     return (
         best.join(prof, "request_key")
@@ -272,14 +290,16 @@ def screen_profiles(
     prof: DataFrame, prepared: PreparedList, config: ScreeningConfig = DEFAULT
 ) -> DataFrame:
     """Best matches per profile, all layers."""
-    index = document_index(prepared.entities)
+    if config.match_limit > prepared.match_limit:
+        raise ValueError(f"the list is prepared for {prepared.match_limit} matches, {config.match_limit} are asked for")
+    index = prepared.documents
     exact = document_matches(prof, index, config.match_limit)
     other_type = (
         _other_type_pairs(prof, index, config)
         .join(prof, "profile_id")
         .withColumn("document_score", F.lit(100.0))
     )
-    by_name = _name_matches(prof, prepared.names, config)
+    by_name = _name_matches(prof, prepared, config)
     decided = _decided(by_name.unionByName(other_type), config)
     return top_matches(exact.unionByName(decided), "profile_id", config.match_limit)
 
@@ -292,7 +312,7 @@ def screen(
     requests: request_id and the six inputs; they are taken as valid (see ``quality.validated``).
     listed: entities with the columns of ``schemas.SCREENED_ENTITY``, or an already prepared list.
     """
-    prepared = listed if isinstance(listed, PreparedList) else prepare_list(listed)
+    prepared = listed if isinstance(listed, PreparedList) else prepare_list(listed, config)
     prof = materialized(profiles(requests, config), "profiles")
     matches = screen_profiles(prof, prepared, config)
     # Equal rows under one request_id are one request; they share its matches.
@@ -306,10 +326,14 @@ def rounded(matches: DataFrame) -> DataFrame:
     return matches.withColumns({c: F.round(c, 2) for c in scores})
 
 
-def screen_by_document(requests: DataFrame, entities: DataFrame, config: ScreeningConfig = DEFAULT) -> DataFrame:
-    """Layer 1 alone, without a limit."""
+def screen_by_document(
+    requests: DataFrame, entities: DataFrame, config: ScreeningConfig = DEFAULT, limit: int | None = None
+) -> DataFrame:
+    """Layer 1 alone: all matches, or the first ``limit`` of each request."""
     prof = profiles(requests, config)
-    found = document_matches(prof, document_index(_list_columns(entities)))
+    found = document_matches(prof, document_index(_list_columns(entities)), limit)
+    if limit is not None:
+        found = top_matches(found, "profile_id", limit).drop("match_rank")
     keyed = requests.select("request_id", profile_id().alias("profile_id")).distinct()
     return keyed.join(found, "profile_id").drop("profile_id")
 

@@ -48,12 +48,17 @@ def request_tree(requests: DataFrame, results: DataFrame, matches: DataFrame) ->
 
 
 def entities_by_document(
-    entities: DataFrame, documents: DataFrame, searches: DataFrame
+    entities: DataFrame, documents: DataFrame, searches: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Live entities that hold a searched number; a given type must be equal, letter by letter.
 
-    searches: (search_id, document_number, document_type). One row per (search, entity).
+    searches: (search_id, document_number, document_type). One row per (search, entity); with a limit, the first
+    entities of each search, of which only so many per number and type take part in the join.
     """
+    if limit is not None:
+        held = documents.join(live(entities).select(*ENTITY), ENTITY, "left_semi").select(*ENTITY, "normalized_number", "document_type").distinct()
+        first = Window.partitionBy("normalized_number", "document_type").orderBy(*ENTITY)
+        documents = held.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).drop("n")
     wanted = searches.select(
         "search_id",
         F.col("document_type").alias("wanted_type"),
@@ -63,6 +68,9 @@ def entities_by_document(
         F.col("wanted_type").isNull() | (F.col("document_type") == F.col("wanted_type"))
     )
     pairs = holders.select("search_id", *ENTITY).distinct()
+    if limit is not None:
+        first = Window.partitionBy("search_id").orderBy(*ENTITY)
+        pairs = pairs.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).drop("n")
     return pairs.join(live(entities), ENTITY)
 
 
@@ -165,20 +173,29 @@ def by_ids(df: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
     return df.join(ids.select(*key), key, "left_semi")
 
 
-def token_search(tokens: DataFrame, searches: DataFrame, weights: dict[str, float]) -> DataFrame:
+def token_search(
+    tokens: DataFrame, searches: DataFrame, weights: dict[str, float], limit: int | None = None
+) -> DataFrame:
     """Rank of entities per search: the summed weight of the searched tokens they hold.
 
-    tokens: (source, entity_id, token, weight); searches: (search_id, token).
+    tokens: (source, entity_id, token, weight); searches: (search_id, token). Searches for the same tokens are
+    answered once. With a limit, the best entities of each search.
     """
     value = F.lit(0.0)
     for letter, number in weights.items():
         value = F.when(F.col("weight") == letter, number).otherwise(value)
     # One row per entity and token first: a token counts with its best weight.
     valued = tokens.groupBy(*ENTITY, "token").agg(F.max(value).alias("value"))
-    hits = valued.join(searches.distinct(), "token")
-    return hits.groupBy("search_id", *ENTITY).agg(
+    asked = searches.groupBy("search_id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    asked = materialized(asked, "asked")
+    hits = valued.join(asked.select("tokens").distinct().withColumn("token", F.explode("tokens")), "token")
+    found = hits.groupBy("tokens", *ENTITY).agg(
         F.sum("value").alias("rank"), F.count(F.lit(1)).alias("matched_tokens")
     )
+    if limit is not None:
+        best = Window.partitionBy("tokens").orderBy(F.col("rank").desc(), *ENTITY)
+        found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit).drop("n")
+    return asked.join(found, "tokens").drop("tokens")
 
 
 def program_members(programs: DataFrame, memberships: DataFrame, entities: DataFrame) -> DataFrame:

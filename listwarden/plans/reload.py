@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, ScreeningConfig
 from listwarden.operators import quality, tables
+from listwarden.operators.staging import materialized
 from listwarden.sources import xml_lists
 
 
 @dataclass(frozen=True)
 class Reload:
+    """entities: the new version; report: a row per source with success, errors and warnings; refused: the sources
+    whose new file was not accepted, of which ``entities`` holds the previous rows."""
+
     entities: DataFrame
     report: DataFrame
+    refused: tuple[str, ...]
 
 
 def reload_lists(
@@ -24,32 +29,46 @@ def reload_lists(
 ) -> Reload:
     """Both lists as one table and a report row per source.
 
-    The first list is left out when too many of its rows have no id.
+    The first list is refused when too many of its rows have no id; fewer are a warning. Each file is parsed once.
     """
-    raw = xml_lists.read_ofac_raw(spark, ofac_path)
-    check = quality.malformation_rate(raw, "_id", config)
-    failed = check.first()["is_error"]
+    raw = materialized(xml_lists.read_ofac_raw(spark, ofac_path), "raw")
+    check = quality.malformation_rate(raw, "_id", config).first()
+    failed, malformed = check["is_error"], check["malformed_count"]
     parsed = xml_lists.read_un(spark, un_path)
     if not failed:
         parsed = xml_lists.ofac_entities(raw).unionByName(parsed)
+    parsed = materialized(parsed, "parsed")
+    old = previous if previous is not None else parsed.limit(0)
+    if failed:
+        parsed = parsed.unionByName(old.filter(F.col("source") == "OFAC"), allowMissingColumns=True)
     counts = parsed.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_entities"),
         F.count_if(F.col("entity_type") == "individual").alias("individuals"),
     )
-    old = previous if previous is not None else parsed.limit(0)
     fields = [c for c in parsed.columns if c not in ("source", "entity_id")]
     changes = tables.diff_counts(tables.list_diff(old, parsed, ["source", "entity_id"], fields))
+    share = f"{malformed} of {check['entity_count']} entities have no id ({check['malformed_percent']:.2f}%)"
+    errors = [share] if failed else []
+    warnings = [share] if malformed and not failed else []
     sources = spark.createDataFrame(
-        [("OFAC", 1 if failed else 0), ("UN", 0)], "source STRING, validation_errors INT"
+        [("OFAC", not failed, errors, warnings), ("UN", True, [], [])],
+        "source STRING, success BOOLEAN, errors ARRAY<STRING>, warnings ARRAY<STRING>",
     )
     # a handful of rows per table
     report = sources.join(F.broadcast(counts), "source", "left").join(F.broadcast(changes), "source", "left")
-    return Reload(parsed, report.na.fill(0))
+    return Reload(parsed, report.na.fill(0), ("OFAC",) if failed else ())
 
 
 POINTER = "CURRENT"
 
 
+def publish_reload(done: Reload, folder: str, version: str, accept_refused: bool = False) -> str:
+    """Publish a reload; one with a refused source only by explicit choice."""
+    if done.refused and not accept_refused:
+        raise ValueError(f"refused: {', '.join(done.refused)}; their previous rows would be published again")
+    return publish(done.entities, folder, version)
+
+
 def publish(entities: DataFrame, folder: str, version: str) -> str:
     """Write a version, then point to it. Readers see the old version until the write is complete."""
     spark = entities.sparkSession

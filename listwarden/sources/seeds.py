@@ -30,19 +30,19 @@ SCHEMA_PROGRAMS = [
     ("UN-1718", "UN Security Council Resolution 1718", "UN", "UN DPRK sanctions regime"),
 ]
 
-# Fixed values: (code, name, is_active, update_frequency_days, download_url)
+# Fixed values: (code, name, source_type, download_url, file_format, is_active, update_frequency_days, validate_xsd)
 DATA_SOURCES = [
-    ("OFAC", "OFAC SDN Enhanced List", True, 1, "https://sanctionslistservice.ofac.treas.gov/api/PublicationPreview/exports/SDN_ENHANCED.ZIP"),
-    ("UN", "UN Consolidated List", True, 1, "https://scsanctions.un.org/resources/xml/en/consolidated.xml"),
-    ("EU", "EU Consolidated List", False, 7, "https://webgate.ec.europa.eu/fsd/fsf/public/files/xmlFullSanctionsList/content"),
-    ("UK", "UK Consolidated List", False, 7, "https://ofsistorage.blob.core.windows.net/publishlive/ConList.xml"),
+    ("OFAC", "OFAC SDN Enhanced List", "OFAC", "https://sanctionslistservice.ofac.treas.gov/api/PublicationPreview/exports/SDN_ENHANCED.ZIP", "xml", True, 1, True),
+    ("UN", "UN Consolidated List", "UN", "https://scsanctions.un.org/resources/xml/en/consolidated.xml", "xml", True, 1, True),
+    ("EU", "EU Consolidated List", "EU", "https://webgate.ec.europa.eu/fsd/fsf/public/files/xmlFullSanctionsList/content", "xml", False, 7, None),
+    ("UK", "UK Consolidated List", "UK", "https://ofsistorage.blob.core.windows.net/publishlive/ConList.xml", "xml", False, 7, None),
 ]
 
-# Fixed values: (external_id, source, entity_type, primary_name, nationality, date_of_birth, vessel_imo)
+# Fixed values: (external_id, source, entity_type, primary_name, first_name, last_name, nationality, date_of_birth, vessel_type, vessel_flag, vessel_imo)
 SAMPLE_ENTITIES = [
-    ("SAMPLE-001", "OTHER", "individual", "Sample Test Person", "United States", "1980-01-15", None),
-    ("SAMPLE-002", "OTHER", "entity", "Sample Test Corporation Ltd", "Panama", None, None),
-    ("SAMPLE-003", "OTHER", "vessel", "MV Sample Vessel", None, None, "9999999"),
+    ("SAMPLE-001", "OTHER", "individual", "Sample Test Person", "Sample", "Person", "United States", "1980-01-15", None, None, None),
+    ("SAMPLE-002", "OTHER", "entity", "Sample Test Corporation Ltd", None, None, "Panama", None, None, None, None),
+    ("SAMPLE-003", "OTHER", "vessel", "MV Sample Vessel", None, None, None, None, "Cargo", "Panama", "9999999"),
 ]
 
 
@@ -57,15 +57,16 @@ def programs(spark: SparkSession, with_schema_script: bool = False) -> DataFrame
 def data_sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         DATA_SOURCES,
-        "code STRING, name STRING, is_active BOOLEAN, update_frequency_days INT, download_url STRING",
+        "code STRING, name STRING, source_type STRING, download_url STRING, file_format STRING, is_active BOOLEAN, "
+        "update_frequency_days INT, validate_xsd BOOLEAN",
     )
 
 
 def sample_entities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         SAMPLE_ENTITIES,
-        "external_id STRING, source STRING, entity_type STRING, primary_name STRING, nationality STRING, "
-        "date_of_birth STRING, vessel_imo STRING",
+        "external_id STRING, source STRING, entity_type STRING, primary_name STRING, first_name STRING, last_name STRING, "
+        "nationality STRING, date_of_birth STRING, vessel_type STRING, vessel_flag STRING, vessel_imo STRING",
     )
 
 

@@ -164,6 +164,16 @@ def read_un(spark: SparkSession, path: str) -> DataFrame:
     return un_individuals(people).unionByName(un_organisations(organisations))
 
 
+def invalid_rows(spark: SparkSession, path: str, row_tag: str, xsd: str) -> DataFrame:
+    """(record, message) of the rows of an XML file that its row schema refuses."""
+    rows = (
+        spark.read.format("xml").schema("_id STRING, _corrupt_record STRING").option("rowTag", row_tag)
+        .option("ignoreNamespace", True).option("rowValidationXSDPath", xsd).option("mode", "PERMISSIVE").load(path)
+    )
+    refused = rows.filter(F.col("_corrupt_record").isNotNull())
+    return refused.select(F.col("_corrupt_record").alias("record"), F.lit("invalid content: the row does not follow its schema").alias("message"))
+
+
 def read_lists(spark: SparkSession, ofac_path: str, un_path: str) -> DataFrame:
     """Both lists, one after the other, without removing duplicates."""
     return read_ofac(spark, ofac_path).unionByName(read_un(spark, un_path))

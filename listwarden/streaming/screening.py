@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, ScreeningConfig
-from listwarden.operators import quality, screening
+from listwarden.operators import quality, screening, staging
 
 
 def without_duplicates(requests: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -25,12 +25,17 @@ def screen_stream(
 ):
     """A started-able stream writer: every micro batch runs the same screening as a table.
 
-    A batch writes its own folder, so a repeated batch replaces itself and nothing is written twice.
+    A batch writes its own folder, so a repeated batch replaces itself and nothing is written twice. Its
+    staged tables go when it is done. Requests that carry their time and analyst are freed of duplicates first.
     """
+    if {"created_at", "analyst_id"} <= set(requests.columns):
+        requests = without_duplicates(requests)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        before = staging.mark()
         valid = quality.validated(batch, config)
         matches = screening.rounded(screening.screen(valid, listed, config))
         matches.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+        staging.release(before)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

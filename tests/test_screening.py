@@ -139,3 +139,35 @@ def test_bulk_run(spark, tmp_path):
 def test_parameters_are_checked():
     with pytest.raises(ValueError):
         ScreeningConfig(weights=Weights(name=0.5))
+
+
+def test_repeated_rows_share_their_matches(spark):
+    asked, listed = data(7, 10, 40)
+    requests, entities = frames(spark, asked + asked, listed)
+    matches = screening.screen(requests, entities)
+    results = screening.screening_results(requests, matches).collect()
+    expected = {a["request_id"]: len(model.screen(a, listed, DEFAULT)) for a in asked}
+    assert len(results) == 20 and all(r.hit_count == len(r.matches or []) == expected[r.request_id] for r in results)
+
+
+def test_prepared_list_serves_up_to_its_limit(spark):
+    asked, listed = data(8, 5, 20)
+    requests, entities = frames(spark, asked, listed)
+    prepared = screening.prepare_list(entities, DEFAULT.with_(match_limit=2))
+    assert screening.screen(requests, prepared, DEFAULT.with_(match_limit=2)).count() > 0
+    with pytest.raises(ValueError, match="prepared for 2"):
+        screening.screen(requests, prepared)
+
+
+def test_grid_copies_follow_the_data_not_the_tasks(spark):
+    from listwarden.operators.candidates import in_grid
+
+    probe = spark.range(90).select(F.concat(F.lit("r"), "id").alias("request_key"), F.lit(5).alias("len"))
+    build = spark.range(60).select(F.concat(F.lit("l"), "id").alias("list_key"), F.when(F.col("id") < 50, 5).otherwise(6).alias("len"))
+    before, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in ("4", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        asked, listed = in_grid(probe, build, 10)
+        sizes.append((asked.count(), listed.count(), asked.join(listed, ["len", "list_block", "request_block"]).count()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[0] == sizes[1] == (90 * 5, 50 * 9, 90 * 50)
