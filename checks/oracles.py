@@ -8,7 +8,7 @@ from __future__ import annotations
 WORDS = (
     r"list_transform(list_slice(list_sort(list_transform(list_distinct(list_filter("
     r"string_split(regexp_replace(text, '[^\p{L}]+', ' ', 'g'), ' '), lambda x: x <> '')), "
-    r"lambda x: cast(1000000 - length(x) AS VARCHAR) || x)), 1, 6), lambda k: substr(k, 7))"
+    r"lambda x: struct_pack(n := -length(x), w := x))), 1, 6), lambda k: k.w)"
 )
 DOCW = rf"docw AS (SELECT doc_id, lang, source, n_chars, {WORDS} AS w FROM documents WHERE regexp_matches(text, '\p{{L}}'))"
 

@@ -24,8 +24,8 @@ def ranked_words(text: Column) -> Column:
     words = F.filter(
         F.array_distinct(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " ")), lambda w: w != ""
     )
-    keyed = F.transform(words, lambda w: F.concat((F.lit(1000000) - F.length(w)).cast("string"), w))
-    return F.transform(F.slice(F.sort_array(keyed), 1, NAME_WORDS), lambda k: F.substring(k, 7, 1000000))
+    keyed = F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    return F.transform(F.slice(F.sort_array(keyed), 1, NAME_WORDS), lambda k: k["w"])
 
 
 def lettered(spark: SparkSession, sf_dir: str) -> DataFrame:

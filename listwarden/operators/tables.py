@@ -93,16 +93,18 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
     left: (left_text), right: (right_text). Each text keeps only its rarest trigrams, as many as two
     texts of that similarity must share one of (prefix filter). Inside the join a pair must still be
     able to share enough trigrams from this one on, and its sketches may differ in few bits only.
-    Only the pairs that are left read the trigrams themselves. A frequent trigram is split into
-    blocks of bounded size.
+    Only the pairs that are left read the trigrams themselves. A frequent trigram is split on both
+    sides: a text lies in one block of its own side and is copied to every block of the other.
     """
     left_texts = left.select(F.col("left_text").alias("text")).distinct().withColumn("side", F.lit(0))
     right_texts = right.select(F.col("right_text").alias("text")).distinct().withColumn("side", F.lit(1))
     texts = left_texts.unionByName(right_texts).repartition(parallelism(left), F.xxhash64("text"))
     exploded = texts.select("side", "text", F.explode(trigrams(F.col("text"))).alias("gram"))
-    frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    frequency = exploded.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("uses"), F.count_if(F.col("side") == 0).alias("uses0"), F.count_if(F.col("side") == 1).alias("uses1")
+    )
     ranked = exploded.join(frequency, "gram").groupBy("side", "text").agg(
-        F.sort_array(F.collect_list(F.struct("uses", "gram"))).alias("ranked")
+        F.sort_array(F.collect_list(F.struct("uses", "gram", "uses0", "uses1"))).alias("ranked")
     )
     sized = ranked.withColumn("size", F.size("ranked")).withColumn(
         "grams", F.transform("ranked", lambda r: r["gram"])
@@ -112,17 +114,15 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
     texts = materialized(with_set_sketch(sized, "grams", "s"), "texts")
     places = texts.drop("grams").withColumn("prefix", F.slice("ranked", F.lit(1), keep)).select(
         "*", F.posexplode("prefix").alias("place", "r")
-    ).withColumn("blocks", F.ceil(F.col("r.uses") / GRAM_ROWS).cast("int"))
+    )
 
     def side(number: int, name: str) -> DataFrame:
         kept = places.filter(F.col("side") == number).withColumn("gram", F.col("r.gram"))
-        spread = (
-            kept.withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
-            if number == 0
-            else kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        )
+        own, others = (F.ceil(F.col(f"r.uses{n}") / GRAM_ROWS).cast("int") for n in (number, 1 - number))
+        copied = F.explode(F.sequence(F.lit(0), F.greatest(others, F.lit(1)) - 1))
+        spread = kept.withColumn(f"block{number}", F.pmod(F.xxhash64("text"), own).cast("int")).withColumn(f"block{1 - number}", copied)
         columns = ["text", "size", "place", *[f"s{w}" for w in range(SKETCH_WORDS)]]
-        return spread.select("gram", "block", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        return spread.select("gram", "block0", "block1", *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     a, b = side(0, "left"), side(1, "right")
     both = F.col("left_size") + F.col("right_size")
@@ -132,7 +132,8 @@ def similar_name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.3
     ) > both * (threshold / (1 + threshold)) - 1e-9
     close = differing_bits("left_s", "right_s") <= F.floor(both * ((1 - threshold) / (1 + threshold)) + 1e-9)
     met = a.join(
-        b.hint("shuffle_hash"), (a["gram"] == b["gram"]) & (a["block"] == b["block"]) & still_possible & close
+        b.hint("shuffle_hash"),
+        (a["gram"] == b["gram"]) & (a["block0"] == b["block0"]) & (a["block1"] == b["block1"]) & still_possible & close,
     )
     pairs = met.select("left_text", "right_text").distinct()
 
