@@ -25,46 +25,81 @@ def components(links: DataFrame) -> DataFrame:
         jumped = lower.join(of_label, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was")
         jumped = staged(jumped, "labels")
         labels = jumped.select("id", "component")
-        if not jumped.filter(F.col("component") != F.col("was")).limit(1).count():
+        if jumped.filter(F.col("component") != F.col("was")).isEmpty():
             return labels
 
 
-def bucket_groups(buckets: DataFrame, check: Callable[[DataFrame, DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame], stars: int = 4, cheap: int = 8) -> DataFrame:
+def bucket_groups(
+    buckets: DataFrame,
+    check: Callable[[DataFrame, DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    stars: int = 3,
+    cheap: int = 4,
+    broadcast_buckets: int = 1_000_000,
+) -> DataFrame:
     """(id, component) of the ids that ``check`` links to another one of the same bucket.
 
     buckets: (bucket, id), distinct. ``prepare(ids)`` gives what ``check(pairs, prepared)`` needs to return the linked ones of
-    ``pairs`` (a, b), where many pairs may share one a. The groups are those of all pairs of a bucket, without forming them: first each bucket's members are checked with one
-    of them only. What is linked is one group; pairs within a group need no check. Only buckets that still hold several
+    ``pairs`` (a, b), where many pairs may share one a. The groups are those of all pairs of a bucket, without forming them: first each
+    bucket's members are checked with one of them only, the one whose buckets are largest, which is the middle of a
+    group of variants. What is linked is one group; pairs within a group need no check. Only buckets that still hold several
     groups go on, with another member each, until the pairs left are at most ``cheap`` times the members, or after
-    ``stars`` rounds; then every pair of members of different groups that is left is checked.
+    ``stars`` rounds. Then every pair of members of different groups that is left is checked; but if there are many and
+    ``refine(ids, prepared)`` is given, it deals the members left into finer buckets (bucket, id), of which any two ids to be linked
+    share one, and these are treated likewise first.
+
+    Buckets of one member leave at the start; the keys of the others (8 bytes each) are broadcast for that up to ``broadcast_buckets``.
     """
-    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = staged(buckets.join(staged(counted, "buckets"), "bucket"), "members")
+
+    def shared_only(all_members: DataFrame) -> DataFrame:
+        shared = staged(all_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+        sized = all_members.join(F.broadcast(shared) if shared.count() <= broadcast_buckets else shared, "bucket")
+        sized = staged(sized, "sized")
+        return staged(sized.join(sized.groupBy("id").agg(F.sum("n").alias("score")), "id").select("bucket", "id", "score"), "members")
+
+    members = shared_only(buckets)
     prepared = prepare(members.select("id").distinct())
-    labels = links = None
-    for star in range(stars + 1):
-        if labels is None:
-            marked = members.withColumn("component", F.col("id"))
-        else:
-            marked = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        groups = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        n, square = F.sum("n"), F.sum(F.col("n") * F.col("n"))
-        mixed = groups.groupBy("bucket").agg(((n * n - square) / 2).alias("pairs"), n.alias("n")).filter("pairs > 0")
-        mixed = staged(mixed, "mixed")
-        left = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["pairs"]:
-            break
-        inside = staged(marked.join(mixed.select("bucket"), "bucket"), "inside")
-        if star == stars or left["pairs"] <= cheap * left["n"]:
-            other = inside.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = inside.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb"))).select(F.col("id").alias("a"), "b")
-        else:
-            center = F.min(F.struct(F.xxhash64("id", F.lit(star)).alias("h"), F.col("id").alias("a"), F.col("component").alias("ca")))
-            centers = staged(inside.groupBy("bucket").agg(center.alias("c")).select("bucket", "c.a", "c.ca"), "centers")
-            pairs = inside.join(centers, "bucket").filter(F.col("component") != F.col("ca")).select("a", F.col("id").alias("b"))
+    labels, links = None, None
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal labels, links
         found = staged(check(pairs.distinct(), prepared).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if star == stars or left["pairs"] <= cheap * left["n"]:
-            break
+
+    def settle(members: DataFrame, last: bool) -> DataFrame | None:
+        """Checks what must be; returns the members left when there are many and others shall deal with them."""
+        used = None
+        for star in range(stars + 1):
+            if labels is None:
+                marked = members.withColumn("component", F.col("id"))
+            else:
+                marked = members.join(labels, "id", "left").select("bucket", "id", "score", F.coalesce("component", "id").alias("component"))
+            groups = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+            n, square = F.sum("n"), F.sum(F.col("n") * F.col("n"))
+            mixed = staged(groups.groupBy("bucket").agg(((n * n - square) / 2).alias("pairs"), n.alias("n")).filter("pairs > 0"), "mixed")
+            left = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+            if not left["pairs"]:
+                return None
+            inside = staged(marked.join(mixed.select("bucket"), "bucket"), "inside")
+            few = left["pairs"] <= cheap * left["n"]
+            if few or star == stars:
+                if not few and not last:
+                    return inside
+                other = inside.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
+                both = inside.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
+                add(both.select(F.col("id").alias("a"), "b"))
+                return None
+            fresh = inside if used is None else inside.join(used, ["bucket", "id"], "left_anti")
+            best = F.max(F.struct("score", F.col("id").alias("a"), F.col("component").alias("ca"))).alias("c")
+            centers = staged(fresh.groupBy("bucket").agg(best).select("bucket", "c.a", "c.ca"), "centers")
+            now = centers.select("bucket", F.col("a").alias("id"))
+            used = now if used is None else used.unionByName(now)
+            add(inside.join(centers, "bucket").filter(F.col("component") != F.col("ca")).select("a", F.col("id").alias("b")))
+        return None
+
+    rest = settle(members, last=refine is None)
+    if rest is not None:
+        settle(shared_only(staged(refine(rest.select("id").distinct(), prepared), "finer")), last=True)
     return labels if labels is not None else members.select("id", F.col("id").alias("component")).limit(0)

@@ -7,7 +7,10 @@ whatever the corpus. Each of 48 samplings picks the shingle that minimises ln a
 (Gamma(2, 1)) and b (uniform) come from a table entry that a hash of the shingle selects, and a sample is the picked shingle with its t.
 Samples are banded by three into 16 buckets: a pair of similarity s meets with probability 1 - (1 - s**3)**16, 0.99998 at 0.8.
 
-Documents of equal words are one class. Of each bucket ``graph.bucket_groups`` checks only the pairs it needs. A pair is linked when
+Documents of equal words are one class. Of each bucket ``graph.bucket_groups`` checks only the pairs it needs. Where many documents of a
+bucket share a passage and nothing else, they are dealt anew by the rarest fifth of their shingles, of which two documents of that similarity share
+one. Pairs that agree in fewer than
+``MEET`` of all samples are not compared (at a similarity of 0.8 one in 10**9 does so, at 0.7 one in 10**5); the others are read. A pair is linked when
 its weighted Jaccard similarity, sum of the smaller over sum of the larger weights, reaches ``least`` with TF-IDF weights or with the
 counts alone (in a large group of near copies idf lowers what they share, and raises their differences). Groups are
 the connected components of the links.
@@ -27,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listwarden.llm.common import staged
 from listwarden.llm.graph import bucket_groups
@@ -34,6 +38,7 @@ from listwarden.llm.graph import bucket_groups
 LEAST = 0.8
 SHINGLE = 5
 ROWS, BANDS = 3, 16
+MEET = 20
 LEVELS = 8
 WIDTH_BITS, DEPTH = 18, 2
 ENTRY_BITS = 12
@@ -176,29 +181,32 @@ def samples(shingles: np.ndarray, counts: np.ndarray, level: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, text_hash, id, twin, bands) of every document; id and twin hash its words, null without words."""
+    """(doc_id, text_hash, id, twin, bands, samples) of every document; id and twin hash its words, null without words."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, drawings = [], [], []
             for _, words, shingles, counts in documents(batch["text"]):
                 if not len(words):
                     keys.append((None, None))
                     bands.append(None)
+                    drawings.append(None)
                     continue
                 keys.append(np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64).tolist())
                 drawn = samples(shingles, counts, levels(shingles, shared.value)).reshape(BANDS, ROWS)
+                drawings.append(drawn.astype("<u4").tobytes())
                 key = salts.copy()
                 for row in range(ROWS):
                     key = _mixed(key ^ (drawn[:, row] + _PLACES[row]))
                 bands.append(key.view(np.int64))
             ids = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *ids, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "id", "twin", "bands"])
+            columns = [batch["doc_id"], batch["text_hash"], *ids, pa.array(bands, pa.list_(pa.int64())), pa.array(drawings, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "id", "twin", "bands", "samples"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, id long, twin long, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, id long, twin long, bands array<long>, samples binary")
 
 
 def similarity(one: tuple, other: tuple) -> float:
@@ -213,12 +221,20 @@ def similarity(one: tuple, other: tuple) -> float:
     return best
 
 
-def _check(sketch: np.ndarray, least: float, partners: int = 512):
-    """Linked pairs; a task compares about ``partners`` documents with the few that they are paired with."""
+@F.pandas_udf(T.IntegerType())
+def agreeing(one: pd.Series, other: pd.Series) -> pd.Series:
+    """Number of equal samples."""
+    matrix = lambda s: np.frombuffer(b"".join(s), "<u4").reshape(len(s), -1)
+    return pd.Series((matrix(one) == matrix(other)).sum(axis=1) if len(one) else [], dtype="int32")
+
+
+def _check(sketch: np.ndarray, least: float, drawn: DataFrame, partners: int = 512):
+    """Linked pairs, by ``drawn`` (id, samples) and the texts; a task compares about ``partners`` documents with the few that they are paired with."""
 
     def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         shared = pairs.sparkSession.sparkContext.broadcast(sketch)
-        pairs = staged(pairs, "pairs")
+        met = pairs.join(drawn.toDF("a", "one"), "a").join(drawn.toDF("b", "other"), "b")
+        pairs = staged(met.filter(agreeing("one", "other") >= MEET).select("a", "b"), "pairs")
         degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / partners).alias("parts"))
         tasks = max(1, pairs.count() // partners)
         split = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
@@ -241,6 +257,35 @@ def _check(sketch: np.ndarray, least: float, partners: int = 512):
     return check
 
 
+def _prefixes(sketch: np.ndarray, least: float):
+    """Buckets of a document's rarest shingles, so many that the weight of the others, by TF-IDF and by TF, is below ``least`` of all.
+
+    The rarest shingle that two documents of that similarity share is among them in both.
+    """
+
+    def refine(ids: DataFrame, texts: DataFrame) -> DataFrame:
+        shared = ids.sparkSession.sparkContext.broadcast(sketch)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers, marks = [], []
+                for row, _, shingles, counts in documents(batch["text"]):
+                    level = levels(shingles, shared.value)
+                    order = np.lexsort((shingles, LEVELS - level.astype(int)))
+                    needed = np.zeros(len(order), bool)
+                    for weight in (counts * (1 + level / LEVELS), counts.astype(float)):
+                        rest = weight[order][::-1].cumsum()[::-1]
+                        needed |= rest >= least * rest[:1] - 1e-9
+                    marks.append(shingles[order][needed].view(np.int64))
+                    numbers.append(np.full(len(marks[-1]), batch["id"][row].as_py(), np.int64))
+                columns = [pa.array(np.concatenate(x or [np.empty(0, np.int64)])) for x in (marks, numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id"])
+
+        return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(deal, "bucket long, id long")
+
+    return refine
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, class_id, group_id, keep) of each row of ``docs`` (doc_id, text).
 
@@ -250,7 +295,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, broadcast_ids: int =
     signed = staged(signatures(docs, sketch), "signatures")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     spoken = signed.filter(F.col("id").isNotNull())
-    classes = staged(spoken.groupBy("id", "twin").agg(first, F.any_value("bands").alias("bands")), "classes")
+    classes = staged(spoken.groupBy("id", "twin").agg(first, F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")), "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "id").distinct()
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -259,7 +304,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, broadcast_ids: int =
         same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
         return staged(docs.select("doc_id", "text").join(wanted, same).select("id", "text").dropDuplicates(["id"]), "texts")
 
-    linked = bucket_groups(buckets, _check(sketch, least), texts)
+    linked = bucket_groups(buckets, _check(sketch, least, classes.select("id", "samples")), texts, _prefixes(sketch, least))
     grouped = staged(classes.join(linked, "id", "left").select("id", "twin", "first", F.struct(F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("twin")).alias("t")).alias("g")), "grouped")
     heads = staged(grouped.groupBy("g").agg(F.min("first").alias("head")), "heads")
     of_class = staged(grouped.join(heads, "g").select("id", "twin", "first", "head"), "of_class")

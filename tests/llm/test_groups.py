@@ -42,9 +42,18 @@ def test_bucket_groups_equal_all_pairs(spark):
         return pairs.filter(F.abs(F.col("a") - F.col("b")) <= 3)
 
     links = [(a, b) for x, a in rows for y, b in rows if x == y and a < b <= a + 3]
-    for stars, cheap in ((4, 0), (0, 8), (2, 8)):
-        got = {r.id: r.component for r in bucket_groups(buckets, check, lambda ids: ids, stars=stars, cheap=cheap).collect()}
+    def refine(ids, prepared):
+        near = F.explode(F.array(*[F.floor((F.col("id") + k) / 4) for k in range(4)]))
+        return ids.select(near.alias("bucket"), "id").distinct()
+
+    for stars, cheap, finer in ((4, 0, None), (0, 8, None), (2, 8, None)):
+        got = {r.id: r.component for r in bucket_groups(buckets, check, lambda ids: ids, finer, stars, cheap).collect()}
         assert got == _plain(links)
+    one = spark.createDataFrame([(1, 7 * k // 2) for k in range(120)], "bucket long, id long")
+    apart = [(a, b) for a in (7 * k // 2 for k in range(120)) for b in (7 * k // 2 for k in range(120)) if a < b <= a + 3]
+    asked.clear()
+    got = {r.id: r.component for r in bucket_groups(one, check, lambda ids: ids, refine, stars=1, cheap=0).collect()}
+    assert got == _plain(apart) and sum(asked) < 1000
 
 
 def test_copies_of_one_group_need_no_pairs(spark):
