@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from listwarden import schemas
 from listwarden.functions import fields as P
+from listwarden.operators.staging import materialized
 
 
 def _reader(spark: SparkSession, row_tag: str, schema: str):
@@ -170,7 +171,8 @@ def invalid_rows(spark: SparkSession, path: str, row_tag: str, xsd: str) -> Data
         spark.read.format("xml").schema("_id STRING, _corrupt_record STRING").option("rowTag", row_tag)
         .option("ignoreNamespace", True).option("rowValidationXSDPath", xsd).option("mode", "PERMISSIVE").load(path)
     )
-    refused = rows.filter(F.col("_corrupt_record").isNotNull())
+    # The mark of a refused row can only be queried once the rows are written.
+    refused = materialized(rows, "checked").filter(F.col("_corrupt_record").isNotNull())
     return refused.select(F.col("_corrupt_record").alias("record"), F.lit("invalid content: the row does not follow its schema").alias("message"))
 
 
