@@ -34,7 +34,7 @@ def bucket_groups(
     check: Callable[[DataFrame, DataFrame], DataFrame],
     prepare: Callable[[DataFrame], DataFrame],
     refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-    stars: int = 3,
+    stars: int = 2,
     cheap: int = 4,
     broadcast_buckets: int = 1_000_000,
 ) -> DataFrame:
@@ -45,9 +45,9 @@ def bucket_groups(
     bucket's members are checked with one of them only, the one whose buckets are largest, which is the middle of a
     group of variants. What is linked is one group; pairs within a group need no check. Only buckets that still hold several
     groups go on, with another member each, until the pairs left are at most ``cheap`` times the members, or after
-    ``stars`` rounds. Then every pair of members of different groups that is left is checked; but if there are many and
-    ``refine(ids, prepared)`` is given, it deals the members left into finer buckets (bucket, id), of which any two ids to be linked
-    share one, and these are treated likewise first.
+    ``stars`` rounds. Then every pair of members of different groups that is left is checked. If ``refine(ids, prepared)`` is
+    given, it deals the members left after the first round into finer buckets (bucket, id), of which any two ids to be linked
+    share one, and these are treated so instead.
 
     Buckets of one member leave at the start; the keys of the others (8 bytes each) are broadcast for that up to ``broadcast_buckets``.
     """
@@ -68,10 +68,10 @@ def bucket_groups(
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 
-    def settle(members: DataFrame, last: bool) -> DataFrame | None:
-        """Checks what must be; returns the members left when there are many and others shall deal with them."""
+    def settle(members: DataFrame, rounds: int, last: bool) -> DataFrame | None:
+        """Checks what must be; returns the members left after the rounds, if finer buckets shall deal with them."""
         used = None
-        for star in range(stars + 1):
+        for star in range(rounds + 1):
             if labels is None:
                 marked = members.withColumn("component", F.col("id"))
             else:
@@ -83,10 +83,9 @@ def bucket_groups(
             if not left["pairs"]:
                 return None
             inside = staged(marked.join(mixed.select("bucket"), "bucket"), "inside")
-            few = left["pairs"] <= cheap * left["n"]
-            if few or star == stars:
-                if not few and not last:
-                    return inside
+            if not last and star == rounds:
+                return inside
+            if last and (left["pairs"] <= cheap * left["n"] or star == rounds):
                 other = inside.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
                 both = inside.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
                 add(both.select(F.col("id").alias("a"), "b"))
@@ -99,7 +98,7 @@ def bucket_groups(
             add(inside.join(centers, "bucket").filter(F.col("component") != F.col("ca")).select("a", F.col("id").alias("b")))
         return None
 
-    rest = settle(members, last=refine is None)
+    rest = settle(members, stars if refine is None else 1, last=refine is None)
     if rest is not None:
-        settle(shared_only(staged(refine(rest.select("id").distinct(), prepared), "finer")), last=True)
+        settle(shared_only(staged(refine(rest.select("id").distinct(), prepared), "finer")), stars, last=True)
     return labels if labels is not None else members.select("id", F.col("id").alias("component")).limit(0)
