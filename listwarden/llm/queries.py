@@ -154,7 +154,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), bands=lines.BANDS)
 
 
 def _pii_sql() -> str:
