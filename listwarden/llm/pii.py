@@ -7,6 +7,9 @@ without deep recursion or rescanning of long runs.
 
 The four base kinds always stay, whatever their score; the further kinds (iban by mod 97, ssn by its form) need ``least``.
 
+An account number is followed by whatever stands there, so its pattern may run on into the next words. Each of its starts
+is tried: first the part of the match that has the length of its country and ends with a word, then the whole match.
+
 Cases: a null text counts as empty and has no spans. Rows come back one for one, so repeated rows repeat their result.
 Spans of different kinds may overlap. An empty table gives an empty result. Texts are read whole. Further
 columns are kept by ``redact`` and not read by ``detect``.
@@ -28,6 +31,15 @@ KINDS = {
     "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "-", 0.3, "ssn|social|security"),
 }
 BASE = ["email", "ip", "card", "phone"]
+#: Where an account number may start, and what shows the longest one there.
+IBAN_START = r"\b[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_REACH = 4 + 2 * 30 + 1
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 NEAR = 40
 LIFT = 0.4
 LEAST = 0.5
@@ -68,12 +80,43 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _iban_length(m: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)])
+    return F.try_element_at(known, F.substring(m, 1, 2))
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+def _accounts(text: Column, starts: Column) -> Column:
+    """Spans of the account numbers at ``starts``, without those that start inside an earlier one."""
+
+    def reached(s):
+        m = F.regexp_extract(F.substr(text, s["start"] + 1, F.lit(IBAN_REACH)), "^" + KINDS["iban"][0], 0)
+        return F.struct(s["start"].alias("start"), m.alias("m"))
+
+    def split(s):
+        return F.struct(s["start"].alias("start"), s["m"].alias("m"), F.split(s["m"], " ").alias("words"), _iban_length(s["m"]).alias("length"))
+
+    def parts(s):
+        """The part of the country's length, if a word ends there, and the whole match."""
+        heads = F.transform(F.sequence(F.lit(1), F.size(s["words"])), lambda j: F.slice(s["words"], F.lit(1), j))
+        fits = F.filter(heads, lambda h: F.length(F.array_join(h, "")) == s["length"])
+        tried = F.concat(F.transform(fits, lambda h: F.array_join(h, " ")), F.array(s["m"]))
+        return F.struct(s["start"].alias("start"), F.get(F.filter(tried, lambda m: _confirmed("iban", m)), F.lit(0)).alias("m"))
+
+    matches = F.filter(F.transform(starts, reached), lambda s: s["m"] != "")
+    found = F.filter(F.transform(F.transform(matches, split), parts), lambda s: s["m"].isNotNull())
+    spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("m")))
+    empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    behind = lambda done, s: F.coalesce(F.try_element_at(done, F.lit(-1))["end"] <= s["start"], F.lit(True))
+    return F.aggregate(spans, empty, lambda done, s: F.when(behind(done, s), F.concat(done, F.array(s))).otherwise(done))
+
+
 def _placed(kind: str, text: Column, matches: Column) -> Column:
     """Confirmed spans of one kind with their scores."""
     pattern, _, plain, near = KINDS[kind]
+    pattern = IBAN_START if kind == "iban" else pattern
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
     steps = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("m")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
@@ -92,7 +135,8 @@ def _placed(kind: str, text: Column, matches: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), lifted.alias("score"))
 
     spans = F.aggregate(steps, empty, step, lambda done: done["spans"])
-    kept = F.transform(F.filter(spans, lambda s: _confirmed(kind, s["m"])), scored)
+    confirmed = _accounts(text, spans) if kind == "iban" else F.filter(spans, lambda s: _confirmed(kind, s["m"]))
+    kept = F.transform(confirmed, scored)
     if kind not in BASE:
         kept = F.filter(kept, lambda s: s["score"] >= LEAST)
     return F.when(F.size(matches) > 0, kept.cast(SPAN)).otherwise(F.array().cast(SPAN))
@@ -103,7 +147,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     text = F.col("_text")
     found = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     for kind, (pattern, holds, _, _) in KINDS.items():
-        all_of = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        all_of = F.regexp_extract_all(text, F.lit(IBAN_START if kind == "iban" else pattern), F.lit(0))
         found = found.withColumn(f"_m_{kind}", F.when(F.contains(text, F.lit(holds)), all_of).otherwise(F.array().cast("array<string>")) if holds else all_of)
     return found.withColumns({f"_{kind}": _placed(kind, text, F.col(f"_m_{kind}")) for kind in KINDS})
 
