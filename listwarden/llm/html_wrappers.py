@@ -58,6 +58,7 @@ NAMES_LEFT_OUT = frozenset(
     "discussion replies reply disqus toolbar pagination pager skip".split()
 )
 ARTICLES = frozenset(("article", "main"))
+NEVER_LEFT_OUT = ARTICLES | {"html", "body"}
 
 
 class Part:
@@ -207,9 +208,23 @@ def aligned(a: list[Part], b: list[Part]) -> list[Part]:
     return folded(out)
 
 
-def left_out(sign: str) -> bool:
+def named_out(sign: str) -> bool:
     name, *words = sign.split(".")
-    return name in LEFT_OUT or any(w in NAMES_LEFT_OUT for word in words for w in re.split(r"[^a-z]+", word))
+    return name in LEFT_OUT or name not in NEVER_LEFT_OUT and any(w in NAMES_LEFT_OUT for w in words)
+
+
+def left_out(part: Part) -> bool:
+    name, *words = part.sign.split(".")
+    if named_out(part.sign) or name in NEVER_LEFT_OUT:
+        return named_out(part.sign)
+    if not any(w in NAMES_LEFT_OUT for word in words for w in re.split(r"[^a-z]+", word)):
+        return False
+    texts = [part]
+    for p in texts:
+        texts.extend(p.kids)
+    chars = sum(p.chars for p in texts)
+    same = sum(p.chars for p in texts if p.constant is not None and p.chars > len(p.constant))
+    return max(same, sum(p.links for p in texts)) > 0.5 * chars
 
 
 def slots(root: Part) -> dict:
@@ -218,7 +233,7 @@ def slots(root: Part) -> dict:
     def weight(part: Part, constants: bool) -> int:
         if part.sign == "#":
             return 0 if constants and part.constant is not None else part.chars - part.links
-        return 0 if left_out(part.sign) else sum(weight(k, constants) for k in part.kids)
+        return 0 if left_out(part) else sum(weight(k, constants) for k in part.kids)
 
     def children(part: Part) -> Iterator[Part]:
         for kid in part.kids:
@@ -228,7 +243,7 @@ def slots(root: Part) -> dict:
                 yield kid
 
     def has_article(part: Part) -> bool:
-        return any(not left_out(k.sign) and (k.sign.split(".")[0] in ARTICLES or has_article(k)) for k in children(part))
+        return any(not left_out(k) and (k.sign.split(".")[0] in ARTICLES or has_article(k)) for k in children(part))
 
     chosen: set[int] = set()
     if not has_article(root):
@@ -247,7 +262,7 @@ def slots(root: Part) -> dict:
         for kid in children(part):
             name = kid.sign.split(".")[0]
             title = article and name == "header"
-            if left_out(kid.sign) and not title:
+            if left_out(kid) and not title:
                 continue
             if id(part) in chosen and kid.links > 0.5 * max(1, kid.chars) and name in ("ul", "ol", "div"):
                 continue
