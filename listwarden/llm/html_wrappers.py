@@ -3,15 +3,18 @@
 A page is a stream of tags and texts, read leniently into nested lists. A wrapper is such a nest whose parts may be optional (``?``), repeated
 (``+``, also groups of several neighbours) and whose texts are either constants or open slots. It is inferred by alignment:
 neighbours of equal signature (tag with its class and id) fold into a repetition, the children of two streams are aligned along their longest
-common sequence of signatures, what has no partner becomes optional, and texts that differ become a slot. Every page of a host is
-aligned into the wrapper of its host: first within a partition, then the partitions' wrappers with each other, salted. So what
+common sequence of signatures, what has no partner becomes optional, and texts that differ become a slot. A host may have several templates:
+pages with an article that holds text are one, the others are told apart by the path to their heaviest node. Every page is
+aligned into the wrapper of its host and template: first within a partition, then the partitions' wrappers with each other, salted. So what
 is shuffled are wrappers, a few for each host and partition, never the pages of a host.
 
-A wrapper decides once per host which of its slots are main text: those inside articles, else those below the node that holds most
-of the text outside of links and constants; parts whose tag, class or id names a menu, header, footer, sidebar, notice, advert, form or
-comments are left out. Each page is then read along the wrapper of its host.
+A wrapper decides once which of its slots are main text: those inside articles, else those below the node that holds most
+of the text outside of links and constants. Left out are parts whose tag, or a whole word of whose class, id or role, names a menu, header, footer,
+sidebar, notice, advert, form or comments, and parts that name one in a piece of a compound word if their text is the same on several
+pages or mostly links; never the page, its body, main or an article for their names. Each page is then read along the wrapper of its template;
+a page that this leaves empty is read along its own.
 
-Cases: a null html counts as empty, an empty text has 0 characters. Pages without a host share one wrapper. Rows come back one for one. Elements
+Cases: a null html counts as empty, an empty text has 0 characters. Pages without a host share the wrappers of one. Rows come back one for one. Elements
 nested deeper than ``DEEPEST`` hang at that depth; their text is kept. Character references are decoded; ``<br>`` is white space. Unclosed
 tags end where HTML ends them, an unclosed comment, script or style at the end of the page. An empty table gives an empty result. Further columns
 are not read.
@@ -58,6 +61,8 @@ NAMES_LEFT_OUT = frozenset(
     "discussion replies reply disqus toolbar pagination pager skip".split()
 )
 ARTICLES = frozenset(("article", "main"))
+#: Blocks of text: the heaviest node is looked for above them.
+ONE_BLOCK = frozenset(("p", "li", "td", "th", "h1", "h2", "h3", "pre", "blockquote"))
 NEVER_LEFT_OUT = ARTICLES | {"html", "body"}
 
 
@@ -227,6 +232,33 @@ def left_out(part: Part) -> bool:
     return max(same, sum(p.links for p in texts)) > 0.5 * chars
 
 
+def template(page: list) -> str:
+    """What tells the templates of a host apart: "article", or the path to the node that holds most of the text outside of links."""
+    weights: dict[int, int] = {}
+
+    def weigh(node: list) -> tuple[int, bool]:
+        """Text outside of links, and whether an article holds some."""
+        total, article = 0, False
+        for kid in node[1]:
+            if isinstance(kid, str):
+                total += len(kid.strip())
+            elif not named_out(kid[0]) and kid[0].split(".")[0] != "a":
+                n, inside = weigh(kid)
+                total, article = total + n, article or inside or n > 0 and kid[0].split(".")[0] in ARTICLES
+        weights[id(node)] = total
+        return total, article
+
+    if weigh(page)[1]:
+        return "article"
+    path, node = [], page
+    while True:
+        heavy = [k for k in node[1] if isinstance(k, list) and weights.get(id(k), 0) > 0.7 * weights[id(node)] > 0]
+        if not heavy or heavy[0][0].split(".")[0] in ONE_BLOCK:
+            return " ".join(path)
+        node = heavy[0]
+        path.append(node[0])
+
+
 def slots(root: Part) -> dict:
     """The wrapper's decision: signature -> (main text or not, the same for its children), groups dissolved."""
 
@@ -243,7 +275,7 @@ def slots(root: Part) -> dict:
                 yield kid
 
     def has_article(part: Part) -> bool:
-        return any(not left_out(k) and (k.sign.split(".")[0] in ARTICLES or has_article(k)) for k in children(part))
+        return any(not left_out(k) and (k.sign.split(".")[0] in ARTICLES and weight(k, False) > 0 or has_article(k)) for k in children(part))
 
     chosen: set[int] = set()
     if not has_article(root):
@@ -251,7 +283,7 @@ def slots(root: Part) -> dict:
         node = root
         while True:
             heavy = [k for k in children(node) if weight(k, several) > 0.7 * weight(node, several) > 0]
-            if not heavy or heavy[0].sign.split(".")[0] in ("p", "li", "td", "th", "h1", "h2", "h3", "pre", "blockquote"):
+            if not heavy or heavy[0].sign.split(".")[0] in ONE_BLOCK:
                 break
             node = heavy[0]
         chosen.add(id(node))
@@ -308,18 +340,20 @@ def main_text(page: list, decided: dict) -> str:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of every host of ``pages`` (host, html); wrapper is JSON."""
+    """(host, template, wrapper) of every template of every host of ``pages`` (host, html); wrapper is JSON."""
 
     def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt, known = TaskContext.get().partitionId() % SALTS, {}
 
         def told() -> pd.DataFrame:
-            return pd.DataFrame({"host": list(known), "salt": salt, "wrapper": [json.dumps(w.told()) for w in known.values()]}, dtype=object)
+            names, templates = [n for n, _ in known], [t for _, t in known]
+            return pd.DataFrame({"host": names, "template": templates, "salt": salt, "wrapper": [json.dumps(w.told()) for w in known.values()]}, dtype=object)
 
         for batch in batches:
             for name, page in zip(batch["host"], batch["html"]):
-                one = wrapper(parse(page))
-                known[name] = merged(known[name], one) if name in known else one
+                read = parse(page)
+                key, one = (name, template(read)), wrapper(read)
+                known[key] = merged(known[key], one) if key in known else one
                 if len(known) >= HOSTS:
                     yield told()
                     known.clear()
@@ -329,12 +363,13 @@ def infer(pages: DataFrame) -> DataFrame:
         first, *others = (Part.read(json.loads(w)) for w in sorted(frame["wrapper"]))
         for other in others:
             first = merged(first, other)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "salt": [frame["salt"].iloc[0]], "wrapper": [json.dumps(first.told())]}, dtype=object)
+        keys = {c: [frame[c].iloc[0]] for c in ("host", "template", "salt")}
+        return pd.DataFrame({**keys, "wrapper": [json.dumps(first.told())]}, dtype=object)
 
-    schema = "host string, salt int, wrapper string"
+    schema = "host string, template string, salt int, wrapper string"
     partial = pages.select("host", "html").mapInPandas(of_partition, schema)
-    salted = partial.groupBy("host", "salt").applyInPandas(together, schema)
-    return staged(salted.groupBy("host").applyInPandas(together, schema).select("host", "wrapper"), "wrappers")
+    salted = partial.groupBy("host", "template", "salt").applyInPandas(together, schema)
+    return staged(salted.groupBy("host", "template").applyInPandas(together, schema).select("host", "template", "wrapper"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -342,7 +377,11 @@ def extract(pages: DataFrame) -> DataFrame:
     read_pages = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     wrappers = infer(read_pages)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(template=pd.Series([template(parse(page)) for page in batch["html"]], dtype=object, index=batch.index))
+
+    def read_along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decisions: dict[str, dict] = {}
         for batch in batches:
             texts = []
@@ -351,8 +390,12 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(decisions) >= HOSTS:
                         decisions.clear()
                     decisions[told] = slots(Part.read(json.loads(told)))
-                texts.append(main_text(parse(page), decisions[told]))
+                read = parse(page)
+                texts.append(main_text(read, decisions[told]) or main_text(read, slots(wrapper(read))))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"].astype(object), "text": pd.Series(texts, dtype=object)})
 
-    found = read_pages.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInPandas(read, "page_id long, url string, text string")
+    # page_id goes as a text: pandas has no null in whole numbers
+    sorted_pages = read_pages.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(sorted_out, "page_id string, url string, host string, html string, template string")
+    sorted_pages = sorted_pages.withColumn("page_id", F.col("page_id").cast("long"))
+    found = sorted_pages.join(wrappers, ["host", "template"]).select("page_id", "url", "html", "wrapper").mapInPandas(read_along, "page_id long, url string, text string")
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -3,6 +3,19 @@
 from test_html import _texts
 
 LONG = "story {k} goes on and on " * 20
+WITH = "<html><body><nav><a href='/'>Home</a></nav><article><h1>A {k}</h1><p>" + LONG + "</p></article><div class='ad'>Buy</div></body></html>"
+PLAIN = "<html><body><nav><a href='/'>Home</a></nav><div id='content'><h2>B {k}</h2><p>" + LONG + "</p></div><div class='ad'>Buy</div></body></html>"
+OTHER = "<html><body><div id='page'><div class='left'><a href='/'>Home</a></div><section class='text'><h2>C {k}</h2><p>" + LONG + "</p><p>more {k}</p></section></div></body></html>"
+
+
+def test_every_template_of_a_host_gives_its_text(spark):
+    for url in ("http://two.org/x", None):
+        pages = [(k, (WITH, PLAIN, PLAIN, OTHER, WITH, WITH)[k % 6]) for k in range(18)]
+        got = _texts(spark, [(k, url, page.format(k=k)) for k, page in pages])
+        for k, page in pages:
+            head = {WITH: "A", PLAIN: "B", OTHER: "C"}[page]
+            assert got[k][0] == f"{head} {k}\n{LONG.format(k=k).strip()}" + (f"\nmore {k}" if page is OTHER else "")
+
 
 def test_layout_words_leave_no_content_out(spark):
     forms = [
