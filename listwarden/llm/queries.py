@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.llm import decontaminate, html_wrappers, lines, minhash, packing, pii, quality, topk, url_filter, warc
+from listwarden.llm import decontaminate, divergence, hard_negatives, html_wrappers, lines, minhash, packing, pii, quality, substrings, topk, url_filter, warc
 from listwarden.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -157,6 +157,88 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), bands=lines.BANDS)
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = given.select("vec_id", label.alias("label"), topk.integers(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS own
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.own, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS positive_rank FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.positive_rank, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.own, p.positive_rank ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.own = s.own AND NOT s.same AND p.positive_rank <= 5 AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank FROM n WHERE rank <= 10
+"""
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM groups g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + v.v)::HUGEINT AS p
+  FROM gn g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+ln AS (SELECT lang, sum(n) AS n FROM lc GROUP BY lang),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lc.n + 1)) // (ln.n + v.v)::HUGEINT AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - q) * (p.p - q)) // q AS value
+  FROM p JOIN lp USING (lang, term) WHERE p.n > 0 AND p.p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substrings"] = r"""
+WITH d AS (SELECT row_number() OVER () AS own, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wa AS (SELECT own, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+said AS (SELECT own, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS said FROM wa),
+first AS (SELECT said, min(doc_id) AS first FROM said GROUP BY said HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT own, list(DISTINCT pos) AS gone FROM (SELECT own, unnest(generate_series(i, i + 12)) AS pos FROM said JOIN first USING (said) WHERE first < doc_id) GROUP BY own),
+k AS (
+  SELECT doc_id, len(w) AS n_words, CASE WHEN gone IS NULL THEN w ELSE
+    list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept
+  FROM d LEFT JOIN gone USING (own))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_words - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def _pii_sql() -> str:
     """The kinds differ only in pattern and check; positions are sums of the lengths of what lies before."""
     # patterns as the contract states them
