@@ -2,20 +2,21 @@
 
 Words are what lies between blanks and tabs to carriage returns. A window is ``LENGTH`` consecutive words of a document. Its minimiser is the least
 hash among its runs of ``MER`` words. Consecutive windows of a document that share their minimiser travel as one packed string, their words
-each with a blank behind it, to the bucket of the minimiser; equal windows have equal minimisers, so they meet. A bucket
+each with a blank behind it, to the bucket of the minimiser; equal windows have equal minimisers, so they meet. What a task sends to a bucket
+is packed and compressed together, with the places (doc_id, hash of the text, number of the first word) that hold each string. A bucket
 numbers its words, sorts its windows by a hash of the numbers, compares neighbours word by word, and takes the
-smallest doc_id of each. Packed strings with a window that starts in a smaller document than one of those that hold the string are reported,
-and the documents that hold these mark what is repeated. A word goes when a window over it also starts in a document of smaller doc_id; all windows
-are judged on the input.
-
-Skew: equal packed strings of one Arrow batch are sent once, with the smallest and largest doc_id, so a passage that a third of all
-documents share sends one row for each batch. The minimisers are first counted, over all documents, in 2**``cell_bits`` cells; those of a cell
-with more than 1 / ``SHARE`` of all packed strings are used only by windows without another, and a window that has only such
-minimisers goes to a bucket of its own hash. So no bucket but that of one very frequent window has a larger share, and that
-one is collapsed as said. The counts (8 bytes a cell) are the only thing that reaches the driver. What tells documents about repeated strings
-is a sort-merge join by the string's two hashes, with the documents of a batch in one row; Spark splits it where it is skewed.
-
-Strings are told apart by 128 bits of hashes, windows by their words. Cases: a null or blank text has no words; it stays null, or
+smallest doc_id of each. A place is marked with a bit for each window that also starts in a document of smaller doc_id; a word under
+such a window goes. All windows are judged on the input.
+
+Skew: equal packed strings of the texts that a task reads together (``FLUSH`` bytes) are sent once. If a string has more than ``MOST_PLACES`` places
+among them, these do not go to its bucket: a passage that a third of all documents share sends one string for each package, its smallest
+doc_ids come back, and a sort-merge join by the string's two hashes, which Spark splits where it is skewed, brings them to the places. The minimisers
+are first counted, over all documents, in 2**``cell_bits`` cells; those of a cell with more than 1 / ``SHARE`` of all runs are used only by
+windows without another, and a window that has only such minimisers goes to a bucket by its own hash. So no minimiser has a larger share of the
+strings but that of one very frequent window, which is collapsed as said. The counts (8 bytes a cell) are the only thing that reaches the driver.
+A task holds one bucket at a time; there are two for each shuffle partition.
+
+Such strings are told apart by 128 bits of hashes, windows by their words. Cases: a null or blank text has no words; it stays null, or
 becomes empty. Documents of fewer words than a window keep all. A null doc_id is neither smaller nor larger than others: such a row keeps
 its words and takes none from others. Rows with one doc_id don't take words from each other; equal rows come back as often as
 they came. An empty table gives an empty result. Texts are read whole. Further columns are kept, but for the four that are added.
@@ -37,7 +38,7 @@ from listwarden.llm.common import staged
 from listwarden.llm.spoken import CHUNK, Spoken, joined, mixed, odd_numbers, pieces, spans_hashed
 
 LENGTH = 13
-MER = 5
+MER = 3
 SHARE = 4096
 CELL_BITS = 16
 #: Most windows of a packed string: one mark, a bit for each window, fits in a long.
@@ -46,6 +47,9 @@ SEPARATOR = r"[\x20\x09-\x0D]+"
 
 _MER, _WINDOW, _NUMBER = odd_numbers(131, MER), odd_numbers(132, LENGTH), odd_numbers(133, 1)[0]
 _HEAVY = np.uint64(1 << 63)
+#: Bytes of text whose packed strings are sent together, and the most places that a string has in a package.
+FLUSH, MOST_PLACES = 1 << 23, 16
+_codec = pa.Codec("zstd", compression_level=1)
 
 
 def _least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -80,148 +84,219 @@ def runs(spoken: Spoken, heavy: np.ndarray, cell_bits: int) -> tuple[np.ndarray,
     return windows[begun], np.diff(np.append(begun, len(windows))), key[begun]
 
 
-def _batch_runs(batch: pa.RecordBatch, heavy: np.ndarray, cell_bits: int) -> Iterator[tuple]:
-    """Of some rows: words, first word and number of windows of each run, minimiser and hash (both as long), row; sorted by hash; places where a hash begins."""
-    ids = batch["doc_id"]
-    for start, spoken in pieces(batch["text"]):
-        first, windows, key = runs(spoken, heavy, cell_bits)
-        row = start + spoken.document[first]
-        known = np.asarray(pc.is_valid(ids))[row] if len(row) else np.empty(0, bool)
-        first, windows, key, row = first[known], windows[known], key[known], row[known]
-        same = spans_hashed(mixed(spoken.hashes * _NUMBER), first, first + windows + LENGTH - 1) + windows.astype(np.uint64)
-        order = np.lexsort((key, same))
-        first, windows, key, same, row = first[order], windows[order], key[order], same[order], row[order]
-        begun = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (key[1:] != key[:-1])])) if len(row) else np.empty(0, np.int64)
-        yield spoken, first, windows, key.view(np.int64), same.view(np.int64), row, begun
+def _known(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.is_valid(batch["doc_id"]))
 
 
 def heavy_cells(docs: DataFrame, cell_bits: int = CELL_BITS) -> np.ndarray:
-    """Marks the cells of minimisers that have more than 1 / ``SHARE`` of all packed strings."""
+    """Marks the cells of minimisers that have more than 1 / ``SHARE`` of all runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << cell_bits, np.int64)
         none = np.zeros(1 << cell_bits, bool)
         for batch in batches:
-            for *_, key, _, _, begun in _batch_runs(batch, none, cell_bits):
-                cells += np.bincount(key[begun] >> (63 - cell_bits), minlength=len(cells))
+            for _, spoken in pieces(_known(batch)["text"]):
+                key = np.unique(spans_key(spoken, *runs(spoken, none, cell_bits)), axis=0)[:, 0]
+                cells += np.bincount((key >> np.uint64(63 - cell_bits)).astype(np.int64), minlength=len(cells))
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
 
-    sums = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    heavy, sums = np.zeros(1 << cell_bits, bool), sums.toPandas()
+    sums = docs.select("doc_id", "text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    heavy = np.zeros(1 << cell_bits, bool)
     heavy[sums["cell"][sums["n"] > sums["n"].sum() / SHARE]] = True
     return heavy
 
 
-def packed_strings(docs: DataFrame, heavy: np.ndarray, cell_bits: int = CELL_BITS) -> DataFrame:
-    """(key, id, low, high, packed): distinct packed strings of each batch with the smallest and largest doc_id."""
+def spans_key(spoken: Spoken, first: np.ndarray, windows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """(minimiser, hash of the words) of runs."""
+    return np.stack([key, spans_hashed(mixed(spoken.hashes * _NUMBER), first, first + windows + LENGTH - 1) + windows.astype(np.uint64)], axis=1)
+
+
+def _squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of known types as one compressed text; equal bytes of numbers lie side by side."""
+    head = np.array([len(x) for x in arrays], np.int64)
+    raw = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (head, *arrays))
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
+
+
+def _opened(blob: bytes) -> list[np.ndarray]:
+    """What ``_squeezed`` was given."""
+    raw = np.frombuffer(_codec.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
+
+    def take(at: int, n: int, kind: type) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).reshape(n)
+
+    at, out = len(_PACKAGE) * 8, []
+    for n, kind in zip(take(0, len(_PACKAGE), np.int64).tolist(), _PACKAGE):
+        out.append(take(at, n, kind))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+#: Of the strings: low, high - low, windows, number of places; of the places: doc_id - low, text_hash, at; of the strings without places: which, minimiser, hash; text.
+_PACKAGE = [np.int64, np.int64, np.uint8, np.uint8, np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.uint8]
+_PLACE = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())])
+_SENT = pa.schema([("bucket", pa.int32()), ("package", pa.binary()), ("key", pa.int64()), ("id", pa.int64()), ("held", pa.list_(_PLACE))])
+_FOUND = "key long, id long, firsts array<long>, held array<struct<doc_id:long,text_hash:long,at:int>>, doc_id long, text_hash long, at int, bits long"
+
+
+def _packages(gathered: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The packed strings of some pieces, each once: a package for every bucket, and the places of strings that have many."""
+    base = np.cumsum([0, *[len(g[0].text) for g in gathered]])
+    text = np.concatenate([g[0].text for g in gathered])
+    begin, end, windows, hashes, ids, texts, at = (np.concatenate(x) for x in zip(*[
+        (s.offsets[first] + b, s.offsets[first + windows + LENGTH - 1] + b, windows, spans_key(s, first, windows, key), ids, texts, s.number[first])
+        for b, (s, first, windows, key, ids, texts) in zip(base, gathered)
+    ]))
+    if not len(begin):
+        return
+    order = np.lexsort((ids, hashes[:, 0], hashes[:, 1]))
+    begin, end, windows, hashes, ids, texts, at = (x[order] for x in (begin, end, windows, hashes, ids, texts, at))
+    new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]).any(axis=1)]))
+    last = np.append(new[1:], len(ids))
+    bucket = (hashes[new, 0] % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((ids[new], bucket))
+    new, last, bucket = new[order], last[order], bucket[order]
+    low, high, n = ids[new], ids[last - 1], last - new
+    many = n > MOST_PLACES
+    inline = np.where(many, 0, n)
+    held, held_from = joined(np.arange(len(ids)), new, new + inline)
+    packed, packed_from = joined(text, begin[new], end[new])
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    numbers, packages = [], []
+    for one, two in zip(cuts[:-1], cuts[1:]):
+        places = held[held_from[one] : held_from[two]]
+        own = np.repeat(low[one:two], inline[one:two])
+        named = np.flatnonzero(many[one:two])
+        minimiser, same = (hashes[new[one + named], k].view(np.int64) for k in (0, 1))
+        arrays = [np.diff(low[one:two], prepend=0), high[one:two] - low[one:two], windows[new[one:two]], inline[one:two], ids[places] - own, texts[places], at[places], named, minimiser, same, packed[packed_from[one] : packed_from[two]]]
+        packages.append(_squeezed([np.ascontiguousarray(x, kind) for x, kind in zip(arrays, _PACKAGE)]))
+        numbers.append(bucket[one])
+    none = lambda k, kind: pa.nulls(k, kind)
+    k = len(packages)
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int32)), pa.array(packages, pa.binary()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.list_(_PLACE))], schema=_SENT)
+    if many.any():
+        new, last = new[many], last[many]
+        rows, cuts = joined(np.arange(len(ids)), new, last)
+        places = pa.StructArray.from_arrays([pa.array(ids[rows]), pa.array(texts[rows]), pa.array(at[rows].astype(np.int32))], fields=list(_PLACE))
+        spread = (texts[new].view(np.uint64) % np.uint64(buckets)).astype(np.int32)  # anywhere: they only pass through
+        held = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), places)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), none(len(new), pa.binary()), pa.array(hashes[new, 0].view(np.int64)), pa.array(hashes[new, 1].view(np.int64)), held], schema=_SENT)
+
+
+def packed_strings(docs: DataFrame, heavy: np.ndarray, buckets: int, cell_bits: int = CELL_BITS) -> DataFrame:
+    """(bucket, package, key, id, held): packages of packed strings, and the places (``held``) of strings that have many in the same package."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            ids = np.asarray(pc.fill_null(batch["doc_id"], 0))
-            for spoken, first, windows, key, same, row, begun in _batch_runs(batch, shared.value, cell_bits):
-                if not len(row):
-                    continue
-                told = ids[row]
-                text, offsets = joined(spoken.text, spoken.offsets[first[begun]], spoken.offsets[first[begun] + windows[begun] + LENGTH - 1])
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begun), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)])
-                columns = [pa.array(key[begun]), pa.array(same[begun]), pa.array(np.minimum.reduceat(told, begun)), pa.array(np.maximum.reduceat(told, begun)), packed.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "low", "high", "packed"])
-
-    return docs.mapInArrow(send, "key long, id long, low long, high long, packed binary")
-
-
-def holders(docs: DataFrame, heavy: np.ndarray, cell_bits: int = CELL_BITS) -> DataFrame:
-    """(key, id, held): for each batch the places (doc_id, text_hash, at) of every packed string."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
-    place = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())])
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = (np.asarray(pc.fill_null(batch[c], 0)) for c in ("doc_id", "text_hash"))
-            for spoken, first, _, key, same, row, begun in _batch_runs(batch, shared.value, cell_bits):
-                places = pa.StructArray.from_arrays([pa.array(ids[row]), pa.array(texts[row]), pa.array(spoken.number[first].astype(np.int32))], fields=list(place))
-                held = pa.ListArray.from_arrays(pa.array(np.append(begun, len(row)).astype(np.int32)), places)
-                yield pa.RecordBatch.from_arrays([pa.array(key[begun]), pa.array(same[begun]), held], names=["key", "id", "held"])
+            batch = _known(batch)
+            ids, texts = (np.asarray(batch[c]) for c in ("doc_id", "text_hash"))
+            for start, spoken in pieces(batch["text"]):
+                first, windows, key = runs(spoken, shared.value, cell_bits)
+                row = start + spoken.document[first]
+                waiting.append((spoken, first, windows, key, ids[row], texts[row]))
+                size += len(spoken.text)
+                if size >= FLUSH:
+                    yield from _packages(waiting, buckets)
+                    waiting, size = [], 0
+        if waiting:
+            yield from _packages(waiting, buckets)
 
-    return docs.mapInArrow(tell, "key long, id long, held array<struct<doc_id:long,text_hash:long,at:int>>")
+    return docs.mapInArrow(send, "bucket int, package binary, key long, id long, held array<struct<doc_id:long,text_hash:long,at:int>>")
 
 
-def first_documents(text: np.ndarray, offsets: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed string, smallest doc_id) of every window of the packed strings text[offsets[k]:offsets[k + 1]], held first by ``low``."""
-    end = np.flatnonzero(text == 0x20) + 1
-    cuts = np.concatenate([[0], end])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
+def first_documents(text: np.ndarray, windows: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Smallest doc_id of every window of packed strings, which lie one behind the other in ``text``, have ``windows`` windows, and are held first by ``low``."""
+    cuts = np.concatenate([[0], np.flatnonzero(text == 0x20) + 1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
     numbers = np.asarray(words.dictionary_encode().indices).astype(np.int64)
-    string = np.searchsorted(offsets[1:], cuts[:-1], side="right")
-    windows = np.flatnonzero(string[: max(0, len(string) - LENGTH + 1)] == string[LENGTH - 1 :])
-    if not len(windows):
-        return windows, windows
+    string = np.repeat(np.arange(len(windows)), windows.astype(np.int64) + LENGTH - 1)
+    at = np.flatnonzero(string[: max(0, len(string) - LENGTH + 1)] == string[LENGTH - 1 :])
+    if not len(at):
+        return at
     hashes = mixed(numbers.astype(np.uint64) * _NUMBER)
-    code = mixed(sum(hashes[windows + k] * _WINDOW[k] for k in range(LENGTH)))
+    code = mixed(sum(hashes[at + k] * _WINDOW[k] for k in range(LENGTH)))
     order = np.argsort(code)
     fresh = np.concatenate([[True], code[order][1:] != code[order][:-1]])
     group = np.cumsum(fresh) - 1
     again = np.flatnonzero(~fresh)
-    here, there = windows[order[again]], windows[order[again - 1]]
+    here, there = at[order[again]], at[order[again - 1]]
     differs = np.zeros(len(again), bool)
     for k in range(LENGTH):
         differs |= numbers[here + k] != numbers[there + k]
     if differs.any():  # different windows of one hash are told apart by all their words
         unsure = np.flatnonzero(np.isin(group, group[again[differs]]))
-        rows = np.stack([numbers[windows[order[unsure]] + k] for k in range(LENGTH)], axis=1)
+        rows = np.stack([numbers[at[order[unsure]] + k] for k in range(LENGTH)], axis=1)
         group[unsure] = group[-1] + 1 + np.unique(rows, axis=0, return_inverse=True)[1].ravel()
         resort = np.argsort(group, kind="stable")
         order, group = order[resort], group[resort]
     begun = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(low[string[windows[order]]], begun), np.diff(np.append(begun, len(group))))
-    found = np.empty(len(windows), np.int64)
-    found[order] = least
-    return string[windows], found
-
-
-def _repeated(table: pa.Table) -> pa.RecordBatch:
-    """(key, id, firsts) of the strings of whole buckets that hold a window of a smaller document than one of theirs."""
-    key, same, low, high = (table[c].to_numpy() for c in ("key", "id", "low", "high"))
-    packed = pa.concat_arrays(table["packed"].chunks).cast(pa.large_binary())
-    offsets = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
-    text = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    string, found = first_documents(text, offsets - offsets[0], low)
-    begun = np.searchsorted(string, np.arange(len(key) + 1))
-    order = np.lexsort((key, same))
-    new = np.flatnonzero(np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (key[order][1:] != key[order][:-1])]))
-    one, highest = order[new], np.maximum.reduceat(high[order], new)
-    known = highest > np.minimum.reduceat(found, begun[:-1])[one]
-    one = one[known]
-    firsts, cuts = joined(found, begun[one], begun[one + 1])
-    return pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(same[one]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(firsts))], names=["key", "id", "firsts"])
+    found = np.empty(len(at), np.int64)
+    found[order] = np.repeat(np.minimum.reduceat(low[string[at[order]]], begun), np.diff(np.append(begun, len(group))))
+    return found
+
+
+def _judged(packages: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: marks of the places in the packages, and the smallest doc_ids of the windows of the strings without places."""
+    opened = [_opened(p) for p in packages]
+    low = np.concatenate([np.cumsum(o[0]) for o in opened])
+    before = np.cumsum([0, *[len(o[0]) for o in opened]])
+    high, windows, n, beyond, texts, at, named, key, same, text = (np.concatenate(x) for x in list(zip(*opened))[1:])
+    high = high + low
+    named = named + np.repeat(before[:-1], [len(o[7]) for o in opened])
+    windows = windows.astype(np.int64)
+    found = first_documents(text, windows, low)
+    begun = np.cumsum(windows) - windows
+    none = lambda k, kind: pa.nulls(k, kind)
+    names = ["key", "id", "firsts", "held", "doc_id", "text_hash", "at", "bits"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(_PLACE), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    n = n.astype(np.int64)
+    of_place = np.repeat(np.arange(len(n)), n)
+    ids = beyond + low[of_place]
+    some = np.flatnonzero(ids > np.minimum.reduceat(found, begun)[of_place])
+    if len(some):
+        of_place, ids = of_place[some], ids[some]
+        width = windows[of_place]
+        firsts, starts = joined(found, begun[of_place], begun[of_place] + width)
+        bit = np.int64(1) << (np.arange(len(firsts)) - np.repeat(starts[:-1], width))
+        bits = np.add.reduceat(np.where(firsts < np.repeat(ids, width), bit, 0), starts[:-1])
+        columns = [pa.array(ids), pa.array(texts[some]), pa.array(at[some]), pa.array(bits)]
+        yield pa.RecordBatch.from_arrays([none(len(some), k) for k in kinds[:4]] + columns, names=names)
+    if len(named):
+        order = np.lexsort((key, same))
+        one = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1])])]
+        firsts, starts = joined(found, begun[named[one]], begun[named[one]] + windows[named[one]])
+        told = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(firsts))
+        yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(same[one]), told] + [none(len(one), k) for k in kinds[3:]], names=names)
 
 
 def repeated(strings: DataFrame) -> DataFrame:
-    """(key, id, firsts): packed strings in which documents after the first hold a window, and the smallest doc_id of each of its windows."""
+    """Rows of three kinds: marks (doc_id, text_hash, at, bits), ``firsts`` of strings with many places, and the ``held`` places of these."""
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, waiting = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            size += batch.nbytes
-            if size < 4 * CHUNK:
-                continue
-            table = pa.Table.from_batches(waiting)
-            keys = table["key"].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield _repeated(table.slice(0, cut))
-            rest = table.slice(cut).combine_chunks()
-            waiting, size = rest.to_batches(), rest.nbytes
+            passing = batch.filter(pc.is_valid(batch["held"]))
+            k = passing.num_rows
+            if k:
+                columns = [passing["key"], passing["id"], pa.nulls(k, pa.list_(pa.int64())), passing["held"].cast(pa.list_(_PLACE)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "firsts", "held", "doc_id", "text_hash", "at", "bits"])
+            for number, package in zip(batch["bucket"].to_pylist(), batch["package"]):
+                if not package.is_valid:
+                    continue
+                if number != bucket and waiting:
+                    yield from _judged(waiting)
+                    waiting = []
+                bucket = number
+                waiting.append(package.as_py())
         if waiting:
-            yield _repeated(pa.Table.from_batches(waiting))
+            yield from _judged(waiting)
 
-    dealt = strings.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(bucket, "key long, id long, firsts array<long>")
+    return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, _FOUND)
 
 
 @F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
@@ -247,12 +322,14 @@ def _cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
 def dedup(docs: DataFrame, cell_bits: int = CELL_BITS) -> DataFrame:
     """``docs`` with n_words, n_removed, and kept: the words that stay, joined by one blank."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    heavy = heavy_cells(rows.select("doc_id", "text"), cell_bits)
-    told = staged(repeated(packed_strings(rows.select("doc_id", "text"), heavy, cell_bits)), "repeated")
-    met = holders(rows, heavy, cell_bits).join(told, ["key", "id"]).select(F.explode("held").alias("p"), "firsts")
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = staged(repeated(packed_strings(rows, heavy_cells(rows, cell_bits), buckets, cell_bits)), "repeated")
+    told = found.filter("firsts IS NOT NULL").select("key", "id", "firsts")
+    many = found.filter("held IS NOT NULL").select("key", "id", "held").join(told, ["key", "id"]).select(F.explode("held").alias("p"), "firsts")
     bits = "aggregate(transform(firsts, (f, i) -> if(f < p.doc_id, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    marks = met.select("p.doc_id", "p.text_hash", F.struct("p.at", F.expr(bits).alias("bits")).alias("mark")).filter("mark.bits <> 0")
-    marks = marks.groupBy(F.col("doc_id").alias("_mark_doc"), F.col("text_hash").alias("_mark_text")).agg(F.collect_set("mark").alias("_marks"))
+    many = many.select("p.doc_id", "p.text_hash", "p.at", F.expr(bits).alias("bits")).filter("bits <> 0")
+    marks = found.filter("bits IS NOT NULL").select("doc_id", "text_hash", "at", "bits").unionByName(many)
+    marks = marks.select("doc_id", "text_hash", F.struct("at", "bits").alias("mark")).groupBy(F.col("doc_id").alias("_mark_doc"), F.col("text_hash").alias("_mark_text")).agg(F.collect_set("mark").alias("_marks"))
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     same = (F.col("doc_id").cast("long") == F.col("_mark_doc")) & (F.xxhash64("text") == F.col("_mark_text"))
     marked = docs.select(*[F.col(f"`{c}`") for c in others]).join(marks, same, "left")

@@ -63,18 +63,24 @@ def test_frequent_minimisers_and_hash_collisions(spark, monkeypatch):
     assert _cut(spark, rows, cell_bits=2) == _plain(rows)  # every cell is a frequent one
     text = " ".join(["a b c d e f g h i j k l m n"] * 3) + " "
     data = np.frombuffer((text + text.replace("b", "x")).encode(), np.uint8)
-    offsets, low = np.array([0, len(text), len(data)]), np.array([5, 3])
-    plain = substrings.first_documents(data, offsets, low)
+    windows, low = np.array([30, 30]), np.array([5, 3])
+    plain = substrings.first_documents(data, windows, low)
+    assert len(plain) == 60
     monkeypatch.setattr(substrings, "mixed", lambda x: x * np.uint64(0))  # all windows have one hash
-    assert all((a == b).all() for a, b in zip(plain, substrings.first_documents(data, offsets, low)))
+    assert (plain == substrings.first_documents(data, windows, low)).all()
 
 
-def test_buckets_are_handled_whole_when_cut_in_pieces(spark, monkeypatch):
-    rows = _corpus(4)
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    strings = substrings.packed_strings(frame, np.zeros(1 << 16, bool)).toArrow().sort_by("key").combine_chunks()
-    whole = substrings._repeated(strings)
-    assert whole.num_rows and len(set(zip(whole["key"].to_pylist(), whole["id"].to_pylist()))) == whole.num_rows
+def test_package_round_trip():
+    rng = np.random.default_rng(8)
+    arrays = [rng.integers(0, 100, n).astype(kind) for n, kind in zip([5, 5, 5, 5, 9, 9, 9, 0, 0, 0, 70], substrings._PACKAGE)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, substrings._opened(substrings._squeezed(arrays))))
+
+
+def test_a_passage_of_most_documents(spark):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{x}" for x in range(60))
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 50, k % 20)) + " " + passage + (" end" if k % 2 else "")) for k in range(400)]
+    assert _cut(spark, rows) == _plain(rows)
 
 
 def test_very_long_texts(spark):
