@@ -162,7 +162,6 @@ def _packages(gathered: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     many = n > MOST_PLACES
     inline = np.where(many, 0, n)
     held, held_from = joined(np.arange(len(ids)), new, new + inline)
-    packed, packed_from = joined(text, begin[new], end[new])
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     numbers, packages = [], []
     for one, two in zip(cuts[:-1], cuts[1:]):
@@ -170,7 +169,7 @@ def _packages(gathered: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
         own = np.repeat(low[one:two], inline[one:two])
         named = np.flatnonzero(many[one:two])
         minimiser, same = (hashes[new[one + named], k].view(np.int64) for k in (0, 1))
-        arrays = [np.diff(low[one:two], prepend=0), high[one:two] - low[one:two], windows[new[one:two]], inline[one:two], ids[places] - own, texts[places], at[places], named, minimiser, same, packed[packed_from[one] : packed_from[two]]]
+        arrays = [np.diff(low[one:two], prepend=0), high[one:two] - low[one:two], windows[new[one:two]], inline[one:two], ids[places] - own, texts[places], at[places], named, minimiser, same, joined(text, begin[new[one:two]], end[new[one:two]])[0]]
         packages.append(_squeezed([np.ascontiguousarray(x, kind) for x, kind in zip(arrays, _PACKAGE)]))
         numbers.append(bucket[one])
     none = lambda k, kind: pa.nulls(k, kind)
