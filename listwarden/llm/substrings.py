@@ -179,7 +179,7 @@ def _packages(gathered: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
         new, last = new[many], last[many]
         rows, cuts = joined(np.arange(len(ids)), new, last)
         places = pa.StructArray.from_arrays([pa.array(ids[rows]), pa.array(texts[rows]), pa.array(at[rows].astype(np.int32))], fields=list(_PLACE))
-        spread = (texts[new].view(np.uint64) % np.uint64(buckets)).astype(np.int32)  # anywhere: they only pass through
+        spread = ((texts[new].view(np.uint64) ^ hashes[new, 1]) % np.uint64(buckets)).astype(np.int32)  # anywhere: they only pass through
         held = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), places)
         yield pa.RecordBatch.from_arrays([pa.array(spread), none(len(new), pa.binary()), pa.array(hashes[new, 0].view(np.int64)), pa.array(hashes[new, 1].view(np.int64)), held], schema=_SENT)
 
