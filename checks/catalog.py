@@ -20,7 +20,7 @@ from listwarden.functions import fields as P
 from listwarden.functions import names as N
 from listwarden.functions import similarity as S
 from listwarden.functions import text as X
-from listwarden.operators import audit, decision, paging, quality, screening, stats, tables
+from listwarden.operators import audit, decision, paging, quality, rescreening, screening, stats, tables
 from listwarden.operators.candidates import best_alias, distinct_requests, name_pairs
 from listwarden.operators.staging import materialized, shared_folder
 from listwarden.plans import persist, reload, reports
@@ -820,6 +820,40 @@ def screen_small(spark, d):
     return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
 
 
+def _former_list(spark, d) -> DataFrame:
+    """The list as it was: without the aircraft, the vessels under other names and countries, and the pages, which are gone since."""
+    now = V.nested_entities(spark, d)
+    vessel = F.col("entity_type") == "vessel"
+    old_name = F.when(vessel, F.col("last_name")).otherwise(F.col("primary_name"))
+    kept = now.filter(F.col("entity_type") != "aircraft").withColumns({
+        "primary_name": old_name, "all_names": F.when(vessel, F.array(F.col("last_name"))).otherwise(F.col("all_names")),
+        "nationality": F.when(vessel, F.lit("Nauru")).otherwise(F.col("nationality")),
+    })
+    pages = V.table(spark, d, "pages").select(F.lit("UN").alias("source"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("entity_id"), F.lit("entity").alias("entity_type"), F.col("url").alias("primary_name"), F.array("url").alias("all_names"))
+    return kept.unionByName(pages, allowMissingColumns=True)
+
+
+def _carried(spark, d, reserve: int) -> tuple[DataFrame, rescreening.ScreeningState, rescreening.ScreeningState]:
+    requests = quality.validated(V.requests(spark, d))
+    old, new = _former_list(spark, d), V.nested_entities(spark, d)
+    before = rescreening.start(requests, old, reserve=reserve)
+    return requests, before, rescreening.carry_over(before, rescreening.changes(old, new), new)
+
+
+@query
+def screen_delta(spark, d):
+    """Every request against the whole list, carried over from a run on the former list; equal to ``screen_full``."""
+    requests, _, after = _carried(spark, d, rescreening.RESERVE)
+    return screening.rounded(rescreening.best_matches(requests, after)).select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+
+
+@query
+def screen_delta_no_reserve(spark, d):
+    """The same without a reserve: profiles that lose a match and had more than ten are screened anew."""
+    requests, _, after = _carried(spark, d, 0)
+    return screening.rounded(rescreening.best_matches(requests, after)).select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+
+
 @query
 def screen_results(spark, d):
     requests, matches = _screened(spark, d)

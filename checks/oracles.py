@@ -388,6 +388,8 @@ ORACLES: dict[str, str] = {
     "confidence_band": """SELECT CASE WHEN c >= 90 THEN 'high' WHEN c >= 70 THEN 'medium' ELSE 'low' END band, CASE WHEN c >= 80 THEN 'high' WHEN c >= 50 THEN 'medium' ELSE 'low' END sub_band, count(*) n
   FROM (SELECT l_quantity * 2 c FROM lineitem) GROUP BY 1, 2""",
     "screen_full": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
+    "screen_delta": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
+    "screen_delta_no_reserve": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
     "stream_screen": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt",
     "screen_full_weighted": f"WITH {SCREENW} SELECT {MATCHCOLS} FROM mt",
     "screen_small": f"WITH {SCREEN} SELECT {MATCHCOLS} FROM mt WHERE request_id IN (SELECT request_id FROM req0 ORDER BY length(name), request_id LIMIT 100)",
