@@ -20,11 +20,12 @@ from listwarden.functions import fields as P
 from listwarden.functions import names as N
 from listwarden.functions import similarity as S
 from listwarden.functions import text as X
-from listwarden.operators import audit, decision, paging, quality, rescreening, screening, stats, tables
+from listwarden.operators import alerts, audit, decision, paging, quality, rates, rescreening, screening, stats, tables
 from listwarden.operators.candidates import best_alias, distinct_requests, name_pairs
 from listwarden.operators.staging import materialized, shared_folder
 from listwarden.plans import persist, reload, reports
 from listwarden.sources import files, seeds, xml_lists
+from listwarden.streaming import pairing
 from listwarden.streaming import screening as stream_screening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1372,3 +1373,109 @@ def error_rate_5m(spark, d):
 def p95_5m(spark, d):
     w = stats.p95_windows(V.operations(spark, d))
     return w.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}).withColumn("p95_ms", F.round("p95_ms", 6))
+
+
+def _told_times(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+
+@query
+def alert_episodes(spark, d):
+    """When the error rate and the latency of each operation broke their rule, and whether long enough to page."""
+    operations = V.operations(spark, d)
+    evaluations = alerts.error_rate_rule(operations, "operation", percent=0).unionByName(alerts.latency_rule(operations, "operation"))
+    return _told_times(alerts.episodes(evaluations, "operation"), "pending_at", "firing_at", "resolved_at").withColumn("peak", F.round("peak", 6))
+
+
+@query
+def alert_firing(spark, d):
+    """The minutes at which the error rate over all operations has been too high for five minutes."""
+    return _told_times(alerts.firing(alerts.error_rate_rule(V.operations(spark, d))).drop("rule"), "firing_at")
+
+
+@query
+def alert_episodes_stream(spark, d):
+    """The error rate over all operations as a stream of files; a later call ends the last episode."""
+    folder, out, state = _fresh(spark, "calls"), _fresh(spark, "episodes"), _fresh(spark, "state")
+    calls = V.operations(spark, d).select("operation", "is_error", F.col("ts").cast("timestamp").alias("ts"))
+    last = calls.agg(F.lit("end").alias("operation"), F.lit(False).alias("is_error"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    calls.unionByName(last).write.parquet(folder)
+    arriving = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder).withWatermark("ts", "10 minutes")
+    found = alerts.episodes(alerts.error_rate_rule(arriving))
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    told = _told_times(spark.read.schema(found.schema).parquet(out), "pending_at", "firing_at", "resolved_at")
+    return told.withColumn("peak", F.round("peak", 6))
+
+
+@query
+def rate_quantile_5m(spark, d):
+    """95th percentile from the rates of cumulative buckets, sampled each minute and begun anew each day."""
+    found = rates.rate_quantile(rates.scraped(V.operations(spark, d)), 0.95, "operation")
+    return _told_times(found, "window_start", "window_end").withColumn("quantile_seconds", F.round("quantile_seconds", 9))
+
+
+@query
+def counter_rates_5m(spark, d):
+    samples = rates.scraped(V.operations(spark, d)).filter(F.col("le") == "+Inf")
+    found = rates.rates(samples, "operation")
+    return _told_times(found, "window_start", "window_end").withColumn("per_second", F.round("per_second", 9))
+
+
+def _asked_and_answered(spark, d) -> tuple[DataFrame, DataFrame]:
+    asked = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("requested_at"))
+    shipped = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("answered_at"), F.max("l_linenumber").alias("status_code"))
+    outcome = F.when(F.col("status_code") > 6, "ERROR").otherwise("RESPONSE").alias("outcome")
+    return asked, shipped.select(F.col("l_orderkey").alias("request_id"), "answered_at", outcome, "status_code")
+
+
+def _told_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select("request_id", "outcome", "status_code", F.datediff("answered_at", "requested_at").alias("days"))
+
+
+@query
+def request_pairs_within(spark, d):
+    """Orders as requests, their last shipments as answers if within sixty days."""
+    return _told_pairs(pairing.pairs_within(*_asked_and_answered(spark, d), "60 days"))
+
+
+@query
+def request_pairs_stream(spark, d):
+    """The same from two streams of files; a later row without an id on each side makes the last ones time out."""
+    asked, answered = _asked_and_answered(spark, d)
+    folders = [_fresh(spark, "asked"), _fresh(spark, "answered")]
+    end = F.expr("timestamp '2100-01-01 00:00:00'")
+    for frame, folder, at in zip((asked, answered), folders, ("requested_at", "answered_at")):
+        late = frame.agg(*[end.alias(c) if c == at else F.lit(None).cast(t).alias(c) for c, t in frame.dtypes])
+        frame.unionByName(late).write.parquet(folder)
+    arriving = [spark.readStream.schema(spark.read.parquet(f).schema).parquet(f) for f in folders]
+    out, state = _fresh(spark, "pairs"), _fresh(spark, "state")
+    paired = pairing.pair_stream(*arriving, "60 days", "1 day")
+    paired.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return _told_pairs(spark.read.schema(paired.schema).parquet(out))
+
+
+def _literal_statements(spark, d) -> DataFrame:
+    """A statement for each order: the same few forms with its own literals, lists, comments and white space."""
+    o, number = V.table(spark, d, "orders"), F.col("o_custkey").cast("string")
+    one = F.concat(F.lit("SELECT * FROM entities WHERE id = "), number, F.lit(" AND priority = '"), "o_orderpriority", F.lit("'"))
+    ending = F.when(F.col("o_orderkey") % 2 == 0, F.lit(", 7 )")).otherwise(F.lit(")"))
+    many = F.concat(F.lit("SELECT  name FROM t_2\n WHERE id IN ("), number, F.lit(", "), F.col("o_orderkey").cast("string"), ending, F.lit(" -- order "), number)
+    write = F.concat(F.lit("UPDATE requests SET total = "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit(" WHERE note = 'it''s "), number, F.lit("'"))
+    said = F.when(F.col("o_orderstatus") == "O", one).when(F.col("o_orderstatus") == "F", many).otherwise(write)
+    return o.select(said.alias("query"), (F.col("o_orderkey") % 16).cast("double").alias("exec_ms"))
+
+
+@query
+def nplus1_literals(spark, d):
+    """Frequent, fast statements that differ in their literals only."""
+    return stats.n_plus_one(stats.fingerprinted(_literal_statements(spark, d)))
+
+
+@query
+def top_fingerprints(spark, d):
+    return stats.top_statements(stats.fingerprinted(_literal_statements(spark, d)))
+
+
+@query
+def frequent_statements(spark, d):
+    return stats.frequent_statements(_literal_statements(spark, d))

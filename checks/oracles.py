@@ -483,3 +483,48 @@ ORACLES: dict[str, str] = {
     "p95_5m": f"""SELECT strftime(s, {FMT}) window_start, strftime(s + INTERVAL 5 MINUTE, {FMT}) window_end, count(*) calls, round(quantile_disc(value * 4, 0.95), 6) p95_ms, quantile_disc(value * 4, 0.95) > 500 alert
   FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) s FROM events) GROUP BY s""",
 }
+
+# Runs of breached evaluations (rule, operation, w, v, most) by gaps and islands.
+RUNS = "runs AS (SELECT rule, operation, w, v, w - to_minutes(row_number() OVER (PARTITION BY rule, operation ORDER BY w)) g FROM ev WHERE v > most)"
+EPISODE = f"""strftime(min(w), {FMT}) pending_at, strftime(CASE WHEN max(w) - min(w) >= INTERVAL 5 MINUTE THEN min(w) + INTERVAL 5 MINUTE END, {FMT}) firing_at,
+  strftime(max(w) + INTERVAL 1 MINUTE, {FMT}) resolved_at, count(*) evaluations, round(max(v), 6) peak"""
+SLID = "sw AS (SELECT event_type operation, value, s + INTERVAL 5 MINUTE w FROM (SELECT *, unnest([date_trunc('minute', ts) - to_minutes(i) FOR i IN range(0, 5)]) s FROM events))"
+FAILED = "count(*) FILTER (operation = 'error') * 100.0::DOUBLE / count(*)"
+SCRAPED = """c AS (SELECT event_type operation, date_trunc('minute', ts) + INTERVAL 1 MINUTE t, b.le, count(*) FILTER (value * 4 / 1000 <= b.le) n
+  FROM events, (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf'::DOUBLE]) le) b GROUP BY ALL),
+samples AS (SELECT operation, t, le, sum(n) OVER (PARTITION BY operation, le, date_trunc('day', t) ORDER BY t)::BIGINT AS v FROM c),
+steps AS (SELECT *, lag(v) OVER (PARTITION BY operation, le ORDER BY t) earlier FROM samples),
+grown AS (SELECT operation, le, time_bucket(INTERVAL 5 MINUTE, t - INTERVAL 1 MICROSECOND, TIMESTAMP '2000-01-01') w, sum(CASE WHEN v < earlier THEN v ELSE v - earlier END)::BIGINT n
+  FROM steps WHERE earlier IS NOT NULL GROUP BY ALL)"""
+SPAN = f"strftime(w, {FMT}) window_start, strftime(w + INTERVAL 5 MINUTE, {FMT}) window_end"
+PAIRSWITHIN = """WITH f AS (SELECT l_orderkey k, max(l_shipdate) f, max(l_linenumber) c FROM lineitem GROUP BY 1)
+  SELECT o_orderkey request_id, CASE WHEN c > 6 THEN 'ERROR' WHEN c IS NOT NULL THEN 'RESPONSE' ELSE 'TIMEOUT' END outcome, c status_code, date_diff('day', o_orderdate, f)::INT AS days
+  FROM orders LEFT JOIN f ON k = o_orderkey AND f BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY"""
+FINGERPRINTS = r"""raw AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'SELECT * FROM entities WHERE id = ' || o_custkey || ' AND priority = ''' || o_orderpriority || ''''
+    WHEN 'F' THEN 'SELECT  name FROM t_2' || chr(10) || ' WHERE id IN (' || o_custkey || ', ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ', 7 )' ELSE ')' END || ' -- order ' || o_custkey
+    ELSE 'UPDATE requests SET total = ' || CAST(o_totalprice AS DECIMAL(12, 2)) || ' WHERE note = ''it''''s ' || o_custkey || '''' END q, (o_orderkey % 16)::DOUBLE ms FROM orders),
+fp AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '--[^\n]*', ' ', 'g'), '''(?:[^'']|'''')*''', '?', 'g'),
+  '\b\d+(?:\.\d+)?\b', '?', 'g'), '\s+', ' ', 'g'), '\( ?\?(?: ?, ?\?)* ?\)', '(?)', 'g')) query, ms FROM raw),
+sg AS (SELECT query, count(*) calls, sum(ms) total FROM fp GROUP BY 1)"""
+
+ORACLES |= {
+    "alert_episodes": f"""WITH {SLID},
+  ev AS (SELECT 'error_rate' AS rule, operation, w, {FAILED} v, 0::DOUBLE most FROM sw GROUP BY operation, w
+    UNION ALL SELECT 'latency', operation, w, quantile_disc(value * 4, 0.95), 500 FROM sw GROUP BY operation, w), {RUNS}
+  SELECT rule, operation, {EPISODE} FROM runs GROUP BY rule, operation, g""",
+    "alert_episodes_stream": f"""WITH {SLID}, ev AS (SELECT 'error_rate' AS rule, 'all' AS operation, w, {FAILED} v, 1 most FROM sw GROUP BY w), {RUNS}
+  SELECT rule, {EPISODE} FROM runs GROUP BY rule, g""",
+    "alert_firing": f"""WITH {SLID}, b AS (SELECT w FROM sw GROUP BY w HAVING {FAILED} > 1)
+  SELECT strftime(w, {FMT}) firing_at FROM (SELECT w, lag(w, 5) OVER (ORDER BY w) first FROM b) WHERE w - first = INTERVAL 5 MINUTE""",
+    "rate_quantile_5m": f"""WITH {SCRAPED},
+  q AS (SELECT operation, w, list(struct_pack(le := le, n := n) ORDER BY le) b FROM grown GROUP BY ALL),
+  i AS (SELECT *, b[-1].n * 0.95::DOUBLE AS r, list_position(list_transform(b, lambda x: x.n >= b[-1].n * 0.95::DOUBLE), true) k FROM q),
+  e AS (SELECT *, CASE WHEN k > 1 THEN b[k - 1].le ELSE 0 END low, CASE WHEN k > 1 THEN b[k - 1].n ELSE 0 END below FROM i)
+  SELECT operation, {SPAN}, round(CASE WHEN b[k].le = 'inf'::DOUBLE THEN low ELSE low + (b[k].le - low) * (r - below) / nullif(b[k].n - below, 0) END, 9) quantile_seconds FROM e""",
+    "counter_rates_5m": f"WITH {SCRAPED} SELECT operation, {SPAN}, n increase, round(n / 300::DOUBLE, 9) per_second FROM grown WHERE le = 'inf'::DOUBLE",
+    "request_pairs_within": PAIRSWITHIN,
+    "request_pairs_stream": PAIRSWITHIN,
+    "nplus1_literals": f"WITH {FINGERPRINTS} SELECT calls, round(total / calls, 2) avg_ms, substr(query, 1, 80) query_pattern FROM sg WHERE calls > 10 AND total / calls < 10 AND query LIKE '%SELECT%' ORDER BY calls DESC, query LIMIT 10",
+    "top_fingerprints": f"WITH {FINGERPRINTS} SELECT calls, round(total, 2) total_ms, round(total / calls, 2) avg_ms, substr(query, 1, 100) query_preview FROM sg ORDER BY calls DESC, query LIMIT 10",
+    "frequent_statements": f"WITH {FINGERPRINTS} SELECT query, calls FROM sg ORDER BY calls DESC, query LIMIT 10",
+}

@@ -172,6 +172,32 @@ def bulk_summary(results: DataFrame) -> DataFrame:
     return counted.withColumn("hit_rate", F.when(F.col("total_screened") > 0, percent).otherwise("0%"))
 
 
+def fingerprint(query: Column) -> Column:
+    """A statement's normal form: without comments, literals as ?, lists of literals as one, white space as one blank."""
+    steps = [
+        (r"--[^\n]*", " "), (r"(?s)/\*.*?\*/", " "), (r"'(?:[^']|'')*'", "?"), (r"\$\d+", "?"), (r"\b\d+(?:\.\d+)?\b", "?"),
+        (r"\s+", " "), (r"\( ?\?(?: ?, ?\?)* ?\)", "(?)"),
+    ]
+    for pattern, by in steps:
+        query = F.regexp_replace(query, F.lit(pattern), F.lit(by))
+    return F.trim(query)
+
+
+def fingerprinted(statements: DataFrame) -> DataFrame:
+    """``statements`` with their normal form as ``query``, so that calls that differ in literals count together."""
+    return statements.withColumn("query", fingerprint(F.col("query")))
+
+
+def frequent_statements(statements: DataFrame, limit: int = 10, tracked: int = 8192) -> DataFrame:
+    """(query, calls): the most frequent normal forms from a mergeable summary of at most ``tracked`` of them.
+
+    Memory does not grow with the number of forms. Counts are exact while there are at most three quarters of ``tracked`` forms; beyond, a count may be off by
+    about 3.5 / ``tracked`` of all calls. ``statement_stats`` of ``fingerprinted`` counts exactly, by a shuffle of the forms.
+    """
+    top = fingerprinted(statements).agg(F.expr(f"approx_top_k(query, {int(limit)}, {int(tracked)})").alias("top"))
+    return top.select(F.inline("top")).toDF("query", "calls")
+
+
 def statement_stats(statements: DataFrame) -> DataFrame:
     """Calls and time per statement text."""
     return statements.groupBy("query").agg(
