@@ -1479,3 +1479,20 @@ def top_fingerprints(spark, d):
 @query
 def frequent_statements(spark, d):
     return stats.frequent_statements(_literal_statements(spark, d))
+
+
+@query
+def stream_screen_versions(spark, d):
+    """The requests in two files; between the micro batches the current list takes the place of the former one."""
+    folder, out, state = _fresh(spark, "incoming"), _fresh(spark, "out"), _fresh(spark, "state")
+    requests = V.requests(spark, d)
+    requests.filter(F.col("lang") == "en").coalesce(1).write.mode("append").parquet(folder)
+    versions = stream_screening.ListVersions()
+    versions.publish("former", _former_list(spark, d))
+    arriving = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    writer = stream_screening.screen_stream_versions(arriving, versions, out, state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    requests.filter(F.coalesce(F.col("lang") != "en", F.lit(True))).coalesce(1).write.mode("append").parquet(folder)
+    versions.publish("current", V.nested_entities(spark, d))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("list_version").agg(F.countDistinct("request_id").alias("requests"), F.count(F.lit(1)).alias("matches"))

@@ -49,9 +49,21 @@ def mark() -> int:
     return len(_made)
 
 
-def release(since: int = 0) -> None:
-    """Remove the tables staged after ``since``; call it when no DataFrame reads them any more."""
-    while len(_made) > since:
-        store, path = fs.FileSystem.from_uri(_made.pop())
+def taken(since: int) -> list[str]:
+    """The folders staged after ``since``, taken off the list: ``release`` leaves them, ``remove`` removes them."""
+    folders = _made[since:]
+    del _made[since:]
+    return folders
+
+
+def remove(folders: list[str]) -> None:
+    """Remove staged folders; call it when no DataFrame reads them any more."""
+    for folder in folders:
+        store, path = fs.FileSystem.from_uri(folder)
         if store.get_file_info(path).type == fs.FileType.Directory:
             store.delete_dir(path)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables staged after ``since``; call it when no DataFrame reads them any more."""
+    remove(taken(since))
