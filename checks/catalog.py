@@ -20,7 +20,7 @@ from listwarden.functions import fields as P
 from listwarden.functions import names as N
 from listwarden.functions import similarity as S
 from listwarden.functions import text as X
-from listwarden.operators import alerts, audit, decision, paging, quality, rates, rescreening, screening, stats, tables
+from listwarden.operators import alerts, audit, decision, paging, postings, quality, rates, rescreening, screening, stats, tables
 from listwarden.operators.candidates import best_alias, distinct_requests, name_pairs
 from listwarden.operators.staging import materialized, shared_folder
 from listwarden.plans import persist, reload, reports
@@ -1496,3 +1496,37 @@ def stream_screen_versions(spark, d):
     versions.publish("current", V.nested_entities(spark, d))
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("list_version").agg(F.countDistinct("request_id").alias("requests"), F.count(F.lit(1)).alias("matches"))
+
+
+WEIGHTS_OF_TOKENS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
+
+def _token_searches(spark, d) -> DataFrame:
+    words = F.split(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "), " ")
+    return V.requests(spark, d).select(F.col("request_id").alias("search_id"), F.explode(F.filter(words, lambda w: w != "")).alias("token"))
+
+
+@query
+def token_search_topk(spark, d):
+    """The best three entities of every search, from stored postings."""
+    found = postings.best_by_tokens(postings.weighted(_tokens(spark, d), WEIGHTS_OF_TOKENS), _token_searches(spark, d), 3)
+    return found.rows.withColumn("rank", F.round("rank", 6))
+
+
+@query
+def token_search_merged(spark, d):
+    """The same from the postings of a former list, without aircraft and with other names of vessels, and a segment of what has changed."""
+    now = _tokens(spark, d)
+    kind = V.entities(spark, d).select("source", "entity_id", "entity_type")
+    of_kind = lambda *kinds: now.join(kind.filter(F.col("entity_type").isin(*kinds)), ["source", "entity_id"], "left_semi")
+    renamed = of_kind("vessel").withColumn("token", F.reverse("token"))
+    former = postings.weighted(of_kind("individual", "entity").unionByName(renamed), WEIGHTS_OF_TOKENS)
+    fresh = postings.weighted(of_kind("vessel", "aircraft"), WEIGHTS_OF_TOKENS, former.segments)
+    index = postings.merged(former, fresh, kind.filter(F.col("entity_type") == "vessel"))
+    return postings.best_by_tokens(index, _token_searches(spark, d), 3).rows.withColumn("rank", F.round("rank", 6))
+
+
+@query
+def repo_name_search_indexed(spark, d):
+    found = postings.best_by_trigrams(postings.sized(_normalized_entities(spark, d)), "Oferonren enllementaux", 0.05, 100).rows
+    return found.select("source", "entity_id", "primary_name", F.round("similarity", 6).alias("similarity"))

@@ -528,3 +528,8 @@ ORACLES |= {
     "top_fingerprints": f"WITH {FINGERPRINTS} SELECT calls, round(total, 2) total_ms, round(total / calls, 2) avg_ms, substr(query, 1, 100) query_preview FROM sg ORDER BY calls DESC, query LIMIT 10",
     "frequent_statements": f"WITH {FINGERPRINTS} SELECT query, calls FROM sg ORDER BY calls DESC, query LIMIT 10",
 }
+ORACLES |= {
+    "token_search_topk": ORACLES["token_search_best"],
+    "token_search_merged": ORACLES["token_search_best"],
+    "repo_name_search_indexed": ORACLES["repo_name_search"],
+}
