@@ -23,7 +23,7 @@ from listwarden.functions import text as X
 from listwarden.operators import alerts, audit, decision, paging, postings, quality, rates, rescreening, screening, stats, tables
 from listwarden.operators.candidates import best_alias, distinct_requests, name_pairs
 from listwarden.operators.staging import materialized, shared_folder
-from listwarden.plans import persist, reload, reports
+from listwarden.plans import colocated, persist, reload, reports
 from listwarden.sources import files, seeds, xml_lists
 from listwarden.streaming import pairing
 from listwarden.streaming import screening as stream_screening
@@ -1530,3 +1530,47 @@ def token_search_merged(spark, d):
 def repo_name_search_indexed(spark, d):
     found = postings.best_by_trigrams(postings.sized(_normalized_entities(spark, d)), "Oferonren enllementaux", 0.05, 100).rows
     return found.select("source", "entity_id", "primary_name", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def page_by_rank(spark, d):
+    """A page from the middle of all lines, by price, and one past the end."""
+    lines = V.table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    pages = paging.RankedPages(lines, [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")])
+    return pages.page(pages.total // 2, 250).withColumn("part", F.lit("middle")).unionByName(pages.page(pages.total - 7, 250).withColumn("part", F.lit("end")))
+
+
+@query
+def entity_nested_colocated(spark, d):
+    """``entity_nested`` from tables that are stored by the entity's key."""
+    store = colocated.Store(spark, ["source", "entity_id"], 8)
+    e = V.entities(spark, d)
+    store.put("parents", tables.live(e).select("source", "entity_id", "primary_name"))
+    store.put("aliases", V.entity_names(spark, d).select("source", "entity_id", "position", "name"))
+    store.put("documents", V.entity_documents(spark, d).select("source", "entity_id", "document_type", "document_number"))
+    store.put("tokens", _tokens(spark, d))
+    whole = materialized(store.nested("parents", ["aliases", "documents", "tokens"]), "nested")
+    store.drop()
+    return whole.select(
+        "source", "entity_id", "primary_name", joined(F.transform("aliases", lambda a: a["name"])).alias("aliases"),
+        joined(F.transform("documents", lambda x: x["document_number"])).alias("documents"), F.size("tokens").alias("tokens"),
+    )
+
+
+@query
+def request_nested_colocated(spark, d):
+    """``request_nested`` from tables that are stored by the request's id."""
+    store = colocated.Store(spark, ["request_id"], 8)
+    results = V.screening_results(spark, d)
+    store.put("requests", V.screening_requests(spark, d).select("request_id", "status"))
+    store.put("results", results.groupBy("request_id", "result_no").agg(F.max("max_confidence").alias("confidence")))
+    store.put("matches", results.select("request_id", "result_no", "entity_key", "supplier_key"))
+    tree = materialized(store.tree("requests", "results", "matches", "result_no"), "tree")
+    store.drop()
+    return tree.select(
+        "request_id", "status", F.coalesce(F.size("results"), F.lit(0)).alias("results"),
+        F.aggregate(
+            F.coalesce("results", F.expr("array()")), F.lit(0).cast("long"),
+            lambda acc, r: acc + F.aggregate(r["matches"], F.lit(0).cast("long"), lambda a, m: a + m["entity_key"]),
+        ).alias("entity_key_sum"),
+    )

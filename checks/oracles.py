@@ -533,3 +533,10 @@ ORACLES |= {
     "token_search_merged": ORACLES["token_search_best"],
     "repo_name_search_indexed": ORACLES["repo_name_search"],
 }
+ORACLES |= {
+    "page_by_rank": """WITH r AS (SELECT l_extendedprice, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) n, count(*) OVER () total FROM lineitem)
+  SELECT l_extendedprice, l_orderkey, l_linenumber, 'middle' AS part FROM r WHERE n > total // 2 AND n <= total // 2 + 250
+  UNION ALL SELECT l_extendedprice, l_orderkey, l_linenumber, 'end' FROM r WHERE n > total - 7""",
+    "entity_nested_colocated": ORACLES["entity_nested"],
+    "request_nested_colocated": ORACLES["request_nested"],
+}

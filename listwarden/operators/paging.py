@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwarden.operators.staging import new_folder
+
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
     """One page. ``order`` must end in a unique key; Spark keeps only offset + limit rows per task."""
@@ -32,6 +34,37 @@ def page_after(df: DataFrame, keys: list[str], after: list | None = None, limit:
     return df.orderBy(*keys).limit(limit)
 
 
+class RankedPages:
+    """Pages by rank, at any offset, without a task that keeps the rows before it.
+
+    The rows are dealt once into ranges of ``order``, which Spark chooses from a sample, and written by range; the ranges' row counts
+    (one number each) give their first ranks. A page reads the ranges that hold it, and sorts these alone. ``order`` must end in a unique key: then
+    equal leading values, however many, still spread over ranges. Null orders as Spark does (first when ascending). A page past the end is empty.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], ranges: int | None = None):
+        dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+        path = new_folder(df.sparkSession, "ranges")
+        dealt.withColumn("_range", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("_range").parquet(path)
+        self._columns, self._order = df.columns, order
+        self._rows = df.sparkSession.read.schema(f"{df.schema.toDDL()}, _range INT").parquet(path)
+        counts = sorted((r["_range"], r["n"]) for r in self._rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a range
+        self._ends = []
+        for number, n in counts:
+            self._ends.append((number, n + (self._ends[-1][1] if self._ends else 0)))
+        self.total = self._ends[-1][1] if self._ends else 0
+
+    def page(self, offset: int = 0, limit: int = 100) -> DataFrame:
+        chosen, first, begin = [], 0, 0
+        for number, end in self._ends:
+            if begin < offset + limit and end > offset:
+                first = begin if not chosen else first
+                chosen.append(number)
+            begin = end
+        held = self._rows.filter(F.col("_range").isin(chosen) if chosen else F.lit(False)).select(*[F.col(f"`{c}`") for c in self._columns])
+        return held.orderBy(*self._order).offset(max(0, offset - first)).limit(limit)
+
+
 def list_by_source(
     entities: DataFrame, source: str, entity_type: str | None = None, offset: int = 0, limit: int = 100
 ) -> DataFrame:

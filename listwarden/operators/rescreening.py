@@ -28,7 +28,7 @@ from listwarden.config import DEFAULT, ScreeningConfig
 from listwarden.operators import screening
 from listwarden.operators.screening import ENTITY
 from listwarden.operators.staging import materialized
-from listwarden.operators.tables import list_diff
+from listwarden.operators.tables import by_ids, list_diff
 
 #: What screening reads of an entity, besides its key.
 SCREENED = [
@@ -99,7 +99,7 @@ def carry_over(state: ScreeningState, changed: DataFrame, new: DataFrame) -> Scr
     config, depth = state.config, state.config.match_limit + state.reserve
     changed = materialized(changed.select(*ENTITY, "change").distinct(), "changes")
     gone = changed.filter(F.col("change") != "added").select(*ENTITY)
-    fresh = new.join(changed.filter(F.col("change") != "removed").select(*ENTITY), ENTITY, "left_semi")
+    fresh = by_ids(new, changed.filter(F.col("change") != "removed"), ENTITY)
 
     wide = _wide(config, state.reserve + 1)
     met = screening.screen_profiles(state.profiles, screening.prepare_list(fresh, wide), wide).drop("match_rank").withColumn("place", _place())
@@ -114,7 +114,7 @@ def carry_over(state: ScreeningState, changed: DataFrame, new: DataFrame) -> Scr
     recomputed = short.count()
     if not recomputed:
         return replace(state, matches=matches, horizons=horizons, recomputed=0)
-    again = _whole(state.profiles.join(short, "profile_id", "left_semi"), new, config, state.reserve)
+    again = _whole(by_ids(state.profiles, short, ["profile_id"]), new, config, state.reserve)
     matches = matches.join(short, "profile_id", "left_anti").unionByName(again.matches)
     horizons = horizons.join(short, "profile_id", "left_anti").unionByName(again.horizons)
     return replace(state, matches=materialized(matches, "matches"), horizons=materialized(horizons, "horizons"), recomputed=recomputed)

@@ -171,6 +171,7 @@ def search_by_names(
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key is among ``ids``; repeated ids don't repeat rows."""
     return df.join(ids.select(*key), key, "left_semi")
 
 

@@ -25,38 +25,40 @@ class Reload:
 
 def reload_lists(
     spark: SparkSession, ofac_path: str, un_path: str, previous: DataFrame | None = None,
-    config: ScreeningConfig = DEFAULT,
+    config: ScreeningConfig = DEFAULT, un_malformed_percent: float | None = None,
 ) -> Reload:
     """Both lists as one table and a report row per source.
 
-    The first list is refused when too many of its rows have no id; fewer are a warning. Each file is parsed once.
+    A list is refused when its file holds no row with an id. The first list is refused, too, when too many of its rows have none; fewer are a
+    warning. Such rows of the second list are passed over without a word, unless ``un_malformed_percent`` sets how many may be. Each file is parsed once.
     """
     raw = materialized(xml_lists.read_ofac_raw(spark, ofac_path), "raw")
-    check = quality.malformation_rate(raw, "_id", config).first()
-    failed, malformed = check["is_error"], check["malformed_count"]
-    parsed = xml_lists.read_un(spark, un_path)
-    if not failed:
-        parsed = xml_lists.ofac_entities(raw).unionByName(parsed)
-    parsed = materialized(parsed, "parsed")
+    people, organisations = (materialized(part, "raw") for part in xml_lists.read_un_raw(spark, un_path))
+    un_ids = people.select("DATAID").unionByName(organisations.select("DATAID"))
+    checks = {"OFAC": quality.malformation_rate(raw, "_id", config).first(), "UN": quality.malformation_rate(un_ids, "DATAID", config).first()}
+    told, refused = [], []
+    most = {"OFAC": config.malformed_percent, "UN": un_malformed_percent}
+    for source, check in checks.items():
+        checked, bad = most[source] is not None, check["malformed_count"]
+        share = f"{check['malformed_count']} of {check['entity_count']} entities have no id ({check['malformed_percent']:.2f}%)"
+        errors = [share] if checked and check["malformed_percent"] > most[source] else ["the file holds no entities"] if check["entity_count"] == bad else []
+        told.append((source, not errors, errors, [share] if checked and bad and not errors else []))
+        refused += [source] if errors else []
+    un = xml_lists.un_individuals(people).unionByName(xml_lists.un_organisations(organisations))
+    parsed = materialized(xml_lists.ofac_entities(raw).unionByName(un).filter(~F.col("source").isin(refused)), "parsed")
     old = previous if previous is not None else parsed.limit(0)
-    if failed:
-        parsed = parsed.unionByName(old.filter(F.col("source") == "OFAC"), allowMissingColumns=True)
+    if refused:
+        parsed = parsed.unionByName(old.filter(F.col("source").isin(refused)), allowMissingColumns=True)
     counts = parsed.groupBy("source").agg(
         F.count(F.lit(1)).alias("total_entities"),
         F.count_if(F.col("entity_type") == "individual").alias("individuals"),
     )
     fields = [c for c in parsed.columns if c not in ("source", "entity_id")]
     changes = tables.diff_counts(tables.list_diff(old, parsed, ["source", "entity_id"], fields))
-    share = f"{malformed} of {check['entity_count']} entities have no id ({check['malformed_percent']:.2f}%)"
-    errors = [share] if failed else []
-    warnings = [share] if malformed and not failed else []
-    sources = spark.createDataFrame(
-        [("OFAC", not failed, errors, warnings), ("UN", True, [], [])],
-        "source STRING, success BOOLEAN, errors ARRAY<STRING>, warnings ARRAY<STRING>",
-    )
+    sources = spark.createDataFrame(told, "source STRING, success BOOLEAN, errors ARRAY<STRING>, warnings ARRAY<STRING>")
     # a handful of rows per table
     report = sources.join(F.broadcast(counts), "source", "left").join(F.broadcast(changes), "source", "left")
-    return Reload(parsed, report.na.fill(0), ("OFAC",) if failed else ())
+    return Reload(parsed, report.na.fill(0), tuple(refused))
 
 
 POINTER = "CURRENT"
