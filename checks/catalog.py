@@ -813,12 +813,27 @@ def screen_full_weighted(spark, d):
     return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
 
 
+def stored_list(spark, d) -> str:
+    """Folder of the prepared list, as a list version leaves it behind."""
+    folder = _fresh(spark, "prepared")
+    screening.write_prepared(_lists(spark, d), folder)
+    return folder
+
+
+def shortest_names(spark, d) -> DataFrame:
+    """The hundred requests of the shortest names, ties by id."""
+    return V.requests(spark, d).orderBy(F.length("name"), "request_id").limit(100)
+
+
+def screened_from(spark, requests: DataFrame, folder: str) -> DataFrame:
+    matches = screening.rounded(screening.screen(quality.validated(requests), screening.read_prepared(spark, folder)))
+    return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+
+
 @query
 def screen_small(spark, d):
-    """The hundred requests of the shortest names, ties by id, against the whole list: the interactive form."""
-    few = V.requests(spark, d).orderBy(F.length("name"), "request_id").limit(100)
-    matches = screening.rounded(screening.screen(quality.validated(few), _lists(spark, d)))
-    return matches.select(*MATCH_COLUMNS, joined("flags").alias("flags"))
+    """The hundred requests of the shortest names against the whole list, stored before: the interactive form."""
+    return screened_from(spark, shortest_names(spark, d), stored_list(spark, d))
 
 
 def _former_list(spark, d) -> DataFrame:

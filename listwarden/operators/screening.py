@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, ScreeningConfig
@@ -116,7 +116,8 @@ class PreparedList:
     """A list ready for matching, kept as tables of the shared folder, with the sizes that choose a join.
 
     entities: the narrow entity rows; names: one row per list name with its key; index: the names that can be
-    among the best ``match_limit`` of a request; keys: the distinct keys; documents: one row per document key.
+    among the best ``match_limit`` of a request; keys: the distinct keys; documents: one row per document key, of alike ones
+    the first ``match_limit``; document_names: one row per document key and name, likewise.
     """
 
     entities: DataFrame
@@ -124,6 +125,7 @@ class PreparedList:
     index: DataFrame
     keys: DataFrame
     documents: DataFrame
+    document_names: DataFrame
     match_limit: int
     index_bytes: int
     key_bytes: int
@@ -135,8 +137,29 @@ def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT) -> Prep
     names = materialized(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
     index = materialized(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
     keys = materialized(names.select("list_key").distinct(), "keys")
-    documents = materialized(document_index(slim), "documents")
-    return PreparedList(slim, names, index, keys, documents, config.match_limit, measured_bytes(index), key_bytes(keys))
+    whole = materialized(document_index(slim), "whole")
+    documents = materialized(first_documents(whole, config.match_limit), "documents")
+    by_name = materialized(document_names(whole, config.match_limit), "document_names")
+    return PreparedList(slim, names, index, keys, documents, by_name, config.match_limit, measured_bytes(index), key_bytes(keys))
+
+
+TABLES = ("entities", "names", "index", "keys", "documents", "document_names")
+SIZES = ("match_limit", "index_bytes", "key_bytes")
+
+
+def write_prepared(prepared: PreparedList, folder: str) -> None:
+    """Store a prepared list under a folder of its own, for any number of sessions."""
+    spark = prepared.entities.sparkSession
+    for name in TABLES:
+        getattr(prepared, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    sizes = spark.createDataFrame([tuple(getattr(prepared, n) for n in SIZES)], ", ".join(f"{n} long" for n in SIZES))
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/sizes")
+
+
+def read_prepared(spark: SparkSession, folder: str) -> PreparedList:
+    """A stored prepared list; nothing of it is computed again."""
+    sizes = spark.read.parquet(f"{folder.rstrip('/')}/sizes").first()
+    return PreparedList(*[spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in TABLES], *[sizes[n] for n in SIZES])
 
 
 def document_index(slim: DataFrame) -> DataFrame:
@@ -154,6 +177,29 @@ def document_index(slim: DataFrame) -> DataFrame:
     )
 
 
+def _kinds() -> Column:
+    return F.sort_array(F.array_distinct(F.transform("same", lambda d: d["type"])))
+
+
+def first_documents(index: DataFrame, limit: int) -> DataFrame:
+    """Of rows that every request finds or misses alike, the first ``limit``."""
+    kinds = index.withColumn("kinds", _kinds()).withColumn("is_imo", F.col("imo").isNotNull())
+    return _first_per_group(kinds, ["doc_key", "kinds", "is_imo"], limit).drop("kinds", "is_imo")
+
+
+def document_names(index: DataFrame, limit: int) -> DataFrame:
+    """Names of the entities that hold a document number, for requests with that number under another type.
+
+    Entities alike in all that decides rank in one order for every request: the first ``limit`` of them stand for the rest.
+    """
+    listed = list_names(index.filter(F.size("same") > 0)).select(
+        *ENTITY, "entity_type", "entity_year", "listed", F.col("doc_key").alias("list_doc_key"), "same",
+        "imo", "position", "alias_text", "list_key", F.length("list_key").alias("llen"), _kinds().alias("kinds"), F.col("imo").isNotNull().alias("is_imo"),
+    )
+    alike = ["list_doc_key", "kinds", "is_imo", "list_key", "entity_year", "listed"]
+    return with_bag_sketch(_first_per_group(listed, alike, limit).drop("kinds", "is_imo"), "list_key", "ls")
+
+
 def _type_matches(document: Column) -> Column:
     wanted = F.col("document_type")
     return wanted.isNull() | (document["type"] == F.upper(wanted))
@@ -170,10 +216,7 @@ def _exact_number() -> Column:
 def document_matches(prof: DataFrame, index: DataFrame, limit: int | None = None) -> DataFrame:
     """Layer 1: equal normalized number and, if asked for, equal type."""
     if limit is not None:
-        kinds = index.withColumn(
-            "kinds", F.sort_array(F.array_distinct(F.transform("same", lambda d: d["type"])))
-        ).withColumn("is_imo", F.col("imo").isNotNull())
-        index = _first_per_group(kinds, ["doc_key", "kinds", "is_imo"], limit)
+        index = first_documents(index, limit)
     asked = prof.filter(F.col("doc_key").isNotNull()).select("profile_id", "document_type", "doc_key")
     hundred = F.lit(100.0)
     return asked.join(index, "doc_key").filter(_exact()).select(
@@ -192,22 +235,13 @@ def document_matches(prof: DataFrame, index: DataFrame, limit: int | None = None
     )
 
 
-def _other_type_pairs(prof: DataFrame, index: DataFrame, config: ScreeningConfig) -> DataFrame:
-    """Entities with the asked number under another type: they enter by name, with document score 100."""
+def _other_type_pairs(prof: DataFrame, listed: DataFrame, config: ScreeningConfig) -> DataFrame:
+    """Entities with the asked number under another type (``document_names``): they enter by name, with document score 100."""
     low = float(config.layers.low)
     asked = prof.filter(
         F.col("doc_key").isNotNull() & F.col("document_type").isNotNull() & (F.col("request_key") != "")
     ).select("profile_id", "document_type", "doc_key", "request_key", F.length("request_key").alias("rlen"))
     asked = with_bag_sketch(asked, "request_key", "rs")
-    kinds = F.sort_array(F.array_distinct(F.transform("same", lambda d: d["type"])))
-    listed = list_names(index.filter(F.size("same") > 0)).select(
-        *ENTITY, "entity_type", "entity_year", "listed", F.col("doc_key").alias("list_doc_key"), "same",
-        "imo", "position", "alias_text", "list_key", F.length("list_key").alias("llen"), kinds.alias("kinds"), F.col("imo").isNotNull().alias("is_imo"),
-    )
-    # Entities alike in all of these rank in one order for every request: the first of them stand for the rest.
-    alike = ["list_doc_key", "kinds", "is_imo", "list_key", "entity_year", "listed"]
-    listed = _first_per_group(listed, alike, config.match_limit).drop("kinds", "is_imo")
-    listed = with_bag_sketch(listed, "list_key", "ls")
     both = F.col("rlen") + F.col("llen")
     may_reach = differing_bits("rs", "ls") <= both - 2 * F.ceil(low * both / 200.0 - 1e-9)
     pairs = asked.join(listed, (asked["doc_key"] == listed["list_doc_key"]) & may_reach).filter(~_exact())
@@ -292,10 +326,9 @@ def screen_profiles(
     """Best matches per profile, all layers."""
     if config.match_limit > prepared.match_limit:
         raise ValueError(f"the list is prepared for {prepared.match_limit} matches, {config.match_limit} are asked for")
-    index = prepared.documents
-    exact = document_matches(prof, index, config.match_limit)
+    exact = document_matches(prof, prepared.documents)
     other_type = (
-        _other_type_pairs(prof, index, config)
+        _other_type_pairs(prof, prepared.document_names, config)
         .join(prof, "profile_id")
         .withColumn("document_score", F.lit(100.0))
     )
