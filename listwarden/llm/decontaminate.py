@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwarden.functions.names import once
 from listwarden.llm.common import staged, words
 
 LENGTH = 13
@@ -34,6 +35,11 @@ def _window_hashes(hashes: Column, length: int) -> Column:
     return F.when(F.size(hashes) >= length, one).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spoken(spoken: Column) -> Column:
+    """Each hit with its own words only: the text's words do not leave the row."""
+    return F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["n"].alias("n"), h["hash"].alias("hash"), F.slice(spoken, h["at"] + 1, h["n"]).alias("spoken")))
+
+
 def windows(benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
     """Distinct windows: hash, n words, spoken (array of words), items (sorted ids that hold it)."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -70,8 +76,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, broadcast
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(keys, hit_document, "left_semi")
     said = (
         texts.join(hits.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_text", "_t"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text").eqNullSafe(F.col("_t")))
-        .select("doc_id", "_text", F.explode("hits").alias("hit"), w.alias("w"))
-        .select("doc_id", "_text", "hit.*", F.slice("w", F.col("hit.at") + 1, F.col("hit.n")).alias("spoken"))
+        .select("doc_id", "_text", F.explode(once(w, _spoken)).alias("hit"))
+        .select("doc_id", "_text", "hit.*")
         .distinct()
     )
     same = listed.select("hash", "spoken", "items")

@@ -9,8 +9,8 @@ depth doubles. The bounds of a block are matrix products over all its queries. T
 meet in one window per query, of k rows for each block.
 
 Cases: vectors that are null or hold null, NaN or infinite components take no part, neither as queries
-nor as candidates; vectors are compared with vectors of the same length only. Of rows with one
-vec_id the smallest vector stands for all. Equal scores go to the smaller vec_id. Empty tables give an
+nor as candidates, nor do rows with a null vec_id; vectors are compared with vectors of the same length only. Rows with the query's
+vec_id count as the query itself; other rows with equal ids are each a candidate, and each a query, of their own. Equal scores go to the smaller vec_id. Empty tables give an
 empty result. Further columns are not read.
 """
 
@@ -34,12 +34,12 @@ def integers(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), whole)
 
 
-def _first_of(vectors: DataFrame) -> DataFrame:
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
+def _whole(vectors: DataFrame) -> DataFrame:
+    return vectors.select("vec_id", "v").na.drop()
 
 
-def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, depth: int) -> pd.DataFrame:
-    """The k best of one block for each query; ids and x are the candidates, one row each."""
+def block_top(ids: np.ndarray, x: np.ndarray, numbers: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, depth: int) -> pd.DataFrame:
+    """The k best of one block for each query, which goes by its number; ids and x are the candidates, one row each."""
     n, found = len(ids), []
     exact = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(x).max(initial=0)) < EXACT
     xf, qf = (x.astype(np.float64), q.astype(np.float64)) if exact else (x, q)
@@ -69,11 +69,11 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
                 continue
             score = (xf[left] @ qf[query]).astype(np.int64)
             best = np.lexsort((ids[left], -score))[:k]
-            found.append((query_ids[query], ids[left][best], score[best]))
+            found.append((numbers[query], ids[left][best], score[best]))
         waiting, depth = np.array(still, dtype=np.int64), depth * 2
     return pd.DataFrame(
         {
-            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
+            "number": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
             "vec_id": np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)]),
             "score": np.concatenate([f[2] for f in found] or [np.empty(0, np.int64)]),
         }
@@ -86,22 +86,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     Both have vec_id and v (array of long). ``block_rows`` and ``query_rows`` are the mean sizes of the blocks
     that one task compares.
     """
-    vectors, queries = staged(_first_of(vectors), "vectors"), staged(_first_of(queries), "queries")
+    vectors, queries = staged(_whole(vectors), "vectors"), staged(_whole(queries).withColumn("number", F.monotonically_increasing_id()), "queries")
     blocks = -(-vectors.count() // block_rows) or 1
     query_blocks = -(-queries.count() // query_rows) or 1
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("size")
     left = vectors.select("vec_id", "v", size, dealt(blocks).alias("block"), copies(query_blocks).alias("query_block"))
-    right = queries.select("vec_id", "v", size, dealt(query_blocks).alias("query_block"), copies(blocks).alias("block"))
+    right = queries.select("number", "vec_id", "v", size, dealt(query_blocks).alias("query_block"), copies(blocks).alias("block"))
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            return pd.DataFrame({"number": [], "vec_id": [], "score": []}, dtype=np.int64)
         matrix = lambda f: np.stack(f["v"].to_numpy()).astype(np.int64).reshape(len(f), -1)
-        return block_top(mine["vec_id"].to_numpy(), matrix(mine), theirs["vec_id"].to_numpy(), matrix(theirs), k, max(1, len(mine) // 8))
+        return block_top(mine["vec_id"].to_numpy(), matrix(mine), theirs["number"].to_numpy(), theirs["vec_id"].to_numpy(), matrix(theirs), k, max(1, len(mine) // 8))
 
     keys = ["block", "query_block", "size"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "number long, vec_id long, score long")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.join(queries.select("number", F.col("vec_id").alias("query_id")), "number").select("query_id", "rank", "vec_id", "score")

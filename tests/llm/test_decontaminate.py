@@ -1,3 +1,5 @@
+import random
+import time
 from listwarden.llm import decontaminate
 
 ITEM = " ".join(f"w{k}" for k in range(20))
@@ -37,3 +39,14 @@ def test_clean_keeps_columns_and_other_rows(spark):
 def test_empty_tables(spark):
     assert _judged(spark, [], [(1, ITEM)]) == []
     assert _judged(spark, [(1, ITEM)], []) == [(1, 20, 0, [], False)]
+
+
+def test_a_long_contaminated_document_in_time(spark):
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(32))) for k in range(60)]
+    text = " ".join(rng.choice(items)[1] for _ in range(1600))
+    docs = spark.createDataFrame([(1, text), (2, "own words only " * 20_000)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in decontaminate.judge(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (51_200, 51_200, 60, True) and got[2].n_hit == 0
