@@ -182,5 +182,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """``docs`` without those that score below the threshold; statistics never clash with columns of ``docs``."""
     own = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"))
-    kept = statistics(packed).filter(model.score() >= threshold)
+    # the generator keeps the filter behind the scores: below them it would compute every statistic anew for each rule that reads it
+    scores = statistics(packed).select("text", "_own", F.explode(F.array(model.score())).alias("_score"))
+    kept = scores.filter(F.col("_score") >= threshold)
     return kept.select(*[F.col(f"_own.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns])
