@@ -11,6 +11,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: What lies between words: all of ASCII but lower-case letters and digits, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_CHARACTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 staged = materialized
 
@@ -25,5 +26,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+def has_word(text: Column) -> Column:
+    """Whether ``words`` of a text that is not null has any, without splitting it."""
+    return text.rlike(WORD_CHARACTER)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
