@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwarden.llm.common import staged
@@ -37,6 +37,7 @@ def bucket_groups(
     stars: int = 2,
     cheap: int = 4,
     broadcast_buckets: int = 1_000_000,
+    bound: tuple[list[str], Column] | None = None,
 ) -> DataFrame:
     """(id, component) of the ids that ``check`` links to another one of the same bucket.
 
@@ -49,6 +50,9 @@ def bucket_groups(
     given, it deals the members left after the first round into finer buckets (bucket, id), of which any two ids to be linked
     share one, and these are treated so instead.
 
+    ``bound`` names columns of ``prepared`` and a condition on them (``x_a`` and ``x_b`` for a column x) that every pair that ``check`` links
+    fulfils. It is tested inside the join of the members that are left, so that pairs that fail it never leave that join.
+
     Buckets of one member leave at the start; the keys of the others (8 bytes each) are broadcast for that up to ``broadcast_buckets``.
     """
 
@@ -86,9 +90,11 @@ def bucket_groups(
             if not last and star == rounds:
                 return inside
             if last and (left["pairs"] <= cheap * left["n"] or star == rounds):
-                other = inside.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-                both = inside.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")))
-                add(both.select(F.col("id").alias("a"), "b"))
+                names, fits = bound or ([], F.lit(True))
+                if names:
+                    inside = staged(inside.join(prepared.select("id", *names), "id"), "bounded")
+                one, other = (inside.select("bucket", F.col("id").alias(e), F.col("component").alias(f"c{e}"), *[F.col(c).alias(f"{c}_{e}") for c in names]) for e in "ab")
+                add(one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b"))
                 return None
             fresh = inside if used is None else inside.join(used, ["bucket", "id"], "left_anti")
             best = F.max(F.struct("score", F.col("id").alias("a"), F.col("component").alias("ca"))).alias("c")

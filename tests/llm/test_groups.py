@@ -49,6 +49,12 @@ def test_bucket_groups_equal_all_pairs(spark):
     for stars, cheap, finer in ((4, 0, None), (0, 8, None), (2, 8, None)):
         got = {r.id: r.component for r in bucket_groups(buckets, check, lambda ids: ids, finer, stars, cheap).collect()}
         assert got == _plain(links)
+    # prepared columns bound the pairs of the last round; the groups stay the same
+    asked.clear()
+    named = lambda pairs, prepared: check(pairs, prepared.select("id"))
+    bound = (["size"], F.abs(F.col("size_a") - F.col("size_b")) <= 4)
+    got = bucket_groups(buckets, named, lambda ids: ids.withColumn("size", F.col("id")), stars=0, bound=bound)
+    assert {r.id: r.component for r in got.collect()} == _plain(links) and sum(asked) <= len(rows) * 8
     one = spark.createDataFrame([(1, 7 * k // 2) for k in range(120)], "bucket long, id long")
     apart = [(a, b) for a in (7 * k // 2 for k in range(120)) for b in (7 * k // 2 for k in range(120)) if a < b <= a + 3]
     asked.clear()
