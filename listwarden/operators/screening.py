@@ -260,7 +260,7 @@ def _other_type_pairs(prof: DataFrame, listed: DataFrame, config: ScreeningConfi
 
 def _name_matches(prof: DataFrame, prepared: PreparedList, config: ScreeningConfig) -> DataFrame:
     """Name pairs that may pass, without the entities that share the request's document number."""
-    pairs = name_pairs(distinct_requests(prof), prepared.keys, config.limits, prepared.key_bytes)
+    pairs = name_pairs(distinct_requests(prof), prepared.keys, config.limits)
     small = prepared.index_bytes <= config.limits.broadcast_bytes
     found = pairs.join(F.broadcast(prepared.index) if small else prepared.index, "list_key")
     best = found.groupBy("request_key", *ENTITY).agg(

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from listwarden.config import JoinLimits
@@ -71,3 +72,17 @@ def test_trigram_join_loses_no_pair(spark):
         expected = {(r.left_text, r.right_text) for r in every.filter(F.col("s") > threshold).collect()}
         got = tables.similar_name_pairs(a, b, threshold).collect()
         assert {(r.left_text, r.right_text) for r in got} == expected and len(got) == len(expected)
+
+
+def test_cells_of_names_lose_no_pair_of_any_length():
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ABC É李") for _ in range(n))
+    left = sorted({word(n) for n in [1, 2, 20, 31, 32, 33, 63, 64, 65, 130] * 4})
+    least = [rng.choice((55.0, 70.0, 90.0)) for _ in left]
+    for length in (1, 30, 64, 70):
+        right = sorted({word(length) for _ in range(25)} | {n for n in left if len(n) == length})
+        cell = S.key_pairs(pa.table({"request_key": left, "min_score": least}), pa.table({"list_key": right}))
+        got = {(r["request_key"], r["list_key"]): r["score"] for r in cell.to_pylist()}
+        every = {(a, b): 200.0 * model.lcs(a, b) / (len(a) + len(b)) for a in left for b in right}
+        floor = dict(zip(left, least))
+        assert got == {pair: s for pair, s in every.items() if s >= floor[pair[0]] - 1e-9} and len(got) == cell.num_rows
