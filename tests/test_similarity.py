@@ -86,3 +86,10 @@ def test_cells_of_names_lose_no_pair_of_any_length():
         every = {(a, b): 200.0 * model.lcs(a, b) / (len(a) + len(b)) for a in left for b in right}
         floor = dict(zip(left, least))
         assert got == {pair: s for pair, s in every.items() if s >= floor[pair[0]] - 1e-9} and len(got) == cell.num_rows
+
+
+def test_best_alike_texts_keep_ties(spark):
+    left = spark.createDataFrame([("abcd",), ("zz",), ("",)], "left_text string")
+    right = spark.createDataFrame([("abcd",), ("abce",), ("abcf",), ("abxy",), ("",)], "right_text string")
+    of = lambda best: sorted(r.right_text for r in tables.similar_name_pairs(left, right, 0.2, best).collect())
+    assert of(None) == ["abcd", "abce", "abcf", "abxy"] and of(1) == ["abcd"] and of(2) == ["abcd", "abce", "abcf"]
