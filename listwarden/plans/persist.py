@@ -105,7 +105,11 @@ def append(rows: DataFrame, folder: str, table: str, at: Column) -> None:
     shaped(rows, table, at).write.mode("append").parquet(f"{folder.rstrip('/')}/{table}")
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The table's rows; of rows appended twice the one stamped last."""
+def read(spark: SparkSession, folder: str, table: str, columns: list[str] | None = None) -> DataFrame:
+    """The table's rows, or these columns of them; of rows appended twice the one stamped last."""
     rows = spark.read.parquet(f"{folder.rstrip('/')}/{table}")
-    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "updated_at").alias("r")).select("r.*")
+    rest = [c for c in columns or rows.columns if c != "id"]
+    # Ids travel as bytes, half as long.
+    keyed = rows.select(F.unhex("id").alias("_id"), "updated_at", F.struct(*rest).alias("r"))
+    last = keyed.groupBy("_id").agg(F.max_by("r", "updated_at").alias("r")).select(F.lower(F.hex("_id")).alias("id"), "r.*")
+    return last.select(*(columns or rows.columns))

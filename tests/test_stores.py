@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from listwarden.operators import tables
 from listwarden.operators.paging import RankedPages
-from listwarden.plans import colocated, reload
+from listwarden.plans import colocated, persist, reload
 
 
 def test_pages_by_rank_with_a_hot_value_and_nulls(spark):
@@ -64,3 +64,14 @@ def test_a_bad_second_list_is_refused(spark, tmp_path):
         told = {r.source: (r.success, list(r.errors)) for r in done.report.collect()}
         assert told["UN"] == (not errors, errors) and ("UN" in done.refused) == bool(errors)
         assert done.entities.filter("source = 'UN'").count() == (0 if errors else 1)
+
+
+def test_persisted_rows_are_read_by_columns(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, True, 5.0), ("a", 2, False, 7.0)], "request_id string, result_no int, is_hit boolean, max_confidence double")
+    at = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp")
+    persist.append(rows, str(tmp_path), "screening_results", at(1))
+    persist.append(rows.withColumn("max_confidence", F.lit(9.0)), str(tmp_path), "screening_results", at(2))
+    whole = persist.read(spark, str(tmp_path), "screening_results")
+    got = persist.read(spark, str(tmp_path), "screening_results", ["id", "result_no", "max_confidence"])
+    assert got.columns == ["id", "result_no", "max_confidence"]
+    assert sorted(got.collect()) == sorted(whole.select(*got.columns).collect()) and {r.max_confidence for r in got.collect()} == {9.0}
