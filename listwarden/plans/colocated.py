@@ -15,8 +15,15 @@ from pyspark.sql import functions as F
 from listwarden.operators.tables import collected
 
 
+BUCKET_ROWS = 200_000
+
+
 class Store:
-    """Bucketed tables in the session's warehouse, which all executors must share."""
+    """Bucketed tables in the session's warehouse, which all executors must share.
+
+    ``buckets`` is the least number of buckets. The first table put, the parents, sets it: one more for each ``BUCKET_ROWS`` rows
+    beyond, so that a task's share does not grow with the tables.
+    """
 
     def __init__(self, spark: SparkSession, key: list[str], buckets: int):
         self.spark, self.key, self.buckets, self._prefix, self._tables = spark, key, buckets, f"stored_{uuid.uuid4().hex}", {}
@@ -24,6 +31,8 @@ class Store:
     def put(self, name: str, rows: DataFrame) -> None:
         """Write a table; it must have the store's key."""
         table = f"{self._prefix}_{name}"
+        if not self._tables:
+            self.buckets = max(self.buckets, -(-rows.count() // BUCKET_ROWS))
         # dealt as the buckets are, so that a bucket is one file
         dealt = rows.repartition(self.buckets, *self.key)
         dealt.write.bucketBy(self.buckets, *self.key).sortBy(*self.key).format("parquet").saveAsTable(table)

@@ -75,3 +75,13 @@ def test_persisted_rows_are_read_by_columns(spark, tmp_path):
     got = persist.read(spark, str(tmp_path), "screening_results", ["id", "result_no", "max_confidence"])
     assert got.columns == ["id", "result_no", "max_confidence"]
     assert sorted(got.collect()) == sorted(whole.select(*got.columns).collect()) and {r.max_confidence for r in got.collect()} == {9.0}
+
+
+def test_buckets_follow_the_parents(spark, monkeypatch):
+    monkeypatch.setattr(colocated, "BUCKET_ROWS", 10)
+    store = colocated.Store(spark, ["id"], 4)
+    store.put("parents", spark.range(95))
+    store.put("children", spark.range(190).select((F.col("id") % 95).alias("id"), F.col("id").alias("n")))
+    whole = store.nested("parents", ["children"])
+    assert store.buckets == 10 and whole.count() == 95 and whole.filter(F.size("children") == 2).count() == 95
+    store.drop()
