@@ -124,29 +124,112 @@ def by_ids(df: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
     return df.join(ids.select(*key), key, "left_semi")
 
 
+def _held(valued: DataFrame) -> DataFrame:
+    """(source, entity_id, held): what each entity holds, a sorted array of (token, value)."""
+    return valued.groupBy(*ENTITY).agg(F.sort_array(F.collect_list(F.struct("token", "value"))).alias("held"))
+
+
+def _shared() -> Column:
+    """The part of ``held`` that the search ``tokens`` ask for."""
+    return F.filter("held", lambda h: F.array_contains("tokens", h["token"]))
+
+
+def _rank(values: Column) -> Column:
+    """The sum of the values, in one order, so that equal values give equal sums."""
+    return F.aggregate(F.sort_array(values), F.lit(0.0), lambda total, v: total + v)
+
+
+def _bits(tokens: Column) -> Column:
+    """One of 64 bits for each token."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(t).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
+
+
+def _in_cells(searched: DataFrame, listed: DataFrame, rows: int) -> DataFrame:
+    """Join on token of two tables. A token with many rows is cut into cells of at most about ``rows`` by ``rows``, spread over all tasks."""
+    sides = (("mine", searched), ("theirs", listed))
+    counts = [side.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name)).filter(F.col(name) > 1) for name, side in sides]
+    # only tokens of several cells, at most one for each ``rows`` rows
+    sizes = F.broadcast(materialized(counts[0].join(counts[1], "token", "full"), "cells"))
+
+    def laid(side: DataFrame, own: str, other: str) -> DataFrame:
+        n = [F.coalesce(c, F.lit(1)) for c in (own, other)]
+        dealt = side.join(sizes, "token", "left").withColumn(f"{own}_block", F.pmod(F.xxhash64(*side.columns), n[0]).cast("int"))
+        return dealt.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), n[1] - 1))).drop(own, other)
+
+    cell = ["token", "mine_block", "theirs_block"]
+    tasks = max(parallelism(searched), 8 * searched.sparkSession.sparkContext.defaultParallelism)
+    return laid(searched, "mine", "theirs").repartition(tasks, *cell).join(laid(listed, "theirs", "mine").repartition(tasks, *cell), cell)
+
+
+def met_entities(searches: DataFrame, held: DataFrame, first: DataFrame, limit: int) -> DataFrame:
+    """(q, source, entity_id, rank, matched_tokens) of all entities that can be among the best ``limit`` of a search, each once.
+
+    searches: (q, tokens), tokens sorted. held: (source, entity_id, held) of all entities that can be among the best. first:
+    (token, source, entity_id), of each token at least the best ``limit`` of its holders by value, ties by entity.
+    An entity that holds one of the searched tokens is among the best only if it is among the first of that token; those that hold
+    several meet the search by a pair of tokens. Of entities that hold the same, the first ``limit`` stand for the rest.
+    """
+    alike = Window.partitionBy("held").orderBy(*ENTITY)
+    kept = materialized(held.withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= limit).drop("_n"), "held")
+    asked = searches.select("q", "tokens", F.explode("tokens").alias("token"))
+    alone = asked.join(first.join(kept, ENTITY), "token").withColumn("shared", _shared()).filter(F.size("shared") == 1)
+
+    def pairs(tokens: Column) -> Column:
+        """Every two of the tokens, the lesser one first."""
+        return F.explode(F.flatten(F.transform(tokens, lambda a, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+
+    several = searches.select("q", "tokens", pairs(F.col("tokens")).alias("pair"))
+    holders = kept.filter(F.size("held") > 1).select(*ENTITY, "held", pairs(F.transform("held", lambda h: h["token"])).alias("pair"))
+    together = several.join(holders, "pair").withColumn("shared", _shared())
+    # an entity and a search that share three tokens meet by three pairs; the first one counts
+    together = together.filter((F.get("shared", F.lit(0))["token"] == F.col("pair.a")) & (F.get("shared", F.lit(1))["token"] == F.col("pair.b")))
+    met = alone.select("q", *ENTITY, "shared").unionByName(together.select("q", *ENTITY, "shared"))
+    return met.select("q", *ENTITY, _rank(F.transform("shared", lambda h: h["value"])).alias("rank"), F.size("shared").cast("long").alias("matched_tokens"))
+
+
+def best_of_held(searches: DataFrame, held: DataFrame, first: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` entities of each search by summed weight, out of ``met_entities``."""
+    ranked = met_entities(searches, held, first, limit)
+    best = Window.partitionBy("q").orderBy(F.round("rank", 9).desc(), *ENTITY)
+    return ranked.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= limit).drop("_n")
+
+
 def token_search(
-    tokens: DataFrame, searches: DataFrame, weights: dict[str, float], limit: int | None = None
+    tokens: DataFrame, searches: DataFrame, weights: dict[str, float], limit: int | None = None, cell_rows: int = 1000
 ) -> DataFrame:
     """Rank of entities per search: the summed weight of the searched tokens they hold.
 
-    tokens: (source, entity_id, token, weight); searches: (search_id, token). Searches for the same tokens are
-    answered once. With a limit, the best entities of each search.
+    tokens: (source, entity_id, token, weight); searches: (search_id, token). Without a limit, every search meets every entity that
+    holds one of its tokens, so the result grows with both; the rank is found where they meet. With a limit, the best entities of each
+    search; searches for the same tokens are answered once and only entities that can be among the best meet them (``best_of_held``).
     """
     value = F.lit(0.0)
     for letter, number in weights.items():
         value = F.when(F.col("weight") == letter, number).otherwise(value)
     # One row per entity and token first: a token counts with its best weight.
-    valued = tokens.groupBy(*ENTITY, "token").agg(F.max(value).alias("value"))
     asked = searches.groupBy("search_id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     asked = materialized(asked, "asked")
-    hits = valued.join(asked.select("tokens").distinct().withColumn("token", F.explode("tokens")), "token")
-    found = hits.groupBy("tokens", *ENTITY).agg(
-        F.sum("value").alias("rank"), F.count(F.lit(1)).alias("matched_tokens")
-    )
+    wanted = asked.select(F.explode("tokens").alias("token")).distinct()
+    valued = tokens.groupBy(*ENTITY, "token").agg(F.max(value).alias("value")).join(wanted, "token", "left_semi")
+    valued = materialized(valued, "valued")
     if limit is not None:
-        best = Window.partitionBy("tokens").orderBy(F.col("rank").desc(), *ENTITY)
-        found = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit).drop("n")
-    return asked.join(found, "tokens").drop("tokens")
+        order = Window.partitionBy("token").orderBy(F.desc("value"), *ENTITY)
+        first = valued.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select("token", *ENTITY)
+        distinct = asked.select("tokens").distinct().select(F.col("tokens").alias("q"), "tokens")
+        return asked.join(best_of_held(distinct, _held(valued), first, limit).withColumnRenamed("q", "tokens"), "tokens").drop("tokens")
+    listed = _held(valued).withColumn("list_bits", _bits(F.transform("held", lambda h: h["token"]))).withColumn("h", F.explode("held"))
+    listed = materialized(listed.select(F.col("h.token").alias("token"), *ENTITY, "held", "list_bits", F.col("h.value").alias("value")), "listed")
+    bits = _bits(F.col("tokens"))
+    # without bits of their own the tokens of a search are compared
+    asked = asked.withColumn("bits", F.when(F.bit_count(bits) == F.size("tokens"), bits)).withColumn("token", F.explode("tokens"))
+    found = _in_cells(asked, listed, cell_rows)
+    # An entity and a search that share several tokens meet at each of them; the first one counts.
+    one = F.coalesce(F.bit_count(F.col("bits").bitwiseAND(F.col("list_bits"))) == 1, F.lit(False))
+    found = found.withColumn("shared", F.when(~one, _shared())).filter(one | (F.get("shared", F.lit(0))["token"] == F.col("token")))
+    rank = F.when(one, F.col("value")).otherwise(_rank(F.transform("shared", lambda h: h["value"])))
+    matched = F.when(one, F.lit(1).cast("long")).otherwise(F.size("shared").cast("long"))
+    return found.select("search_id", *ENTITY, rank.alias("rank"), matched.alias("matched_tokens"))
 
 
 def program_members(programs: DataFrame, memberships: DataFrame, entities: DataFrame) -> DataFrame:
