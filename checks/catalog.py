@@ -1531,8 +1531,8 @@ def token_search_topk(spark, d):
 @query
 def token_search_merged(spark, d):
     """The same from the postings of a former list, without aircraft and with other names of vessels, and a segment of what has changed."""
-    now = _tokens(spark, d)
-    kind = V.entities(spark, d).select("source", "entity_id", "entity_type")
+    now = materialized(_tokens(spark, d), "tokens")
+    kind = materialized(V.entities(spark, d).select("source", "entity_id", "entity_type"), "kinds")
     of_kind = lambda *kinds: now.join(kind.filter(F.col("entity_type").isin(*kinds)), ["source", "entity_id"], "left_semi")
     renamed = of_kind("vessel").withColumn("token", F.reverse("token"))
     former = postings.weighted(of_kind("individual", "entity").unionByName(renamed), WEIGHTS_OF_TOKENS)

@@ -9,9 +9,9 @@ A list that changes gets a further segment with the postings of the added and up
 on a list of stale keys, and their entries in older segments are passed over. Bounds of blocks with stale entries are too
 high at worst, which costs reading and no match. Once the stale keys are many, write the index anew.
 
-**Best k by weight** (``best_by_tokens``) reads blocks of each searched token from the front, a doubling number of them each round. Entities that
-came up are scored exactly, from what they hold. Every other entity scores at most the sum of the last weights read, and if it
-reaches that sum it comes behind the last entities read; a search stops when its k-th best is ahead of that. Searches for the same tokens are
+**Best k by weight** (``best_by_tokens``) reads the first blocks of each searched token, as many as hold k valid entries: of entities that hold one of the
+searched tokens only these can be among the best. Those that hold several are in a list that is not the longest of that search; such lists are read whole, once for
+all searches, and meet them by pairs of tokens (``tables.best_of_held``). All are scored exactly, from what they hold. Searches for the same tokens are
 answered once. A frequent token is many blocks, each a row of its own, so none of them gathers in one task.
 
 **Similar names** (``best_by_trigrams``) read the rarest trigrams of the searched name only, as many as a name above the threshold must share one of, and of these
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from listwarden.functions.names import normalize_name
 from listwarden.functions.similarity import trigram_set_similarity, trigrams
 from listwarden.operators.staging import materialized, new_folder
-from listwarden.operators.tables import ENTITY, live
+from listwarden.operators.tables import ENTITY, best_of_held, live
 
 BLOCK = 128
 
@@ -99,45 +99,57 @@ def _valid_holdings(index: Postings) -> DataFrame:
     return index.held.join(ends, ENTITY, "left").filter(F.col("ends").isNull() | (F.col("segment") >= F.col("ends"))).drop("segment", "ends")
 
 
-def best_by_tokens(index: Postings, searches: DataFrame, limit: int) -> Found:
-    """(search_id, source, entity_id, rank, matched_tokens): the best ``limit`` entities of each search (search_id, token) by summed weight."""
-    asked = materialized(searches.groupBy("search_id").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "asked")
-    left = materialized(asked.select("tokens").distinct().select(F.xxhash64("tokens").alias("q"), "tokens"), "searches")
-    holdings = _valid_holdings(index)
-    entity = F.struct(*ENTITY)
-    done, scored, depth, before, read, rounds = None, None, 1, 0, 0, 0
+def _first_of_terms(index: Postings, terms: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
+    """(token, source, entity_id) of the best ``limit`` entities of each of the ``terms`` (term) that hold it now, the entries read and the rounds.
+
+    Blocks of a term are read from the front, a doubling number of them each round, until it has so many valid entries.
+    """
+    ends = None if index.stale is None else index.stale.groupBy(*ENTITY).agg(F.max("ends").alias("ends"))
+    left, valid, depth, before, read, rounds = terms, None, -(-limit // BLOCK), 0, 0, 0
     while True:
         rounds += 1
-        terms = left.select("q", "tokens", F.explode("tokens").alias("term"))
-        parts = index.blocks.filter((F.col("block") >= before) & (F.col("block") < depth))
-        fresh = materialized(terms.join(parts, "term"), "blocks")
+        parts = index.blocks.filter((F.col("block") >= before) & (F.col("block") < depth)).join(left, [c for c in left.columns])
+        fresh = materialized(parts, "blocks")
         read += fresh.agg(F.sum("n").alias("n")).first()["n"] or 0
-        met = fresh.select("q", "tokens", F.explode("entries").alias("e")).select("q", "tokens", "e.source", "e.entity_id").distinct()
-        if scored is not None:
-            met = met.join(scored.select("q", *ENTITY), ["q", *ENTITY], "left_anti")
-        exact = met.join(holdings, ENTITY).filter(F.array_contains("tokens", F.col("term")))
-        exact = exact.groupBy("q", *ENTITY).agg(F.sum("value").alias("rank"), F.count(F.lit(1)).alias("matched_tokens"))
-        known = exact if scored is None else scored.join(left.select("q"), "q", "left_semi").unionByName(exact)
-        order = Window.partitionBy("q").orderBy(F.desc("rank"), *ENTITY)
-        scored = materialized(known, "scored")
-        top = materialized(scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit), "top")
-
-        # of each token the weight and the entity behind which everything unread lies; lists that end within the depth hold nothing more
-        last = fresh.filter((F.col("block") == depth - 1) & (F.col("n") == BLOCK)).select("q", "term", F.element_at("entries", -1).alias("e"))
-        of_term = last.groupBy("q", "term").agg(F.max("e.value").alias("bound"), F.min_by(F.struct("e.source", "e.entity_id"), F.struct(-F.col("e.value"), "e.source", "e.entity_id")).alias("behind"))
-        unread = of_term.groupBy("q").agg(F.sum("bound").alias("bound"), F.max("behind").alias("behind"))
-        kth = top.filter(F.col("n") == limit).select("q", F.col("rank").alias("kth"), entity.alias("kth_entity"))
-        state = left.join(unread, "q", "left").join(kth, "q", "left")
-        ahead = (F.col("kth") > F.col("bound") + 1e-9) | ((F.abs(F.col("kth") - F.col("bound")) <= 1e-9) & (F.col("kth_entity") <= F.col("behind")))
-        over = F.col("bound").isNull() | F.coalesce(ahead, F.lit(False))
-        judged = materialized(state.withColumn("over", over).select("q", "tokens", "over"), "judged")
-        ready = top.join(judged.filter("over").select("q"), "q", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        left = judged.filter("NOT over").select("q", "tokens")
+        each = fresh.select("segment", "term", F.explode("entries").alias("e")).select("segment", "term", "e.*")
+        if ends is not None:
+            each = each.join(ends, ENTITY, "left").filter(F.col("ends").isNull() | (F.col("segment") >= F.col("ends"))).drop("ends")
+        each = materialized(each, "valid")
+        valid = each if valid is None else valid.unionByName(each)
+        if ends is None:
+            break
+        # a segment's term goes on if its last block was full and it has too few valid entries so far
+        full = fresh.filter((F.col("block") == depth - 1) & (F.col("n") == BLOCK)).select("segment", "term")
+        enough = valid.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+        left = materialized(full.join(enough, ["segment", "term"], "left_anti"), "left")
         if left.isEmpty():
             break
         before, depth = depth, depth * 2
-    found = asked.withColumn("q", F.xxhash64("tokens")).join(done, "q").select("search_id", *ENTITY, "rank", "matched_tokens")
+    order = Window.partitionBy("term").orderBy(F.desc("value"), *ENTITY)
+    best = valid.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit)
+    return materialized(best.select(F.col("term").alias("token"), *ENTITY), "first"), read, rounds
+
+
+def best_by_tokens(index: Postings, searches: DataFrame, limit: int) -> Found:
+    """(search_id, source, entity_id, rank, matched_tokens): the best ``limit`` entities of each search (search_id, token) by summed weight."""
+    asked = materialized(searches.groupBy("search_id").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "asked")
+    distinct = materialized(asked.select("tokens").distinct().select(F.xxhash64("tokens").alias("q"), "tokens"), "searches")
+    terms = materialized(distinct.select(F.explode("tokens").alias("term")).distinct(), "terms")
+    first, read, rounds = _first_of_terms(index, terms, limit)
+
+    # An entity that holds two searched tokens holds one that is not the longest list of that search: these are read whole, each once.
+    length = index.blocks.select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("length"))
+    several = distinct.filter(F.size("tokens") > 1).select("q", F.explode("tokens").alias("term")).join(length, "term")
+    longest = several.groupBy("q").agg(F.max(F.struct("length", "term")).alias("longest"))
+    shorter = several.join(longest, "q").filter(F.col("term") != F.col("longest.term")).select("term").distinct()
+    whole = materialized(index.blocks.join(shorter, "term"), "whole")
+    read += whole.agg(F.sum("n").alias("n")).first()["n"] or 0
+    met = whole.select(F.explode("entries").alias("e")).select("e.source", "e.entity_id").union(first.select(*ENTITY)).distinct()
+
+    value = F.struct(F.col("term").alias("token"), "value")
+    held = _valid_holdings(index).join(terms, "term", "left_semi").join(met, ENTITY, "left_semi").groupBy(*ENTITY).agg(F.sort_array(F.collect_list(value)).alias("held"))
+    best = materialized(best_of_held(distinct, held, first, limit), "best")
+    found = asked.join(distinct, "tokens").join(best, "q").select("search_id", *ENTITY, "rank", "matched_tokens")
     return Found(found, read, rounds)
 
 
