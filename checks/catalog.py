@@ -816,7 +816,7 @@ def screen_full_weighted(spark, d):
 def stored_list(spark, d) -> str:
     """Folder of the prepared list, as a list version leaves it behind."""
     folder = _fresh(spark, "prepared")
-    screening.write_prepared(_lists(spark, d), folder)
+    screening.prepare_list(V.nested_entities(spark, d), folder=folder)
     return folder
 
 

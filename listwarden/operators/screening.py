@@ -131,16 +131,27 @@ class PreparedList:
     key_bytes: int
 
 
-def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT) -> PreparedList:
-    """Normalize a list once; any number of screenings can then use it."""
-    slim = materialized(_list_columns(entities), "entities")
-    names = materialized(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
-    index = materialized(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
-    keys = materialized(names.select("list_key").distinct(), "keys")
+def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT, folder: str | None = None) -> PreparedList:
+    """Normalize a list once; any number of screenings can then use it. With a folder, the list is stored there for ``read_prepared``."""
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return materialized(df, name)
+        path = f"{folder.rstrip('/')}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    slim = table(_list_columns(entities), "entities")
+    names = table(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
+    index = table(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
+    keys = table(names.select("list_key").distinct(), "keys")
     whole = materialized(document_index(slim), "whole")
-    documents = materialized(first_documents(whole, config.match_limit), "documents")
-    by_name = materialized(document_names(whole, config.match_limit), "document_names")
-    return PreparedList(slim, names, index, keys, documents, by_name, config.match_limit, measured_bytes(index), key_bytes(keys))
+    documents = table(first_documents(whole, config.match_limit), "documents")
+    by_name = table(document_names(whole, config.match_limit), "document_names")
+    prepared = PreparedList(slim, names, index, keys, documents, by_name, config.match_limit, measured_bytes(index), key_bytes(keys))
+    if folder is not None:
+        _write_sizes(prepared, folder)
+    return prepared
 
 
 TABLES = ("entities", "names", "index", "keys", "documents", "document_names")
@@ -149,9 +160,13 @@ SIZES = ("match_limit", "index_bytes", "key_bytes")
 
 def write_prepared(prepared: PreparedList, folder: str) -> None:
     """Store a prepared list under a folder of its own, for any number of sessions."""
-    spark = prepared.entities.sparkSession
     for name in TABLES:
         getattr(prepared, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    _write_sizes(prepared, folder)
+
+
+def _write_sizes(prepared: PreparedList, folder: str) -> None:
+    spark = prepared.entities.sparkSession
     sizes = spark.createDataFrame([tuple(getattr(prepared, n) for n in SIZES)], ", ".join(f"{n} long" for n in SIZES))
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/sizes")
 
