@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -260,32 +260,142 @@ def _check(sketch: np.ndarray, least: float, drawn: DataFrame, partners: int = 5
 def _prefixes(sketch: np.ndarray, least: float):
     """Buckets of a document's rarest shingles, so many that the weight of the others, by TF-IDF and by TF, is below ``least`` of all.
 
-    The rarest shingle that two documents of that similarity share is among them in both.
+    The rarest shingle that two documents of that similarity share is among them in both. Rare is what few of the documents that are
+    dealt hold, counted exactly: what only one of them holds comes first and makes no bucket, so a document with enough of its own meets nobody.
+    Of two such documents the lighter one shares at least 2 * least / (1 + least) of its weight: that shingle is ``core`` to it, among the rarest that leave less than so much.
     """
 
     def refine(ids: DataFrame, texts: DataFrame) -> DataFrame:
         shared = ids.sparkSession.sparkContext.broadcast(sketch)
 
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = [shingles for _, _, shingles, _ in documents(batch["text"])]
+                marks, n = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                numbers, marks = [], []
+                numbers, marks, parts = [], [], ([], [])
                 for row, _, shingles, counts in documents(batch["text"]):
-                    level = levels(shingles, shared.value)
-                    order = np.lexsort((shingles, LEVELS - level.astype(int)))
-                    needed = np.zeros(len(order), bool)
-                    for weight in (counts * (1 + level / LEVELS), counts.astype(float)):
-                        rest = weight[order][::-1].cumsum()[::-1]
-                        needed |= rest >= least * rest[:1] - 1e-9
-                    marks.append(shingles[order][needed].view(np.int64))
-                    numbers.append(np.full(len(marks[-1]), batch["id"][row].as_py(), np.int64))
-                columns = [pa.array(np.concatenate(x or [np.empty(0, np.int64)])) for x in (marks, numbers)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id"])
-
-        return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(deal, "bucket long, id long")
+                    marks.append(shingles.view(np.int64))
+                    numbers.append(np.full(len(shingles), batch["id"][row].as_py(), np.int64))
+                    for part, weight in zip(parts, (counts * (1 + levels(shingles, shared.value) / LEVELS), counts.astype(float))):
+                        part.append((weight / weight.sum()).astype(np.float32))
+                columns = [pa.array(np.concatenate(x or [np.empty(0, t)])) for x, t in ((marks, np.int64), (numbers, np.int64), (parts[0], np.float32), (parts[1], np.float32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "by_idf", "by_count"])
+
+        left = texts.join(ids, "id", "left_semi").select("id", "text")
+        held = left.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1")
+        dealt = left.mapInArrow(deal, "bucket long, id long, by_idf float, by_count float").join(held, "bucket")
+        others = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+        rest = F.greatest(F.sum("by_idf").over(others), F.sum("by_count").over(others))
+        core = F.col("rest") >= 2 * least / (1 + least) - 1e-5
+        return dealt.withColumn("rest", rest).filter(F.col("rest") >= least - 1e-5).select("bucket", "id", core.alias("core"))
 
     return refine
 
 
+def _overlaps(n: int, owner: np.ndarray, element: np.ndarray, weights: list[np.ndarray], often: int = 32, chunk: int = 2048) -> list[np.ndarray]:
+    """For each of ``weights`` of the elements: the sum over what two of ``n`` documents share, for all of them. An element comes once a document."""
+    found = [np.zeros((n, n)) for _ in weights]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.empty(0, np.int64)
+    held = np.diff(np.append(first, len(element)))
+    dense = np.flatnonzero(held >= (often if n > 4 * often else 2))
+    for start in range(0, len(dense), chunk):
+        part = dense[start : start + chunk]
+        matrix = np.zeros((n, len(part)))
+        for_part = np.repeat(np.arange(len(part)), held[part])
+        at = np.repeat(first[part] - np.cumsum(held[part]) + held[part], held[part]) + np.arange(held[part].sum())
+        matrix[owner[at], for_part] = 1
+        for shared, weight in zip(found, weights):
+            shared += (matrix * weight[element[first[part]]]) @ matrix.T
+    for size in range(2, often) if n > 4 * often else ():
+        same = first[held == size]
+        for start in range(0, len(same), (1 << 20) // size**2):
+            part = same[start : start + (1 << 20) // size**2]
+            members = owner[part[:, None] + np.arange(size)]
+            cell = (members[:, :, None] * n + members[:, None, :]).ravel()
+            for shared, weight in zip(found, weights):
+                shared += np.bincount(cell, np.repeat(weight[element[part]], size**2), n * n).reshape(n, n)
+    return found
+
+
+def linked_all(sets: list[tuple], least: float) -> np.ndarray:
+    """Whether ``similarity`` of two of the documents (shingles, counts, idf) reaches ``least``, for every two of them."""
+    n = len(sets)
+    shingles, counts, idf = (np.concatenate([s[k] for s in sets]) for k in range(3))
+    owner = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    totals = [np.bincount(owner, w, n) for w in (counts * idf, counts.astype(float))]
+    order = np.lexsort((counts, shingles))
+    shingles, counts, idf, owner = shingles[order], counts[order], idf[order], owner[order]
+    fresh = np.concatenate([[True], shingles[1:] != shingles[:-1]])
+    # an element is a step of a shingle's counts: who has a count has all steps up to it, so that two share the smaller count
+    step = fresh | np.concatenate([[True], counts[1:] != counts[:-1]])
+    last = np.cumsum(step) - 1
+    zero = last[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    at = np.flatnonzero(step)
+    height = (counts[at] - np.where(fresh[at], 0, counts[np.maximum(at - 1, 0)])).astype(float)
+    steps = last - zero + 1
+    element = np.repeat(zero - np.cumsum(steps) + steps, steps) + np.arange(steps.sum())
+    links = np.zeros((n, n), bool)
+    for shared, total in zip(_overlaps(n, np.repeat(owner, steps), element, [height * idf[at], height]), totals):
+        both = total[:, None] + total - shared
+        links |= (shared >= least * both) & (shared / np.where(both > 0, both, 1) >= least)
+    return links
+
+
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same groups, one fewer than their members."""
+    fresh, found = np.ones(len(links), bool), []
+    for root in range(len(links)):
+        reached = [root] if fresh[root] else []
+        fresh[root] = False
+        while reached:
+            node = reached.pop()
+            near = np.flatnonzero(links[node] & fresh)
+            fresh[near] = False
+            found += [(node, int(k)) for k in near]
+            reached += near.tolist()
+    return found
+
+
+def _cells(sketch: np.ndarray, least: float, block: int = 512):
+    """Links among members of buckets. Buckets with one smallest component are one table of documents, cut into squares of two blocks;
+    a square's similarities are sums over its shared shingles, so only links become rows."""
+
+    def cells(inside: DataFrame, texts: DataFrame) -> DataFrame:
+        shared = inside.sparkSession.sparkContext.broadcast(sketch)
+        tables = inside.groupBy("bucket").agg(F.min("component").alias("table"))
+        members = staged(inside.join(tables, "bucket").select("table", "id", "component").distinct(), "tables")
+        blocks = members.groupBy("table").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        squares = members.join(blocks, "table").select("table", "id", "component", own.alias("own"), other)
+        squares = squares.select("table", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
+        squares = staged(squares, "squares")
+        tasks = max(1, squares.count() // (2 * block))
+        dealt = squares.withColumn("task", F.pmod(F.xxhash64("table", "low", "high"), F.lit(tasks)))
+        said = dealt.select(F.col("task").alias("text_task"), F.col("id").alias("text_id")).distinct()
+        said = said.join(texts, F.col("text_id") == F.col("id")).select("text_task", "text_id", "text")
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found = documents(pa.array(right["text"], pa.large_string()))
+            sets = {i: (s, c, 1 + levels(s, shared.value) / LEVELS) for i, (_, _, s, c) in zip(right["text_id"], found)}
+            linked = []
+            for _, square in left.groupby(["table", "low", "high"]):
+                ids, component = square["id"].to_numpy(), square["component"].to_numpy()
+                links = linked_all([sets[i] for i in ids], least) & (component[:, None] != component)
+                linked += [(ids[a], ids[b]) for a, b in _forest(links)]
+            return pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
+
+        return dealt.groupBy("task").cogroup(said.groupBy("text_task")).applyInPandas(compare, "a long, b long")
+
+    return cells
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, class_id, group_id, keep) of each row of ``docs`` (doc_id, text).
 
@@ -304,7 +414,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, broadcast_ids: int =
         same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
         return staged(docs.select("doc_id", "text").join(wanted, same).select("id", "text").dropDuplicates(["id"]), "texts")
 
-    linked = bucket_groups(buckets, _check(sketch, least, classes.select("id", "samples")), texts, _prefixes(sketch, least))
+    linked = bucket_groups(buckets, _check(sketch, least, classes.select("id", "samples")), texts, _prefixes(sketch, least), cells=_cells(sketch, least))
     grouped = staged(classes.join(linked, "id", "left").select("id", "twin", "first", F.struct(F.coalesce("component", "id").alias("c"), F.when(F.col("component").isNull(), F.col("twin")).alias("t")).alias("g")), "grouped")
     heads = staged(grouped.groupBy("g").agg(F.min("first").alias("head")), "heads")
     of_class = staged(grouped.join(heads, "g").select("id", "twin", "first", "head"), "of_class")
