@@ -593,11 +593,11 @@ def _lists(spark, d) -> screening.PreparedList:
     return screening.prepare_list(V.nested_entities(spark, d))
 
 
-def _screened(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(requests, matches), the matches written once: several parts of a query read them."""
-    requests = quality.validated(V.requests(spark, d))
-    matches = screening.rounded(screening.screen(requests, _lists(spark, d)))
-    return requests, materialized(matches, "matches")
+def _screened(spark, d, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests, matches), both written once: several parts of a query read them."""
+    requests = materialized(quality.validated(V.requests(spark, d)), "requests")
+    listed = _lists(spark, d) if entities is None else screening.prepare_list(entities)
+    return requests, materialized(screening.rounded(screening.screen(requests, listed)), "matches")
 
 
 @query
@@ -836,9 +836,9 @@ def screen_small(spark, d):
     return screened_from(spark, shortest_names(spark, d), stored_list(spark, d))
 
 
-def _former_list(spark, d) -> DataFrame:
+def _former_list(spark, d, now: DataFrame | None = None) -> DataFrame:
     """The list as it was: without the aircraft, the vessels under other names and countries, and the pages, which are gone since."""
-    now = V.nested_entities(spark, d)
+    now = V.nested_entities(spark, d) if now is None else now
     vessel = F.col("entity_type") == "vessel"
     old_name = F.when(vessel, F.col("last_name")).otherwise(F.col("primary_name"))
     kept = now.filter(F.col("entity_type") != "aircraft").withColumns({
@@ -850,8 +850,9 @@ def _former_list(spark, d) -> DataFrame:
 
 
 def _carried(spark, d, reserve: int) -> tuple[DataFrame, rescreening.ScreeningState, rescreening.ScreeningState]:
-    requests = quality.validated(V.requests(spark, d))
-    old, new = _former_list(spark, d), V.nested_entities(spark, d)
+    requests = materialized(quality.validated(V.requests(spark, d)), "requests")
+    new = materialized(V.nested_entities(spark, d), "new_list")
+    old = materialized(_former_list(spark, d, new), "old_list")
     before = rescreening.start(requests, old, reserve=reserve)
     return requests, before, rescreening.carry_over(before, rescreening.changes(old, new), new)
 
@@ -883,7 +884,7 @@ def screen_results(spark, d):
 @query
 def screen_repeated_rows(spark, d):
     """Every request twice under one id: each row has the matches once."""
-    once = quality.validated(V.requests(spark, d))
+    once = materialized(quality.validated(V.requests(spark, d)), "requests")
     requests = once.unionByName(once)
     matches = materialized(screening.rounded(screening.screen(requests, _lists(spark, d))), "matches")
     return screening.screening_results(requests, matches).select("request_id", "is_hit", "hit_count", "max_confidence")
@@ -921,8 +922,9 @@ def audit_entries(spark, d):
 @query
 def report_json(spark, d):
     """JSON documents, read back by path so that both engines can compare them."""
-    requests, matches = _screened(spark, d)
-    detailed = reports.detailed_matches(matches, V.nested_entities(spark, d))
+    entities = materialized(V.nested_entities(spark, d), "entities")
+    requests, matches = _screened(spark, d, entities)
+    detailed = reports.detailed_matches(matches, entities)
     made = reports.json_reports(screening.screening_results(requests, matches), detailed, F.lit("2024-01-01"))
     at = lambda p: F.get_json_object("report", p)
     return made.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwarden.functions.names import name_key, normalize_document, normalize_name
+from listwarden.functions.names import name_key, normalize_document, normalize_name, once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,14 @@ NAME_WORDS = 6
 def ranked_words(text: Column) -> Column:
     """The six longest distinct words of the whole text."""
     words = F.array_remove(F.array_distinct(F.split(text, r"[^\p{L}]+")), "")
+
+    def longest(words: Column) -> Column:
+        """The words as long as the sixth longest; sorting lengths is cheaper than sorting words."""
+        sizes = F.sort_array(F.transform(words, lambda w: F.length(w)), asc=False)
+        return once(F.coalesce(F.get(sizes, F.lit(NAME_WORDS - 1)), F.lit(0)), lambda least: F.filter(words, lambda w: F.length(w) >= least))
+
     # plain strings sort faster than structs: the seven digits put longer words first
-    keyed = F.transform(words, lambda w: F.concat((F.lit(9_999_999) - F.length(w)).cast("string"), w))
+    keyed = F.transform(once(words, longest), lambda w: F.concat((F.lit(9_999_999) - F.length(w)).cast("string"), w))
     return F.transform(F.slice(F.sort_array(keyed), 1, NAME_WORDS), lambda k: F.substring(k, 8, 9_999_999))
 
 

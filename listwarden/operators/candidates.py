@@ -1,35 +1,34 @@
 """Fuzzy name join without loss.
 
-The similarity threshold becomes an equality join and two tests:
+The similarity threshold becomes three tests:
 
-* equality on the length of the list name, one request row per admissible length
-  (a score of t needs ``200 * min(la, lb) / (la + lb) >= t``);
+* the lengths of both names (a score of t needs ``200 * min(la, lb) / (la + lb) >= t``);
 * the number of differing bits of two letter-bag sketches, a bound that loses no pair;
 * the exact score, for what is left.
 
-Both sides are distinct keys, so a name held by a third of all rows is compared once. They are laid
-out in a grid of (length, list block, request block) cells. A length has as many blocks on each side
-as that side's rows of the length need, so a row is copied once for each block of the other side,
-whatever the number of tasks. Both tests run inside a cell, over Arrow columns (``key_pairs``): no
-pair is a row before it is known to be a match.
+Both sides are distinct keys, so a name held by a third of all rows is compared once. The list's keys are
+written to the shared folder once, in files by length. Requests are dealt to tasks by length; a task reads the
+files of the lengths it needs, batch by batch, so no row of either side is copied or shuffled for the
+comparison. All tests run over Arrow columns (``names_within``): no pair is a row before it is known to be a
+match, and where only the best entities are asked for, a pair that others outrank never is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listwarden.config import DEFAULT, JoinLimits
-from listwarden.functions.similarity import key_pairs
+from listwarden.functions.similarity import OWN_BITS, Ranking, count_kinds, names_within, sketched
 from listwarden.operators.joins import ROW_OVERHEAD, parallelism
+from listwarden.operators.staging import materialized
 
-_SLACK = 1e-9
-
-
-def _admissible_lengths(length: Column, score: Column) -> Column:
-    low = F.ceil(length * score / (F.lit(200.0) - score) - _SLACK)
-    high = F.floor(length * (F.lit(200.0) - score) / score + _SLACK)
-    return F.sequence(low.cast("int"), high.cast("int"))
+_PAIRS_A_TASK, _MOST_REQUESTS = 50_000_000, 4096
 
 
 def key_bytes(names: DataFrame) -> int:
@@ -58,8 +57,51 @@ def in_grid(probe: DataFrame, build: DataFrame, block_rows: int) -> tuple[DataFr
     return asked.drop("request_blocks", "list_blocks"), listed.drop("request_blocks", "list_blocks")
 
 
+@dataclass(frozen=True)
+class StoredNames:
+    """List keys in files by length, with their sketches; letters: the (letter, occurrence) pairs that have bits of their own, by rank."""
+
+    keys: DataFrame
+    letters: DataFrame
+
+
+def stored_names(names: DataFrame, store: Callable[..., DataFrame] = materialized) -> StoredNames:
+    """``names``: (list_key, ...), one row per key, or per key and what ranks differently. ``store(df, name, by)`` writes a table and reads it back."""
+    names = materialized(names.filter(F.col("list_key") != ""), "plain_keys")
+    kinds = names.select("list_key").mapInArrow(count_kinds, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+    first = kinds.orderBy(F.desc("n"), "kind").limit(OWN_BITS)
+    # at most OWN_BITS rows
+    letters = store(first.select("kind", F.row_number().over(Window.orderBy(F.desc("n"), "kind")).alias("rank")), "letters")
+    common = _common(letters)
+    schema = T.StructType([T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), *names.schema.fields])
+    drawn = names.mapInArrow(sketched(common), schema).withColumn("len", F.length("list_key"))
+    # a length goes to a few files, so that a task can read one length and no more
+    return StoredNames(store(drawn.repartition("len", F.pmod(F.xxhash64("list_key"), F.lit(4))), "keys", "len"), letters)
+
+
+def _common(letters: DataFrame) -> list[int]:
+    return [r["kind"] for r in letters.orderBy("rank").collect()]
+
+
+def _requests_by_length(requests: DataFrame, listed: int, first: list[str]) -> DataFrame:
+    """Requests of like length in one partition; as many partitions as the comparing asks for."""
+    asked = materialized(requests.withColumn("len", F.length("request_key")), "asked")
+    count = asked.count()
+    work = -(-count * listed // _PAIRS_A_TASK)
+    most = max(parallelism(requests), 8 * requests.sparkSession.sparkContext.defaultParallelism, -(-count // _MOST_REQUESTS))
+    return asked.repartitionByRange(max(1, min(work, most)), *first, "len", F.xxhash64("asked"))
+
+
+def _within(requests: DataFrame, names: StoredNames, limits: JoinLimits, ranking: Ranking | None, schema: str) -> DataFrame:
+    files = [(int(re.search(r"/len=(\d+)/", f)[1]), f) for f in names.keys.inputFiles()]
+    if not files:
+        return requests.sparkSession.createDataFrame([], schema)
+    asked = _requests_by_length(requests, names.keys.count(), ["year"] if ranking and ranking.dob else [])
+    return asked.mapInArrow(names_within(files, _common(names.letters), limits.block_rows, ranking), schema)
+
+
 def name_pairs(
-    requests: DataFrame, names: DataFrame, limits: JoinLimits = DEFAULT.limits
+    requests: DataFrame, names: DataFrame | StoredNames, limits: JoinLimits = DEFAULT.limits
 ) -> DataFrame:
     """All pairs of keys whose score reaches the request's own minimum.
 
@@ -67,16 +109,20 @@ def name_pairs(
     Returns (request_key, list_key, score).
     """
     requests = requests.filter((F.col("request_key") != "") & (F.col("min_score") <= 100))
-    names = names.filter(F.col("list_key") != "")
-    probe = requests.withColumn("len", F.explode(_admissible_lengths(F.length("request_key"), F.col("min_score"))))
-    build = names.withColumn("len", F.length("list_key"))
-    probe, build = in_grid(probe, build, limits.block_rows)
-    cell = ["len", "list_block", "request_block"]
-    # The partition count is explicit because the rows are few and their work is not.
-    tasks = max(parallelism(requests), 8 * requests.sparkSession.sparkContext.defaultParallelism)
-    asked = probe.select(*cell, "request_key", F.col("min_score").cast("double")).repartition(tasks, *cell)
-    listed = build.select(*cell, "list_key").repartition(tasks, *cell)
-    return asked.groupBy(*cell).cogroup(listed.groupBy(*cell)).applyInArrow(key_pairs, "request_key string, list_key string, score double")
+    requests = requests.select(F.col("request_key").alias("asked"), "request_key", F.col("min_score").cast("double"))
+    names = names if isinstance(names, StoredNames) else stored_names(names.select("list_key"))
+    return _within(requests, names, limits, None, "asked string, list_key string, score double").withColumnRenamed("asked", "request_key")
+
+
+def best_name_pairs(requests: DataFrame, names: StoredNames, ranking: Ranking, limits: JoinLimits = DEFAULT.limits) -> DataFrame:
+    """Of all pairs that reach the request's minimum those that can be among its best ``ranking.limit`` entities.
+
+    requests: (asked, request_key, year, min_score, least_value), one row per ``asked``; a pair counts if its weighted value reaches the least value.
+    names: (list_key, year, source, entity_id, holder), the first entity of each key and year. Years are 0 where unknown.
+    Returns (asked, list_key, year, score). A pair left out ranks behind ``limit`` other entities for every request ``asked`` stands for.
+    """
+    requests = requests.filter((F.col("request_key") != "") & (F.col("min_score") <= 100))
+    return _within(requests, names, limits, ranking, "asked string, list_key string, year int, score double")
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, ScreeningConfig
 from listwarden.functions import names as N
-from listwarden.functions.similarity import differing_bits, key_ratio, with_bag_sketch
+from listwarden.functions.similarity import Ranking, differing_bits, key_ratio, with_bag_sketch
 from listwarden.operators import decision as D
-from listwarden.operators.candidates import distinct_requests, key_bytes, name_pairs
+from listwarden.operators.candidates import StoredNames, best_name_pairs, key_bytes, stored_names
 from listwarden.operators.joins import measured_bytes
 from listwarden.operators.staging import materialized
 
@@ -111,6 +111,17 @@ def list_names(entities: DataFrame) -> DataFrame:
     )
 
 
+def _known_year(column: str) -> Column:
+    """The year, 0 where it is unknown or counts for nothing."""
+    return F.when(F.col(column) > 0, F.col(column)).otherwise(0).cast("int")
+
+
+def _first_holders(names: DataFrame) -> DataFrame:
+    """(list_key, year, source, entity_id, holder): the first entity of each name and birth year."""
+    first = names.groupBy("list_key", _known_year("entity_year").alias("year")).agg(F.min(F.struct(*ENTITY)).alias("first"))
+    return first.select("list_key", "year", "first.*", F.xxhash64("first").alias("holder"))
+
+
 @dataclass(frozen=True)
 class PreparedList:
     """A list ready for matching, kept as tables of the shared folder, with the sizes that choose a join.
@@ -124,6 +135,7 @@ class PreparedList:
     names: DataFrame
     index: DataFrame
     keys: DataFrame
+    letters: DataFrame
     documents: DataFrame
     document_names: DataFrame
     match_limit: int
@@ -134,34 +146,36 @@ class PreparedList:
 def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT, folder: str | None = None) -> PreparedList:
     """Normalize a list once; any number of screenings can then use it. With a folder, the list is stored there for ``read_prepared``."""
 
-    def table(df: DataFrame, name: str) -> DataFrame:
+    def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         if folder is None:
-            return materialized(df, name)
+            return materialized(df, name, by)
         path = f"{folder.rstrip('/')}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path, partitionBy=by)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     slim = table(_list_columns(entities), "entities")
     names = table(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
     index = table(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
-    keys = table(names.select("list_key").distinct(), "keys")
+    keys = stored_names(_first_holders(names), table)
     whole = materialized(document_index(slim), "whole")
     documents = table(first_documents(whole, config.match_limit), "documents")
     by_name = table(document_names(whole, config.match_limit), "document_names")
-    prepared = PreparedList(slim, names, index, keys, documents, by_name, config.match_limit, measured_bytes(index), key_bytes(keys))
+    sizes = measured_bytes(index), key_bytes(keys.keys)
+    prepared = PreparedList(slim, names, index, keys.keys, keys.letters, documents, by_name, config.match_limit, *sizes)
     if folder is not None:
         _write_sizes(prepared, folder)
     return prepared
 
 
-TABLES = ("entities", "names", "index", "keys", "documents", "document_names")
+TABLES = ("entities", "names", "index", "keys", "letters", "documents", "document_names")
+KEYS = "s0 long, s1 long, list_key string, year int, source string, entity_id string, holder long, len int"
 SIZES = ("match_limit", "index_bytes", "key_bytes")
 
 
 def write_prepared(prepared: PreparedList, folder: str) -> None:
     """Store a prepared list under a folder of its own, for any number of sessions."""
     for name in TABLES:
-        getattr(prepared, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        getattr(prepared, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}", partitionBy="len" if name == "keys" else None)
     _write_sizes(prepared, folder)
 
 
@@ -174,7 +188,9 @@ def _write_sizes(prepared: PreparedList, folder: str) -> None:
 def read_prepared(spark: SparkSession, folder: str) -> PreparedList:
     """A stored prepared list; nothing of it is computed again."""
     sizes = spark.read.parquet(f"{folder.rstrip('/')}/sizes").first()
-    return PreparedList(*[spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in TABLES], *[sizes[n] for n in SIZES])
+    # keys of an empty list have no file to tell their columns
+    read = lambda name: (spark.read.schema(KEYS) if name == "keys" else spark.read).parquet(f"{folder.rstrip('/')}/{name}")
+    return PreparedList(*map(read, TABLES), *[sizes[n] for n in SIZES])
 
 
 def document_index(slim: DataFrame) -> DataFrame:
@@ -274,11 +290,21 @@ def _other_type_pairs(prof: DataFrame, listed: DataFrame, config: ScreeningConfi
 
 
 def _name_matches(prof: DataFrame, prepared: PreparedList, config: ScreeningConfig) -> DataFrame:
-    """Name pairs that may pass, without the entities that share the request's document number."""
-    pairs = name_pairs(distinct_requests(prof), prepared.keys, config.limits)
+    """Name pairs that may pass and be among the best, without the entities that share the request's document number."""
+    w = config.weights
+    # what profiles ask of names: the key, and the birth year where it has a weight
+    year = _known_year("request_year") if w.dob else F.lit(0)
+    prof = prof.withColumn("asked", F.concat_ws("\n", "request_key", year.cast("string")) if w.dob else F.col("request_key"))
+    asking = prof.groupBy("asked", "request_key", year.alias("year")).agg(
+        F.min("min_score").cast("double").alias("min_score"), F.min("threshold").cast("double").alias("least_value")
+    )
+    ranking = Ranking(config.match_limit, float(w.name), float(w.dob), float(config.layers.high))
+    pairs = best_name_pairs(asking, StoredNames(prepared.keys, prepared.letters), ranking, config.limits)
     small = prepared.index_bytes <= config.limits.broadcast_bytes
-    found = pairs.join(F.broadcast(prepared.index) if small else prepared.index, "list_key")
-    best = found.groupBy("request_key", *ENTITY).agg(
+    index = prepared.index.withColumn("year", _known_year("entity_year"))
+    # dealt by what is asked once: grouping, ranking and the join with the profiles need no other order
+    found = pairs.join(F.broadcast(index) if small else index, ["list_key", "year"]).repartition("asked")
+    best = found.groupBy("asked", *ENTITY).agg(
         F.max("score").alias("name_score"),
         F.max_by("alias_text", F.struct("score", -F.col("position"))).alias("matched_name"),
         F.any_value("entity_type").alias("entity_type"),
@@ -289,13 +315,13 @@ def _name_matches(prof: DataFrame, prepared: PreparedList, config: ScreeningConf
     # Entities of one birth year and countries differ for a request by name score alone, so the best of them
     # suffice, and a name that many requests share is reduced before it meets them. An entity left out below for its
     # document number comes back through the document branches, at least as high, so it keeps its place here.
-    order = Window.partitionBy("request_key", "entity_year", "listed").orderBy(F.col("name_score").desc(), *ENTITY)
+    order = Window.partitionBy("asked", "entity_year", "listed").orderBy(F.col("name_score").desc(), *ENTITY)
     best = best.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= config.match_limit).drop("_rank")
     same_document = F.coalesce(F.array_contains("doc_keys", F.col("doc_key")), F.lit(False))
     return (
-        best.join(prof, "request_key")
+        best.join(prof, "asked")
         .filter((F.col("name_score") >= F.col("min_score") - 1e-9) & ~same_document)
-        .drop("doc_keys")
+        .drop("doc_keys", "asked")
         .withColumn("matched_document", F.lit(None).cast("string"))
         .withColumn("document_score", F.lit(0.0))
     )
@@ -361,6 +387,8 @@ def screen(
     listed: entities with the columns of ``schemas.SCREENED_ENTITY``, or an already prepared list.
     """
     prepared = listed if isinstance(listed, PreparedList) else prepare_list(listed, config)
+    # two branches read the requests, which may be costly to make
+    requests = materialized(requests.select("request_id", *INPUTS), "requests")
     prof = materialized(profiles(requests, config), "profiles")
     matches = screen_profiles(prof, prepared, config)
     # Equal rows under one request_id are one request; they share its matches.

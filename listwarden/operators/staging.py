@@ -37,10 +37,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table of the shared folder and read back."""
+def materialized(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to a new table of the shared folder and read back; ``by``, its last column, names the files' folders."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

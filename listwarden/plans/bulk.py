@@ -30,7 +30,7 @@ def bulk_screen(
     """Screen every valid request. Invalid ones are kept apart, or stop the run when ``fail_fast``."""
     if fail_fast:
         quality.require_valid(requests, config)
-    valid = quality.validated(requests, config)
+    valid = materialized(quality.validated(requests, config), "valid")
     matches = materialized(screening.screen(valid, listed, config), "matches")
     results = screening.screening_results(valid, screening.rounded(matches), config)
     return BulkScreening(matches, results, quality.rejects(requests, config), stats.bulk_summary(results))
