@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, JoinLimits, ScreeningConfig, Weights
 from listwarden.functions.similarity import Ranking
+from listwarden.operators import tables
 from listwarden.operators.candidates import best_name_pairs, name_pairs, stored_names
 from tests import model
 from tests.test_screening import check, data
@@ -44,3 +45,30 @@ def test_ties_and_birth_years_rank_as_in_the_model(spark):
 def test_an_empty_list_has_no_pairs(spark):
     names = stored_names(spark.range(0).select(F.lit("A").alias("list_key")))
     assert name_pairs(spark.createDataFrame([("A", 60.0)], "request_key string, min_score double"), names).count() == 0
+
+
+def test_no_side_is_copied_for_the_comparison(spark):
+    """Neither names nor texts go through an exchange once for each block of the other side."""
+    names = [f"NAME {chr(65 + k % 26)}{k}" for k in range(60)]
+    left = spark.createDataFrame([(n, 60.0) for n in names], "request_key string, min_score double")
+    right = spark.createDataFrame([(n,) for n in names], "right_text string")
+    pairs = name_pairs(left, right.withColumnRenamed("right_text", "list_key"), JoinLimits(block_rows=5))
+    texts = tables.similar_name_pairs(left.select(F.col("request_key").alias("left_text")), right, 0.3)
+    for found in (pairs, texts):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Generate" not in plan and found.count() >= 60
+
+
+def test_best_texts_of_many_sizes(spark):
+    rng = random.Random(12)
+    left, right = (sorted({"".join(rng.choice("abc d") for _ in range(rng.randint(2, 14))) for _ in range(n)}) for n in (40, 400))
+    a, b = spark.createDataFrame([(n,) for n in left], "left_text string"), spark.createDataFrame([(n,) for n in right], "right_text string")
+    every = {}
+    for r in tables.similar_name_pairs(a, b, 0.2).collect():
+        every.setdefault(r.left_text, {})[r.right_text] = r.similarity
+    assert sum(map(len, every.values())) > 1000
+    got = {}
+    for r in tables.similar_name_pairs(a, b, 0.2, 3).collect():
+        got.setdefault(r.left_text, {})[r.right_text] = r.similarity
+    best = {t: {u: s for u, s in found.items() if s >= sorted(found.values())[-min(3, len(found))]} for t, found in every.items()}
+    assert got == best
