@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwarden import schemas
 
+# Executors need no copy of this package: what runs there travels with its helper functions.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # header of the request file -> request column
 CSV_COLUMNS = {
     "nombre": "name",
@@ -72,15 +80,78 @@ def list_files(spark: SparkSession, folder: str, patterns: str = "*.{xml,XML,zip
     )
 
 
+#: Suffixes by which Spark's line reader would unpack a file.
+PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
+_MARK, _PIECE_LINES = b"\xef\xbb\xbf", 2_000
+
+
+def _pieces(batches):
+    """Lines (file, start, line) as pieces (file, start, seq, content) of many lines, each line with its feed."""
+    seq = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, _PIECE_LINES):
+            rows = batch.slice(at, _PIECE_LINES)
+            place = list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+            lines, begin = rows.column(2).to_pylist(), 0
+            for end in range(1, len(lines) + 1):
+                if end == len(lines) or place[end] != place[begin]:
+                    content = b"\n".join(lines[begin:end]) + b"\n"
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*place[begin], seq, content)], names=["file", "start", "seq", "content"])
+                    seq, begin = seq + 1, end
+
+
+def _digests(batches):
+    """(file, read, digests) of a file's pieces in order: as they are and after a byte order mark, each without and with the last line feed."""
+
+    def told():
+        return pa.RecordBatch.from_pylist([{"file": file, "read": size, "digests": [h.hexdigest() for h in (*ended(plain), *ended(marked))]}], schema=schema)
+
+    def ended(state):
+        cut, whole = state.copy(), state.copy()
+        cut.update(last[:-1])
+        whole.update(last)
+        return cut, whole
+
+    schema = pa.schema([("file", pa.string()), ("read", pa.int64()), ("digests", pa.list_(pa.string()))])
+    file = None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            name, content = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
+            if name != file:
+                if file is not None:
+                    yield told()
+                file, size, plain, marked, last = name, 0, hashlib.sha256(), hashlib.sha256(_MARK), b""
+            plain.update(last)
+            marked.update(last)
+            last, size = content, size + len(content)
+    if file is not None:
+        yield told()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "path",
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-        F.sha2("content", 256).alias("sha256"),
+    """Name, path, size, time and SHA-256 of files of any size, wherever Spark can read them.
+
+    A file is read as lines by many tasks; one task digests its lines in order, piece by piece. Spark's line reader leaves out a byte order
+    mark and does not tell whether the last line has a feed: the bytes it has read beside the file's size tell both. Files with a
+    suffix by which it would unpack them are read whole.
+    """
+    files = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.col("_metadata.file_path").alias("file")
     )
+    packed = rf"(?i)\.({'|'.join(PACKED)})$"
+    lines = spark.read.option("lineSep", "\n").text(path).filter(~F.col("_metadata.file_path").rlike(packed))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.mapInArrow(_pieces, "file string, start long, seq long, content binary")
+    in_order = pieces.repartition("file").sortWithinPartitions("file", "start", "seq")
+    read = in_order.mapInArrow(_digests, "file string, read long, digests array<string>")
+    # bytes too many: 1 without a last feed, 0 with one; 3 less after a byte order mark
+    way = F.col("read") - F.col("size_bytes")
+    sha = F.get("digests", F.when(way == 1, 0).when(way == 0, 1).when(way == -2, 2).when(way == -3, 3))
+    by_lines = files.join(read, "file").withColumn("sha256", F.coalesce(sha, F.raise_error(F.concat(F.lit("file changed while it was read: "), "path"))))
+    whole = spark.read.format("binaryFile").load(path, pathGlobFilter="*.{" + ",".join(x for s in PACKED for x in (s, s.upper())) + "}")
+    whole = whole.select("path", F.sha2("content", 256).alias("sha256"))
+    columns = ["file_name", "path", "size_bytes", "modified_at", "sha256"]
+    return by_lines.select(*columns).unionByName(files.filter(F.col("file").rlike(packed)).join(whole, "path").select(*columns))
 
 
 def hash_verification(digests: DataFrame, known: DataFrame) -> DataFrame:
