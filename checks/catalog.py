@@ -1255,12 +1255,12 @@ def reload_report(spark, d):
 
 # --- relational tables ----------------------------------------------------------------------------------
 
-def _persisted(spark, rows: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+def _persisted(spark, rows: DataFrame, name: str, columns: list[str] | None = None, near: str | None = None) -> DataFrame:
     """Written twice, as a repeated job would, and read back."""
     folder = _fresh(spark, "tables")
     persist.append(rows, folder, name, day("2024-01-01"))
     persist.append(rows, folder, name, day("2024-01-02"))
-    return persist.read(spark, folder, name, columns)
+    return persist.read(spark, folder, name, columns, near)
 
 
 def _entity_id() -> Column:
@@ -1303,7 +1303,7 @@ def persist_results(spark, d):
     request = persist.key("screening_requests", F.col("request_id").cast("string"))
     all_results = V.screening_results(spark, d).withColumn("result_no", F.row_number().over(Window.partitionBy("request_id").orderBy("result_no", "entity_key", "supplier_key")))
     results = all_results.select(request.alias("request_id"), F.col("result_no").cast("int").alias("result_no"), "is_hit", "max_confidence")
-    kept = _persisted(spark, results, "screening_results", ["request_id", "result_no", "is_hit", "max_confidence"])
+    kept = _persisted(spark, results, "screening_results", ["request_id", "result_no", "is_hit", "max_confidence"], "request_id")
     requests = V.screening_requests(spark, d).select(persist.key("screening_requests", F.col("request_id").cast("string")).alias("request_id"), F.col("request_id").alias("request_no"))
     return kept.join(requests, "request_id").select("request_no", "result_no", "is_hit", "max_confidence")
 
