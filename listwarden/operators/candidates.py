@@ -120,7 +120,7 @@ def best_name_pairs(requests: DataFrame, names: StoredNames, ranking: Ranking, l
     """Of all pairs that reach the request's minimum those that can be among its best ``ranking.limit`` entities.
 
     requests: (asked, request_key, year, min_score, least_value), one row per ``asked``; a pair counts if its weighted value reaches the least value.
-    names: (list_key, year, source, entity_id, holder), the first entity of each key and year. Years are 0 where unknown.
+    names: (list_key, year, source, entity_id, holder), the first entity of each key and year. Years are 0 where unknown or without weight.
     Returns (asked, list_key, year, score). A pair left out ranks behind ``limit`` other entities for every request ``asked`` stands for.
     """
     requests = requests.filter((F.col("request_key") != "") & (F.col("min_score") <= 100))

@@ -116,9 +116,10 @@ def _known_year(column: str) -> Column:
     return F.when(F.col(column) > 0, F.col(column)).otherwise(0).cast("int")
 
 
-def _first_holders(names: DataFrame) -> DataFrame:
-    """(list_key, year, source, entity_id, holder): the first entity of each name and birth year."""
-    first = names.groupBy("list_key", _known_year("entity_year").alias("year")).agg(F.min(F.struct(*ENTITY)).alias("first"))
+def _first_holders(names: DataFrame, by_year: bool) -> DataFrame:
+    """(list_key, year, source, entity_id, holder): the first entity of each name, or of each name and birth year where the year has a weight."""
+    year = _known_year("entity_year") if by_year else F.lit(0)
+    first = names.groupBy("list_key", year.alias("year")).agg(F.min(F.struct(*ENTITY)).alias("first"))
     return first.select("list_key", "year", "first.*", F.xxhash64("first").alias("holder"))
 
 
@@ -141,6 +142,7 @@ class PreparedList:
     match_limit: int
     index_bytes: int
     key_bytes: int
+    by_year: int
 
 
 def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT, folder: str | None = None) -> PreparedList:
@@ -156,12 +158,13 @@ def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT, folder:
     slim = table(_list_columns(entities), "entities")
     names = table(list_names(slim).drop("documents", "vessel_imo", "imo_key", "primary_name"), "names")
     index = table(_first_per_group(names, ["list_key", "entity_year", "listed"], config.match_limit), "index")
-    keys = stored_names(_first_holders(names), table)
+    by_year = bool(config.weights.dob)
+    keys = stored_names(_first_holders(names, by_year), table)
     whole = materialized(document_index(slim), "whole")
     documents = table(first_documents(whole, config.match_limit), "documents")
     by_name = table(document_names(whole, config.match_limit), "document_names")
     sizes = measured_bytes(index), key_bytes(keys.keys)
-    prepared = PreparedList(slim, names, index, keys.keys, keys.letters, documents, by_name, config.match_limit, *sizes)
+    prepared = PreparedList(slim, names, index, keys.keys, keys.letters, documents, by_name, config.match_limit, *sizes, int(by_year))
     if folder is not None:
         _write_sizes(prepared, folder)
     return prepared
@@ -169,7 +172,7 @@ def prepare_list(entities: DataFrame, config: ScreeningConfig = DEFAULT, folder:
 
 TABLES = ("entities", "names", "index", "keys", "letters", "documents", "document_names")
 KEYS = "s0 long, s1 long, list_key string, year int, source string, entity_id string, holder long, len int"
-SIZES = ("match_limit", "index_bytes", "key_bytes")
+SIZES = ("match_limit", "index_bytes", "key_bytes", "by_year")
 
 
 def write_prepared(prepared: PreparedList, folder: str) -> None:
@@ -293,15 +296,19 @@ def _name_matches(prof: DataFrame, prepared: PreparedList, config: ScreeningConf
     """Name pairs that may pass and be among the best, without the entities that share the request's document number."""
     w = config.weights
     # what profiles ask of names: the key, and the birth year where it has a weight
-    year = _known_year("request_year") if w.dob else F.lit(0)
-    prof = prof.withColumn("asked", F.concat_ws("\n", "request_key", year.cast("string")) if w.dob else F.col("request_key"))
+    by_year = bool(w.dob)
+    year = _known_year("request_year") if by_year else F.lit(0)
+    prof = prof.withColumn("asked", F.concat_ws("\n", "request_key", year.cast("string")) if by_year else F.col("request_key"))
     asking = prof.groupBy("asked", "request_key", year.alias("year")).agg(
         F.min("min_score").cast("double").alias("min_score"), F.min("threshold").cast("double").alias("least_value")
     )
     ranking = Ranking(config.match_limit, float(w.name), float(w.dob), float(config.layers.high))
-    pairs = best_name_pairs(asking, StoredNames(prepared.keys, prepared.letters), ranking, config.limits)
+    names = StoredNames(prepared.keys, prepared.letters)
+    if by_year != bool(prepared.by_year):  # prepared for other weights
+        names = stored_names(_first_holders(prepared.names, by_year))
+    pairs = best_name_pairs(asking, names, ranking, config.limits)
     small = prepared.index_bytes <= config.limits.broadcast_bytes
-    index = prepared.index.withColumn("year", _known_year("entity_year"))
+    index = prepared.index.withColumn("year", _known_year("entity_year") if by_year else F.lit(0))
     # dealt by what is asked once: grouping, ranking and the join with the profiles need no other order
     found = pairs.join(F.broadcast(index) if small else index, ["list_key", "year"]).repartition("asked")
     best = found.groupBy("asked", *ENTITY).agg(

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from listwarden.config import DEFAULT, JoinLimits, ScreeningConfig, Weights
 from listwarden.functions.similarity import Ranking
-from listwarden.operators import tables
+from listwarden.operators import screening, tables
 from listwarden.operators.candidates import best_name_pairs, name_pairs, stored_names
 from tests import model
-from tests.test_screening import check, data
+from tests.test_screening import check, data, frames
 
 
 def test_only_the_best_entities_leave_the_join(spark):
@@ -72,3 +72,18 @@ def test_best_texts_of_many_sizes(spark):
         got.setdefault(r.left_text, {})[r.right_text] = r.similarity
     best = {t: {u: s for u, s in found.items() if s >= sorted(found.values())[-min(3, len(found))]} for t, found in every.items()}
     assert got == best
+
+
+def test_a_list_prepared_for_other_weights_gives_the_same(spark):
+    weighted = ScreeningConfig(name_threshold=65, short_name_threshold=65, weights=Weights(name=0.7, dob=0.3))
+    requests, entities = frames(spark, *data(23, 30, 60))
+    for config, other in ((DEFAULT, weighted), (weighted, DEFAULT)):
+        own, foreign = (screening.screen(requests, screening.prepare_list(entities, c), config) for c in (config, other))
+        rows = [sorted(map(str, f.select(*sorted(f.columns)).collect())) for f in (own, foreign)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_a_name_of_many_birth_years_is_compared_once(spark):
+    rows = [{**entity, "primary_name": "Li Wei", "all_names": ["Li Wei"], "date_of_birth": f"{1900 + k}-01-01"} for k, entity in enumerate(data(24, 1, 50)[1])]
+    listed = screening.prepare_list(frames(spark, data(24, 1, 1)[0], rows)[1])
+    assert listed.keys.count() == 1 and listed.index.count() == 50
